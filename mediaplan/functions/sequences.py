@@ -56,15 +56,16 @@ def _combine(kind: str, ahead: Column, local: Column) -> Column:
     return F.greatest(ahead, local) if kind == "max" else F.least(ahead, local)
 
 
-def running(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence,
-            specs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+def running(df: DataFrame, key: Sequence[str], chunk: Column | None, order: Sequence,
+            specs: dict[str, tuple[str, Column, bool]], keep_chunk: bool = False) -> DataFrame:
     """Running sum/max/min per key in ``order``.
 
     ``specs`` maps an output column to (kind, value, inclusive). ``chunk`` must not
     decrease along ``order``. The chunk totals come from a pruned second read with
-    partial aggregation, so only the local pass shuffles the rows."""
+    partial aggregation, so only the local pass shuffles the rows. A second pass over
+    the same chunks (``keep_chunk`` first, then ``chunk=None``) keeps that placement."""
     cols = [*key, "_chunk"]
-    d = df.withColumn("_chunk", chunk)
+    d = df if chunk is None else df.withColumn("_chunk", chunk)
     upto = Window.partitionBy(*cols).orderBy(*order)
     totals = d.groupBy(*cols).agg(
         *[_FOLD[k](v).alias(f"_t_{n}") for n, (k, v, _) in specs.items()])
@@ -79,7 +80,8 @@ def running(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence,
     d = d.join(carry, cols)
     for n, (k, _, _) in specs.items():
         d = d.withColumn(n, _combine(k, F.col(f"_a_{n}"), F.col(f"_l_{n}")))
-    return d.drop("_chunk", *[f"_{p}_{n}" for n in specs for p in "al"])
+    d = d.drop(*[f"_{p}_{n}" for n in specs for p in "al"])
+    return d if keep_chunk else d.drop("_chunk")
 
 
 def number_rows(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence,
@@ -98,13 +100,13 @@ def previous_row(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequen
     pos = F.struct(*[col(o) for o in order])
     tails = d.groupBy(*cols).agg(F.max_by(row, pos).alias("_tail"))
     carry = tails.select(*cols, F.lag("_tail").over(
-        Window.partitionBy(*key).orderBy("_chunk")).alias("_ahead"))
+        Window.partitionBy(*key).orderBy("_chunk")).alias("_carried"))
     local = F.lag(row).over(Window.partitionBy(*cols).orderBy(*order))
     d = d.withColumn("_prev", local).join(carry, cols)
-    d = d.withColumn("_prev", F.coalesce("_prev", "_ahead"))
+    d = d.withColumn("_prev", F.coalesce("_prev", "_carried"))
     for n in values:
         d = d.withColumn(n, F.col("_prev")[n])
-    return d.drop("_chunk", "_prev", "_ahead")
+    return d.drop("_chunk", "_prev", "_carried")
 
 
 def runs(df: DataFrame, key: Sequence[str], at: str, holds: Column, chunk: Column,

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("ranking", "signals")
+GROUPS = ("ranking", "signals", "intervals", "spans")
 
 
 def _load():
