@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("ranking", "signals", "intervals", "spans")
+GROUPS = ("ranking", "signals", "intervals", "spans", "annotate", "music")
 
 
 def _load():
