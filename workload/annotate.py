@@ -15,10 +15,10 @@ PARSE_SQL = r"""t0 AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') A
   WHEN json_valid(f || '}}') THEN f || '}}' WHEN json_valid(f || ']}}') THEN f || ']}}' WHEN json_valid(f || '"]}}') THEN f || '"]}}' WHEN json_valid(f || '}}}}') THEN f || '}}}}' END AS j FROM t4)"""
 
 
-@query("L1_parse_reply", f"""WITH {PARSE_SQL.format(src='fx_replies')} SELECT scene_id, j IS NOT NULL AS parsed, CAST(json_extract_string(j, '$.k') AS BIGINT) AS k FROM parsed""")
+@query("L1_parse_reply", f"""WITH {PARSE_SQL.format(src='fx_replies')} SELECT scene_id, j IS NOT NULL AS parsed, CAST(json_extract_string(j, '$.k') AS DOUBLE) AS k FROM parsed""")
 def parse(fx):
     df = L.parse_reply(fx.replies)
-    return df.select("scene_id", F.col("reply").isNotNull().alias("parsed"), F.try_variant_get("reply", "$.k", "bigint").alias("k"))
+    return df.select("scene_id", F.col("reply").isNotNull().alias("parsed"), F.try_variant_get("reply", "$.k", "double").alias("k"))
 
 
 REPLY_TEXT = """event_id AS scene_id, CASE WHEN event_id % 11 = 5 THEN 'no reply' WHEN event_id % 13 = 0 THEN '{}' ELSE
