@@ -1,11 +1,139 @@
-"""Draft plans."""
+"""Draft plans: beat alignment, lengths, replacement of segments."""
 
-from pyspark.sql import DataFrame, functions as F
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import rnd
-from ..operators.timeline import out_duration
+from ..functions.sequences import number_rows
+from ..operators import presets
+from ..operators.timeline import SEGMENT_CHUNK, out_duration
+
+# --- fixed value: reason of a segment a user has exchanged
+REASON_REPLACED = "заменено пользователем"
+
+_SNAP = """
+aggregate(segs, named_struct('at', 0D, 'out', filter(segs, s -> false)), (acc, s) ->
+  transform(array(acc.at + round(s.src_end - s.src_start + 1e-9D, 3) - if(s.i < size(segs) - 1, overlap / 2, 0D)), e ->
+    transform(array(array_min(transform(cuts, c -> named_struct('d', abs(c - e), 'c', c))).c - e), delta ->
+      transform(array(abs(delta) <= {reach} AND round(s.src_end - s.src_start + 1e-9D, 3) + delta >= {shortest}), hit ->
+        transform(array(if(hit, round(s.src_end + delta + 1e-9D, 3), s.src_end)), q ->
+          named_struct(
+            'at', acc.at + round(q - s.src_start + 1e-9D, 3) - if(s.i < size(segs) - 1, overlap, 0D),
+            'out', concat(acc.out, array(named_struct('i', s.i, 'seg_no', s.seg_no, 'src_start', s.src_start,
+                                                      'src_end', q, 'synced', s.synced OR hit)))))[0])[0])[0])[0]).out
+"""
+
+
+def snap_to_cuts(segments: DataFrame, cuts: DataFrame, overlaps: DataFrame, reach: float = 0.35,
+                 shortest: float = 1.0) -> DataFrame:
+    """Moves segment ends to cut points nearby, one after the other along each plan.
+
+    ``cuts``: plan_id, cut_t in film time. ``overlaps``: plan_id, overlap. Where a segment
+    starts depends on every move before it, so a plan is folded as one array; it holds the
+    segments of one film and the cuts of its length, nothing larger."""
+    has_flag = "beat_synced" in segments.columns
+    flag = F.coalesce("beat_synced", F.lit(False)) if has_flag else F.lit(False)
+    seg = F.struct("seg_no", "src_start", "src_end", flag.alias("synced"))
+    plans = segments.groupBy("plan_id").agg(
+        F.sort_array(F.collect_list(seg)).alias("_segs"), F.sum(F.col("src_end") - F.col("src_start") + reach).alias("_reach"))
+    plans = plans.withColumn("segs", F.transform("_segs", lambda s, i: F.struct(
+        i.alias("i"), s["seg_no"].alias("seg_no"), s["src_start"].alias("src_start"), s["src_end"].alias("src_end"),
+        s["synced"].alias("synced")))).drop("_segs")
+    near = (cuts.join(plans.select("plan_id", "_reach"), "plan_id").filter(F.col("cut_t") <= F.col("_reach") + reach)
+            .groupBy("plan_id").agg(F.array_sort(F.collect_set("cut_t")).alias("cuts")))
+    df = plans.join(near, "plan_id", "left").join(overlaps.select("plan_id", "overlap"), "plan_id", "left")
+    df = df.withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    moved = F.when(F.col("cuts").isNull(), F.col("segs")).otherwise(
+        F.expr(_SNAP.format(reach=f"{reach!r}D", shortest=f"{shortest!r}D")))
+    out = df.select("plan_id", F.explode(moved).alias("s")).select(
+        "plan_id", "s.seg_no", F.col("s.src_end").alias("src_end"), F.col("s.synced").alias("beat_synced"))
+    rest = [c for c in segments.columns if c not in ("src_end", "beat_synced")]
+    return segments.select(*rest).join(out, ["plan_id", "seg_no"])
+
+
+def renumber(segments: DataFrame) -> DataFrame:
+    """Dense segment numbers from zero, in the present order."""
+    df = number_rows(segments, ["plan_id"], F.floor(F.col("seg_no") / SEGMENT_CHUNK), ["seg_no"], "_n")
+    return df.withColumn("seg_no", F.col("_n")).drop("_n")
+
+
+def segment_durations(segments: DataFrame) -> DataFrame:
+    """Adds source_s (in the source) and out_s (in the film)."""
+    return segments.withColumn("source_s", rnd(F.col("src_end") - F.col("src_start"), 3)).withColumn("out_s", out_duration())
 
 
 def plan_durations(segments: DataFrame) -> DataFrame:
     """Length of every plan in the film: the sum of its parts at their speed."""
     return segments.groupBy("plan_id").agg(rnd(F.sum(out_duration()), 3).alias("total_s"))
+
+
+def replace_segments(segments: DataFrame, requests: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Puts other scenes into segments. ``requests``: plan_id, seg_no, new_scene_id,
+    replaced_at. Returns the segments of all plans and the history rows. A request for an
+    unknown segment or scene does nothing. Plans touched go back to draft (see the history)
+    and may be aligned again with ``snap_to_cuts``."""
+    new = requests.join(scenes.select(F.col("scene_id").alias("new_scene_id"), F.col("start_s").alias("_s"),
+                                      F.col("end_s").alias("_e")), "new_scene_id")
+    df = segments.join(new, ["plan_id", "seg_no"], "left")
+    hit = F.col("new_scene_id").isNotNull()
+    scene_s = rnd(F.col("_e") - F.col("_s"), 3)
+    length = F.least(rnd(F.col("src_end") - F.col("src_start"), 3), scene_s)
+    df = df.withColumn("_len", length).withColumn(
+        "_from", rnd(F.col("_s") + F.greatest((scene_s - F.col("_len")) / 2, F.lit(0.0)), 3))
+    history = df.filter(hit).select("plan_id", "seg_no", F.col("scene_id").alias("old_scene_id"), "new_scene_id", "replaced_at")
+    df = (df.withColumn("scene_id", F.when(hit, F.col("new_scene_id")).otherwise(F.col("scene_id")))
+          .withColumn("src_start", F.when(hit, F.col("_from")).otherwise(F.col("src_start")))
+          .withColumn("src_end", F.when(hit, rnd(F.col("_from") + F.col("_len"), 3)).otherwise(F.col("src_end")))
+          .withColumn("reason", F.when(hit, REASON_REPLACED).otherwise(F.col("reason")))
+          .withColumn("beat_synced", F.col("beat_synced") & ~hit))
+    return df.select(*segments.columns), history
+
+
+def replacement_candidates(requests: DataFrame, segments: DataFrame, alternatives: DataFrame, plans: DataFrame,
+                           scenes: DataFrame, k: int = 4) -> DataFrame:
+    """Up to ``k`` scenes to put in place of a segment (plan_id, seg_no): the stored
+    alternatives of its slot, then scenes of the project wanted for the slot or of the same
+    type; nothing banned or already shown. Alternatives that no longer exist take a place
+    and are then left out.
+
+    A plan excludes only its own segments and alternatives, so per project and slot (and
+    per project and type) the first k + that many scenes are enough; they are found with a
+    group limit before anything is joined to requests."""
+    own = requests.join(segments.select("plan_id", "seg_no", "slot", F.col("scene_id").alias("_cur")), ["plan_id", "seg_no"])
+    own = own.join(plans.select("plan_id", "project_id"), "plan_id")
+    own = own.join(scenes.select(F.col("scene_id").alias("_cur"), F.col("scene_type").alias("_type")), "_cur", "left")
+    shown = segments.select("plan_id", "scene_id").distinct()
+    alts = alternatives.select("plan_id", "slot", "pos", "scene_id").join(shown, ["plan_id", "scene_id"], "left_anti")
+    sizes = (segments.groupBy("plan_id").agg(F.count("*").alias("n"))
+             .unionByName(alternatives.groupBy("plan_id").agg(F.count("*").alias("n"))).groupBy("plan_id").agg(F.sum("n").alias("n")))
+    depth = k + int(sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])  # one number
+    pool = scenes.filter("user_flag <> 'banned'").select("project_id", "scene_id", "video_id", "start_s", "scene_type", "recommended_slot")
+
+    def heads(by: str):
+        w = Window.partitionBy("project_id", by).orderBy("video_id", "start_s", "scene_id")
+        return pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth).drop("_r")
+    keys = ["plan_id", "seg_no", "slot"]
+    by_slot = own.select(*keys, "project_id").join(
+        heads("recommended_slot").withColumnRenamed("recommended_slot", "slot"), ["project_id", "slot"])
+    by_type = own.filter("_type IS NOT NULL").select(*keys, "project_id", F.col("_type").alias("scene_type")).join(
+        heads("scene_type"), ["project_id", "scene_type"])
+    place = ["video_id", "start_s", "scene_id"]
+    extra = (by_slot.select(*keys, *place).union(by_type.select(*keys, *place)).distinct()
+             .join(shown, ["plan_id", "scene_id"], "left_anti")
+             .join(alts.select("plan_id", "slot", "scene_id"), ["plan_id", "slot", "scene_id"], "left_anti"))
+    first = own.select(*keys).join(alts, ["plan_id", "slot"]).select(
+        *keys, "scene_id", F.lit(0).alias("_g"), F.col("pos").cast("double").alias("_a"), F.lit(0.0).alias("_b"))
+    both = first.unionByName(extra.select(*keys, "scene_id", F.lit(1).alias("_g"), F.col("video_id").cast("double").alias("_a"),
+                                          F.col("start_s").cast("double").alias("_b")))
+    w = Window.partitionBy("plan_id", "seg_no").orderBy("_g", "_a", "_b", "scene_id")
+    top = both.withColumn("choice", F.row_number().over(w).cast("long")).filter(F.col("choice") <= k)
+    return top.join(scenes.select("scene_id"), "scene_id", "left_semi").select("plan_id", "seg_no", "choice", "scene_id")
+
+
+def preset_transition(projects: DataFrame) -> DataFrame:
+    """Transition of a project's films (project_id, used_preset); cuts have no length."""
+    heads = presets.preset_heads(projects.sparkSession).select(
+        F.col("preset_id").alias("used_preset"), "transition",
+        F.when(F.col("transition") == "cut", 0.0).otherwise(F.col("transition_s")).alias("transition_s"))
+    return projects.join(F.broadcast(heads), "used_preset").select("project_id", "transition", "transition_s")
