@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.expr import overlap
 from ..functions.ranges import range_join
 from ..functions.sequences import chunk_of, previous_row, running, runs
+from ..sources.tables import keep
 
 CHUNK_S = 3600.0
 BIN_S = 60.0
@@ -44,17 +45,17 @@ def frozen_scene_spans(scenes: DataFrame, key: Sequence[str] = ("video_id",), ga
 def between_spans(base: DataFrame, spans: DataFrame, key: Sequence[str], base_span: tuple[str, str],
                   span: tuple[str, str], chunk_s: float = CHUNK_S) -> DataFrame:
     """What lies between disjoint spans, over the whole extent of ``base`` per key:
-    columns g_lo, g_hi."""
+    columns _g_lo, _g_hi."""
     a, b = base_span
     lo, hi = span
     extent = base.groupBy(*key).agg(F.min(a).alias("_lo"), F.max(b).alias("_hi"))
     before = previous_row(spans.select(*key, lo, hi), key, chunk_of(lo, chunk_s), [lo, hi],
                           {"_ahead": F.col(hi)}).join(extent, [*key])
-    before = before.select(*key, F.coalesce("_ahead", F.least("_lo", lo)).alias("g_lo"), F.col(lo).alias("g_hi"))
+    before = before.select(*key, F.coalesce("_ahead", F.least("_lo", lo)).alias("_g_lo"), F.col(lo).alias("_g_hi"))
     reach = spans.groupBy(*key).agg(F.max(hi).alias("_reach"))
     tail = extent.join(reach, [*key], "left").select(
-        *key, F.coalesce("_reach", "_lo").alias("g_lo"), F.col("_hi").alias("g_hi"))
-    return before.unionByName(tail).filter("g_lo < g_hi")
+        *key, F.coalesce("_reach", "_lo").alias("_g_lo"), F.col("_hi").alias("_g_hi"))
+    return before.unionByName(tail).filter("_g_lo < _g_hi")
 
 
 def _clipped(base: DataFrame, spans: DataFrame, key, base_span, span, bin_s) -> DataFrame:
@@ -69,9 +70,9 @@ def subtract_spans(base: DataFrame, cut: DataFrame, key: Sequence[str], base_spa
     """Pieces (p_lo, p_hi) of every base interval outside all cut spans, at least
     ``min_len`` long. Base columns are kept."""
     lo, hi = span
-    solid = merge_spans(cut.filter(F.col(lo) < F.col(hi)), key, lo, hi, 0.0)
+    solid = keep(merge_spans(cut.filter(F.col(lo) < F.col(hi)), key, lo, hi, 0.0), "cuts")
     gaps = between_spans(base, solid, key, base_span, span)
-    return _clipped(base, gaps, key, base_span, ("g_lo", "g_hi"), bin_s).filter(
+    return _clipped(base, gaps, key, base_span, ("_g_lo", "_g_hi"), bin_s).filter(
         F.col("p_hi") - F.col("p_lo") >= min_len)
 
 
@@ -81,7 +82,7 @@ def split_by_spans(base: DataFrame, spans: DataFrame, key: Sequence[str], base_s
     disjoint spans."""
     inside = _clipped(base, spans, key, base_span, span, bin_s).withColumn("inside", F.lit(True))
     gaps = between_spans(base, spans, key, base_span, span)
-    outside = _clipped(base, gaps, key, base_span, ("g_lo", "g_hi"), bin_s).withColumn("inside", F.lit(False))
+    outside = _clipped(base, gaps, key, base_span, ("_g_lo", "_g_hi"), bin_s).withColumn("inside", F.lit(False))
     return inside.unionByName(outside).filter("p_lo < p_hi")
 
 

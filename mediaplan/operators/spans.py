@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import rnd
 from ..functions.ranges import range_join
+from ..sources.tables import keep
 from ..functions.sequences import (BLOCK_ROWS, core_rows, halo_window, number_rows, running, with_halo)
 
 
@@ -219,7 +220,8 @@ def group_neighbours(views: DataFrame, chunk_s: float = 3600.0) -> DataFrame:
         "_cur", F.struct("video_id", "start_s", "scene_type", "tokens", "hist"))
     df = core_rows(df.withColumn("_prev", F.lag("_cur").over(halo_window(["video_id"], "n"))))
     df = df.withColumn("_opens", F.when(F.col("_prev").isNotNull() & similar("_prev", "_cur"), 0).otherwise(1))
-    df = running(df.drop("_prev", "_cur"), ["video_id"], F.floor(F.col("n") / BLOCK_ROWS), ["n"],
+    df = keep(df.select("video_id", "n", "start_s", "end_s", "description", "_opens"), "chains")
+    df = running(df, ["video_id"], F.floor(F.col("n") / BLOCK_ROWS), ["n"],
                  {"group_no": ("sum", F.col("_opens"), True)})
     first = F.min_by(F.substring("description", 1, 40), F.col("n"))
     ordinal = F.format_string("зона %d", F.min("n") + 1)

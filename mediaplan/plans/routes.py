@@ -1,4 +1,7 @@
-"""Routes of one-take videos: zones, timing, windows and the film that follows the route."""
+"""Routes of one-take videos: zones, timing, windows and the film that follows the route.
+
+Steps whose result several later ones read are written to the shared folder (``keep``):
+the plan stays short, nothing is computed twice, and a lost executor costs one step."""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from ..operators.intervals import (frozen_scene_spans, merge_spans, net_length,
                                    split_by_spans, subject_spans, subtract_spans, weighted_overlap)
 from ..operators.signals import motion_check, motion_pairs
 from ..operators.spans import group_neighbours
+from ..sources.tables import keep
 
 MIN_INTEREST = 0.15
 MIN_GAP = 0.4
@@ -43,6 +47,7 @@ def zones_from_ranges(scenes: DataFrame, ranges: DataFrame) -> DataFrame:
     technical). The score is the mean of aesthetics, or quality where that is missing."""
     s = number_rows(scenes.select("video_id", "scene_id", "start_s", "end_s", "quality_score", "aesthetic_score"),
                     ["video_id"], chunk_of("start_s", CHUNK_S), ["start_s", "scene_id"], "_i")
+    s = keep(s, "numbered")
     worth = F.when(F.col("aesthetic_score") == 0, F.col("quality_score")).otherwise(
         F.coalesce("aesthetic_score", "quality_score"))
     hit = range_join(ranges, s, ["video_id"], ("first_index", "last_index"), ("_i", "_i"), 64, closed=True)
@@ -72,6 +77,7 @@ def lane_zones(scenes: DataFrame, routes: DataFrame) -> DataFrame:
     first_best = F.max_by(F.struct("scene_id", "start_s", "end_s", "interest", "has_person", "description"),
                           F.struct("interest", -F.col("start_s"), -F.col("scene_id")))
     best = hit.groupBy("route_id", "video_id", "lane").agg(first_best.alias("b"), F.max("has_person").alias("_people"))
+    best = keep(best, "lanes")
     people = best.groupBy("route_id").agg(F.max("_people").alias("_any"))
     ok = best.join(people, "route_id").filter(
         (F.col("b.interest") >= MIN_INTEREST) & (~F.col("_any") | F.col("b.has_person")))
@@ -88,9 +94,9 @@ def expand_zones(zones: DataFrame, scenes: DataFrame) -> DataFrame:
     """Replaces zones longer than 1.8 x target_span by the moments inside them, if at least
     two are found. ``zones``: zone_key (text), video_id, z_start, z_end, title, target_span."""
     long = zones.filter(_seconds("z_start", "z_end") > F.col("target_span") * 1.8)
-    subs = lane_zones(scenes, long.select(
+    subs = keep(lane_zones(scenes, long.select(
         F.col("zone_key").alias("route_id"), "video_id", F.col("z_start").alias("r_lo"), F.col("z_end").alias("r_hi"),
-        F.lit(0.0).alias("target_duration"), F.col("target_span").alias("lane_width")))
+        F.lit(0.0).alias("target_duration"), F.col("target_span").alias("lane_width"))), "moments")
     split = subs.groupBy("route_id").agg(F.count("*").alias("_c")).filter("_c >= 2").select(F.col("route_id").alias("zone_key"))
     parts = subs.withColumnRenamed("route_id", "zone_key").join(split, "zone_key", "left_semi").join(
         long.select("zone_key", "target_span"), "zone_key").select(
@@ -105,6 +111,7 @@ def decide_zones(scenes: DataFrame, model_zones: DataFrame, targets: DataFrame)
 
     ``scenes`` carry interest, has_person, tokens and hist; ``model_zones``: video_id,
     z_start, z_end, title, technical; ``targets``: video_id, target_duration."""
+    scenes, model_zones = keep(scenes, "scenes"), keep(model_zones, "zones")
     ends = scenes.groupBy("video_id").agg(
         F.min("start_s").alias("_first"), F.max_by("end_s", F.struct("start_s", "scene_id")).alias("_last"))
     ends = ends.withColumn("_span", F.col("_last") - F.col("_first"))
@@ -121,7 +128,8 @@ def decide_zones(scenes: DataFrame, model_zones: DataFrame, targets: DataFrame)
     routes = v.filter(coarse).join(targets.select("video_id", "target_duration"), "video_id").select(
         F.col("video_id").alias("route_id"), "video_id", F.coalesce("_from", "_first").alias("r_lo"),
         F.coalesce("_to", "_last").alias("r_hi"), "target_duration", F.lit(None).cast("double").alias("lane_width"))
-    auto = lane_zones(scenes, routes).select("video_id", "z_start", "z_end", "title", F.lit(False).alias("technical"), F.lit("moment").alias("origin"))
+    auto = keep(lane_zones(scenes, routes).select(
+        "video_id", "z_start", "z_end", "title", F.lit(False).alias("technical"), F.lit("moment").alias("origin")), "moments")
     split = auto.select("video_id").distinct()
     model = model_zones.select("video_id", "z_start", "z_end", "title", "technical", F.lit("model").alias("origin"))
     model = model.join(split.withColumn("_auto", F.lit(True)), "video_id", "left").filter(
@@ -187,26 +195,27 @@ def route_inputs(zones: DataFrame, scenes: DataFrame, still: DataFrame, settings
     interest and has_person. ``still``: frozen spans measured on the picture (f_start, f_end).
     ``settings``: video_id, target_duration, fpv_style, pause_out. Gives the tables routes,
     required, technical, subject and frozen."""
+    zones, scenes = keep(zones, "zones"), keep(scenes, "scenes")
     settings = with_style(settings.select("video_id", "target_duration", "fpv_style", "pause_out"))
-    keep = zones.filter(~F.col("technical"))
+    plain = zones.filter(~F.col("technical"))
     at = F.struct("z_start", "zone_no")
-    routes = keep.groupBy("video_id").agg(
+    routes = plain.groupBy("video_id").agg(
         F.min("z_start").alias("r_lo"), F.max_by("z_end", at).alias("r_hi"), F.max("required").alias("_marked"))
     tech = zones.filter("technical").select("video_id", F.col("z_start").alias("t_lo"), F.col("z_end").alias("t_hi"))
 
-    wanted = keep.join(routes.select("video_id", "_marked"), "video_id").filter(F.col("required") | ~F.col("_marked"))
+    wanted = plain.join(routes.select("video_id", "_marked"), "video_id").filter(F.col("required") | ~F.col("_marked"))
     wanted = wanted.join(settings.select("video_id", (F.col("w_max") * 3.0).alias("target_span")), "video_id")
     wanted = expand_zones(wanted.select(
         F.concat_ws("/", F.col("video_id").cast("string"), F.col("zone_no").cast("string")).alias("zone_key"),
         "video_id", "z_start", "z_end", "title", "target_span"), scenes)
 
     raw = frozen_scene_spans(scenes).unionByName(still.select("video_id", "f_start", "f_end"))
-    frozen = merge_spans(raw, ["video_id"], "f_start", "f_end", 0.5)
-    frozen = _with_net(frozen, "f_start", "f_end", routes, tech).filter(F.col("net_len") >= FREEZE_MIN)
+    frozen = keep(merge_spans(raw, ["video_id"], "f_start", "f_end", 0.5), "pauses")
+    frozen = keep(_with_net(frozen, "f_start", "f_end", routes, tech).filter(F.col("net_len") >= FREEZE_MIN), "pauses")
     f_sum = frozen.groupBy("video_id").agg(F.sum("net_len").alias("frozen_len"), F.count("*").alias("_pauses"))
     frozen = frozen.select("video_id", "f_start", "f_end")
 
-    subject = subject_spans(scenes)
+    subject = keep(subject_spans(scenes), "people")
     s_net = _with_net(subject, "s_start", "s_end", routes, tech)
     on_pause = overlap_len(s_net.select(F.struct("video_id", "s_start").alias("window_id"), "video_id",
                                         F.col("s_start").alias("a"), F.col("s_end").alias("b")),
@@ -219,8 +228,8 @@ def route_inputs(zones: DataFrame, scenes: DataFrame, still: DataFrame, settings
     wanted = wanted.join(on_zone.withColumnRenamed("window_id", "zone_key"), "zone_key").withColumn(
         "_awake", F.col("overlap") < 0.7 * _seconds("z_start", "z_end"))
     some = wanted.groupBy("video_id").agg(F.max("_awake").alias("_some"))
-    required = wanted.join(some, "video_id").filter(F.col("_awake") | ~F.col("_some")).select(
-        "zone_key", "video_id", "z_start", "z_end", "title")
+    required = keep(wanted.join(some, "video_id").filter(F.col("_awake") | ~F.col("_some")).select(
+        "zone_key", "video_id", "z_start", "z_end", "title"), "required")
 
     cut = routes.join(tech, "video_id").groupBy("video_id").agg(F.sum(overlap("r_lo", "r_hi", "t_lo", "t_hi")).alias("_tech"))
     pause = F.greatest(F.when(F.coalesce("pause_out", F.lit(0.0)) == 0, 0.5).otherwise(F.col("pause_out")), F.lit(0.1), F.col("fade") + 0.1)
@@ -231,7 +240,7 @@ def route_inputs(zones: DataFrame, scenes: DataFrame, still: DataFrame, settings
                   "target_duration", "fpv_style", F.coalesce("subject_len", zero).alias("subject_len"),
                   F.coalesce("frozen_len", zero).alias("frozen_len"), "pause_s", "fade",
                   (F.col("pause_s") * F.coalesce("_pauses", F.lit(0))).alias("frozen_out")))
-    return {"routes": routes, "required": required, "technical": tech, "subject": subject, "frozen": frozen}
+    return {"routes": keep(routes, "routes"), "required": required, "technical": tech, "subject": subject, "frozen": frozen}
 
 
 def _with_net(spans: DataFrame, lo: str, hi: str, routes: DataFrame, tech: DataFrame) -> DataFrame:
@@ -281,6 +290,7 @@ def zone_windows(zones: DataFrame, samples: DataFrame, scenes: DataFrame, frozen
     wins = tried.select(F.struct("zone_key", F.col("t.st").alias("st")).alias("window_id"), "zone_key", "video_id", "_w",
                         F.col("t.st").alias("a"), (F.col("t.st") + F.col("_w")).alias("b"),
                         F.when(F.col("t.m.ok"), F.col("t.m.badness")).otherwise(F.col("t.m.badness") + 50).alias("_bad"))
+    wins = keep(wins, "windows")
     interest = weighted_overlap(wins, scenes, "interest").withColumnRenamed("mean", "_int")
     still = overlap_len(wins, frozen.select("video_id", F.col("f_start").alias("lo"), F.col("f_end").alias("hi")))
     score = F.round(F.col("_bad") - 8.0 * F.col("_int") + 40.0 * F.col("overlap") / F.col("_w") + 1e-9, 6)
@@ -310,14 +320,15 @@ def gap_pieces(gaps: DataFrame, technical: DataFrame, frozen: DataFrame, subject
     zones are cut out; pieces under 0.4 s join the one before (the first joins the next)."""
     base = gaps.select("gap_id", "video_id", "g_lo", "g_hi", "label")
     open_ = subtract_spans(base, technical, ["video_id"], ("g_lo", "g_hi"), ("t_lo", "t_hi"), MIN_GAP)
-    open_ = open_.select("video_id", "label", F.struct("gap_id", "p_lo").alias("part"), F.col("p_lo").alias("a"), F.col("p_hi").alias("b"))
-    by_pause = split_by_spans(open_, frozen, ["video_id"], ("a", "b"), ("f_start", "f_end"))
+    open_ = keep(open_.select("video_id", "label", F.struct("gap_id", "p_lo").alias("part"), F.col("p_lo").alias("a"),
+                              F.col("p_hi").alias("b")), "open")
+    by_pause = keep(split_by_spans(open_, frozen, ["video_id"], ("a", "b"), ("f_start", "f_end")), "by_pause")
     still = by_pause.filter("inside").select("video_id", "label", "part", "p_lo", "p_hi", F.lit("frozen").alias("kind"))
     moving = by_pause.filter("NOT inside").select("video_id", "label", "part", F.col("p_lo").alias("c"), F.col("p_hi").alias("d"))
     by_person = split_by_spans(moving, subject, ["video_id"], ("c", "d"), ("s_start", "s_end"))
     rest = by_person.select("video_id", "label", "part", "p_lo", "p_hi",
                             F.when(F.col("inside"), "subject").otherwise("empty").alias("kind"))
-    return glue_pieces(still.unionByName(rest))
+    return glue_pieces(keep(still.unionByName(rest), "pieces"))
 
 
 def glue_pieces(pieces: DataFrame) -> DataFrame:
@@ -327,8 +338,8 @@ def glue_pieces(pieces: DataFrame) -> DataFrame:
     df = pieces.join(firsts, "part").withColumn(
         "_big", F.when((F.col("p_hi") - F.col("p_lo") >= MIN_GAP) | (F.col("p_lo") == F.col("_start")), 1).otherwise(0))
     df = running(df, ["part"], chunk, ["p_lo"], {"_g": ("sum", F.col("_big"), True)})
-    merged = df.groupBy("video_id", "label", "part", "_g").agg(
-        F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi"), F.min_by("kind", "p_lo").alias("kind"))
+    merged = keep(df.groupBy("video_id", "label", "part", "_g").agg(
+        F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi"), F.min_by("kind", "p_lo").alias("kind")), "merged")
     head = merged.groupBy("part").agg(F.min(F.struct("_g", "p_lo", "p_hi")).alias("h"), F.count("*").alias("_n"))
     tiny = (F.col("_n") > 1) & (F.col("h.p_hi") - F.col("h.p_lo") < MIN_GAP)
     out = merged.join(head, "part").filter(~(tiny & (F.col("_g") == 1)))
@@ -353,7 +364,7 @@ def route_segments(pieces: DataFrame, timing: DataFrame, routes: DataFrame, scen
 
 
 def _with_scene(df: DataFrame, scenes: DataFrame) -> DataFrame:
-    df = df.withColumn("point_id", F.struct("video_id", "src_start"))
+    df = keep(df, "segments").withColumn("point_id", F.struct("video_id", "src_start"))
     at = scene_at(df.select("point_id", "video_id", F.col("src_start").alias("t")), scenes)
     return df.join(at, "point_id").drop("point_id")
 
@@ -364,12 +375,14 @@ def build_route_plans(zones: DataFrame, scenes: DataFrame, samples: DataFrame, s
     order. Returns segments (video_id, seg_no, ...) and plans (video_id, transition,
     transition_s, fits, least_s, total_s)."""
     inputs = route_inputs(zones, scenes, still, settings)
-    routes, timing = inputs["routes"], timing_of(inputs)
+    routes, timing = inputs["routes"], keep(timing_of(inputs), "timing")
+    scenes = keep(scenes, "scenes")
     wanted = inputs["required"].join(timing.select("video_id", "window_s", "zone_speed"), "video_id")
     windows = zone_windows(wanted, samples, scenes, inputs["frozen"])
-    windows = wanted.select("zone_key", "video_id", "z_start", "title", "zone_speed").join(
-        windows.select("zone_key", "w_start", "w_end"), "zone_key")
+    windows = keep(wanted.select("zone_key", "video_id", "z_start", "title", "zone_speed").join(
+        windows.select("zone_key", "w_start", "w_end"), "zone_key"), "windows")
     shown, gaps = gaps_between(routes, windows)
+    gaps = keep(gaps, "gaps")
     pieces = gap_pieces(gaps, inputs["technical"], inputs["frozen"], inputs["subject"])
     moves = route_segments(pieces, timing, routes, scenes)
     reason = F.concat(F.format_string(REASON_ZONE, "title"), F.when(
@@ -377,7 +390,8 @@ def build_route_plans(zones: DataFrame, scenes: DataFrame, samples: DataFrame, s
     stops = _with_scene(shown.select(
         "video_id", rnd("w_start", 3).alias("src_start"), rnd("w_end", 3).alias("src_end"),
         F.substring("title", 1, 24).alias("slot"), F.col("zone_speed").alias("speed"), reason.alias("reason")), scenes)
-    segments = number_rows(moves.unionByName(stops), ["video_id"], chunk_of("src_start", CHUNK_S), ["src_start", "src_end"], "seg_no")
+    segments = number_rows(keep(moves.unionByName(stops), "segments"), ["video_id"], chunk_of("src_start", CHUNK_S),
+                           ["src_start", "src_end"], "seg_no")
     out = rnd((F.col("src_end") - F.col("src_start")) / F.greatest("speed", F.lit(0.01)), 3)
     total = segments.groupBy("video_id").agg(rnd(F.sum(out), 3).alias("total_s"))
     plans = (routes.select("video_id", F.lit("crossfade").alias("transition"), F.col("fade").alias("transition_s"))

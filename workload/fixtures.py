@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaplan.functions.sequences import number_rows
 from mediaplan.operators import presets
+from mediaplan.sources.tables import keep
 
 SCENE_COLS = """o_orderkey AS scene_id, o_custkey AS video_id,
  CAST(floor(o_custkey / 1e1) AS BIGINT) AS project_id, 1e1 * n AS start_s,
@@ -103,14 +104,31 @@ def exprs(text: str) -> list[str]:
     return [*out, text[start:].strip()]
 
 
+class shape:
+    """A derived table; the stored copy where ``settle`` has made one."""
+
+    def __init__(self, fn):
+        self.fn, self.name = fn, fn.__name__
+
+    def __get__(self, fx, owner=None) -> DataFrame:
+        return fx.kept[self.name] if self.name in fx.kept else self.fn(fx)
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.kept = spark, sf_dir, {}
+
+    def settle(self, *names: str) -> Fixtures:
+        """Write derived tables once, for queries that read them many times."""
+        for name in names:
+            if name not in self.kept:
+                self.kept[name] = keep(getattr(self, name), name)
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @property
+    @shape
     def scenes(self) -> DataFrame:
         orders = number_rows(
             self.table("orders"), ["o_custkey"],
@@ -119,86 +137,86 @@ class Fixtures:
         return (orders.selectExpr(*exprs(SCENE_COLS)).alias("s")
                 .selectExpr(*exprs(SCENE_MORE)))
 
-    @property
+    @shape
     def tokens(self) -> DataFrame:
         line, part = self.table("lineitem"), self.table("part")
         return (line.join(part, line.l_partkey == part.p_partkey)
                 .select(F.col("l_orderkey").alias("scene_id"), F.col("p_type").alias("token"))
                 .distinct())
 
-    @property
+    @shape
     def samples(self) -> DataFrame:
         events = self.table("events")
         hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
         return number_rows(events, ["user_id"], hour, ["ts", "event_id"]).selectExpr(
             *exprs(SAMPLE_COLS))
 
-    @property
+    @shape
     def frames(self) -> DataFrame:
         vecs = number_rows(self.table("embeddings"), ["label"], F.floor(F.col("vec_id") / 256),
                            ["vec_id"])
         return vecs.selectExpr("label AS video_id", "vec_id", "embedding", "n AS frame_no")
 
-    @property
+    @shape
     def phrases(self) -> DataFrame:
         return self.table("conversations").selectExpr(*exprs(PHRASE_COLS))
 
-    @property
+    @shape
     def replies(self) -> DataFrame:
         return self.table("events").selectExpr(*exprs(REPLY_COLS))
 
-    @property
+    @shape
     def probe(self) -> DataFrame:
         return self.table("customer").selectExpr(*exprs(PROBE_COLS))
 
-    @property
+    @shape
     def zones(self) -> DataFrame:
         g = F.floor(F.col("start_s") / 30).cast("long").alias("g")
         return (self.scenes.groupBy("video_id", g)
                 .agg(*[F.expr(e) for e in exprs(ZONE_AGG)]).selectExpr(*exprs(ZONE_COLS)))
 
-    @property
+    @shape
     def segments(self) -> DataFrame:
         line = number_rows(self.table("lineitem"), ["l_orderkey"],
                            F.year("l_shipdate") * 12 + F.month("l_shipdate"), SEGMENT_ORDER)
         return line.selectExpr(*exprs(SEGMENT_COLS))
 
-    @property
+    @shape
     def cuts(self) -> DataFrame:
         return self.samples.filter("event_type <> 'view'").selectExpr(
             "video_id AS track_id", "n * 75e-2 AS cut_t")
 
-    @property
+    @shape
     def files(self) -> DataFrame:
         return self.table("pages").selectExpr(*exprs(FILE_COLS))
 
-    @property
+    @shape
     def projects(self) -> DataFrame:
         return (self.table("customer")
                 .selectExpr("CAST(floor(c_custkey / 1e1) AS BIGINT) AS project_id").distinct()
                 .selectExpr(*exprs(PROJECT_COLS)))
 
-    @property
+    @shape
     def videos(self) -> DataFrame:
         return self.table("customer").selectExpr(*exprs(VIDEO_COLS))
 
-    @property
+    @shape
     def rms(self) -> DataFrame:
         """Loudness frames of a track, 1.1 s apart so that some seconds stay empty."""
         return self.samples.selectExpr("video_id AS track_id", "n * 11e-1 AS t", "rms")
 
-    @property
+    @shape
     def tracks(self) -> DataFrame:
         return self.samples.groupBy("video_id").agg(F.max("n").alias("n")).selectExpr(
             "video_id AS track_id", "n * 11e-1 + 1e0 AS duration",
             "'/music/' || CAST(video_id AS VARCHAR(20)) || '.mp3' AS path",
             "n * 100 AS size_bytes", "n * 7 AS mtime_ms", "60 + n % 90 AS bpm")
 
-    @property
+    @shape
     def beats(self) -> DataFrame:
         return self.samples.selectExpr("video_id AS track_id", "n AS beat_no", "n * 5e-1 AS beat_t")
 
-    @property
+    @shape
     def cues(self) -> DataFrame:
         return self.projects.selectExpr(*exprs(CUE_COLS))
 

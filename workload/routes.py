@@ -20,6 +20,7 @@ RANGE_SQL = """rg AS (SELECT video_id, zone_no AS no, zone_no * 3 AS a, zone_no
 @query("Z1_zones_from_ranges", f"""WITH {RANGE_SQL} SELECT z.video_id, z.no, z.title, NOT z.technical AS required, z.z_start, z.z_end, z.score, n.scene_id AS thumb_scene
  FROM zr z JOIN num n ON n.video_id = z.video_id AND n.i = z.mid""")
 def from_ranges(fx):
+    fx.settle("scenes", "samples")
     r = fx.zones.selectExpr("video_id", "zone_no AS no", "zone_no * 3 AS first_index", "zone_no * 3 + 1 + video_id % 3 AS last_index", "title", "technical")
     return Z.zones_from_ranges(fx.scenes, r).select("video_id", "no", "title", "required", "z_start", "z_end", "score", "thumb_scene")
 
@@ -52,6 +53,7 @@ ROUTE_SQL = """rt AS (SELECT s.video_id AS route_id, s.video_id, MIN(start_s) AS
 
 @query("Z2_lane_zones", f"""WITH people AS ({INTEREST_SQL}), {VSET_SQL}, {ROUTE_SQL}, {lane_sql('z2', 'rt')} SELECT route_id, lane, scene_id, z_start, z_end, title, score FROM z2lanes""")
 def lanes(fx):
+    fx.settle("scenes", "samples")
     s = people(fx)
     routes = s.groupBy("video_id").agg(F.min("start_s").alias("r_lo"), F.max("end_s").alias("r_hi")).join(settings(fx), "video_id")
     return Z.lane_zones(s, routes.withColumn("route_id", F.col("video_id")).withColumn("lane_width", F.lit(None).cast("double"))).select(
@@ -71,6 +73,7 @@ WHOLE_SQL = """wz AS (SELECT CAST(s.video_id AS VARCHAR) AS zone_key, s.video_id
 
 @query("Z3_expand_zones", f"WITH people AS ({INTEREST_SQL}), {WHOLE_SQL}, {expand_sql('z3', 'wz')} SELECT * FROM z3zones")
 def expand(fx):
+    fx.settle("scenes", "samples")
     whole = fx.scenes.groupBy("video_id").agg(F.min("start_s").alias("z_start"), F.max("end_s").alias("z_end"))
     whole = whole.withColumn("zone_key", F.col("video_id").cast("string")).withColumn("title", F.lit("whole")).withColumn("target_span", F.lit(18.0))
     return Z.expand_zones(whole, people(fx)).select("zone_key", "video_id", "z_start", "z_end", "title")
@@ -93,6 +96,7 @@ MODEL_SQL = """people AS ({interest}), mz AS (SELECT video_id, z_start, z_end, t
  UNION ALL SELECT video_id, z_start, z_end, title, false, 'moment' FROM z4lanes
  UNION ALL SELECT video_id, MIN(start_s), arg_max(end_s, n), trim(coalesce(nullif(arg_min(substring(description, 1, 40), n), ''), 'зона ' || CAST(MIN(n) + 1 AS VARCHAR))), false, 'chain' FROM cg GROUP BY video_id, g""")
 def decide(fx):
+    fx.settle("scenes", "samples")
     s = S.scene_views(people(fx), fx.tokens)
     return Z.decide_zones(s, fx.zones.filter("video_id % 3 <> 0"), settings(fx))
 
@@ -168,7 +172,7 @@ INPUT_SQL = f"""{VSET_SQL}, {ZONES_SQL}, {SUBJECT_SQL}, {STILL_SQL},
  sn AS (SELECT s.video_id, greatest({net_sql('s_start', 's_end', 's')} - coalesce((SELECT SUM(greatest(least(s.s_end, f.f_end) - greatest(s.s_start, f.f_start), 0e0)) FROM fz f WHERE f.video_id = s.video_id), 0e0), 0e0) AS len
    FROM subject_spans s JOIN r ON r.video_id = s.video_id),
  za AS (SELECT z.*, coalesce((SELECT SUM(greatest(least(z.z_end, f.f_end) - greatest(z.z_start, f.f_start), 0e0)) FROM fz f WHERE f.video_id = z.video_id), 0e0) < 7e-1 * round(z.z_end - z.z_start + 1e-9, 3) AS awake FROM z7zones z),
- req AS (SELECT zone_key, video_id, z_start, z_end, title FROM (SELECT *, bool_or(awake) OVER (PARTITION BY video_id) AS some FROM za) q WHERE awake OR NOT some),
+ req AS (SELECT zone_key, video_id, z_start, z_end, title FROM (SELECT *, bool_or(awake) OVER (PARTITION BY video_id) AS any_awake FROM za) q WHERE awake OR NOT any_awake),
  routes AS (SELECT r.video_id AS route_id, r.video_id, r.r_lo, r.r_hi, r.r_hi - r.r_lo - coalesce((SELECT SUM(greatest(least(t_hi, r.r_hi) - greatest(t_lo, r.r_lo), 0e0)) FROM tech t WHERE t.video_id = r.video_id), 0e0) AS route_len,
    v.target_duration AS target, v.zone_speed, v.gap_max, v.w_min, v.w_max, v.fade, coalesce((SELECT SUM(len) FROM sn WHERE sn.video_id = r.video_id), 0e0) AS subject_len, coalesce((SELECT SUM(net) FROM fz WHERE fz.video_id = r.video_id), 0e0) AS frozen_len,
    greatest(CASE WHEN v.pause_out = 0 THEN 5e-1 ELSE v.pause_out END, 1e-1, v.fade + 1e-1) AS pause_s,
@@ -182,6 +186,7 @@ def inputs(fx):
 
 @query("Z7_route_inputs", f"""WITH {INPUT_SQL} SELECT video_id, r_lo, r_hi, round(route_len + 1e-9, 6) AS route_len, round(subject_len + 1e-9, 6) AS subject_len, round(frozen_len + 1e-9, 6) AS frozen_len, pause_s, round(frozen_out + 1e-9, 6) AS frozen_out FROM routes""")
 def route_inputs(fx):
+    fx.settle("scenes", "samples")
     r = inputs(fx)["routes"]
     return r.select("video_id", "r_lo", "r_hi", rnd("route_len", 6).alias("route_len"), rnd("subject_len", 6).alias("subject_len"),
                     rnd("frozen_len", 6).alias("frozen_len"), "pause_s", rnd("frozen_out", 6).alias("frozen_out"))
@@ -189,11 +194,13 @@ def route_inputs(fx):
 
 @query("Z7_required_zones", f"WITH {INPUT_SQL} SELECT * FROM req")
 def required(fx):
+    fx.settle("scenes", "samples")
     return inputs(fx)["required"]
 
 
 @query("Z7_route_timing", f"WITH {INPUT_SQL} SELECT route_id AS video_id, window_s, zone_speed, gap_speed, fits, subject_speed, least_s FROM timing")
 def route_timing(fx):
+    fx.settle("scenes", "samples")
     return Z.timing_of(inputs(fx))
 
 
@@ -223,6 +230,7 @@ def window_zones(fx):
 
 @query("Z8_zone_windows", f"""WITH {SUBJECT_SQL}, wzn AS (SELECT CAST(video_id AS VARCHAR) || '/' || CAST(zone_no AS VARCHAR) AS zone_key, video_id, z_start, z_end, CAST(4 + video_id % 3 AS DOUBLE) AS window_s FROM fx_zones), {window_sql('wzn', 'frozen_spans')} SELECT * FROM zw""")
 def zone_windows(fx):
+    fx.settle("scenes", "samples")
     s = people(fx)
     return Z.zone_windows(window_zones(fx), clock4(fx), s, V.frozen_scene_spans(s))
 
@@ -269,6 +277,7 @@ def some_pieces(fx):
 
 @query("Z9_gap_pieces", f"WITH {PIECE_SQL} SELECT video_id, label, round(p_lo + 1e-9, 6) AS p_lo, round(p_hi + 1e-9, 6) AS p_hi, kind FROM pieces")
 def pieces(fx):
+    fx.settle("scenes", "samples")
     return some_pieces(fx).select("video_id", "label", rnd("p_lo", 6).alias("p_lo"), rnd("p_hi", 6).alias("p_hi"), "kind")
 
 
@@ -277,14 +286,15 @@ SEG_SQL = """sg0 AS (SELECT p.*, CASE kind WHEN 'frozen' THEN greatest((p_hi - p
     WHEN 'subject' THEN 'щадящая перемотка ×' || regexp_replace(printf('%.2f', t.subject_speed), '\\.?0+$', '') || ' — в кадре люди' ELSE 'перемотка ×' || regexp_replace(printf('%.2f', t.gap_speed), '\\.?0+$', '') || ' по маршруту' END AS reason
    FROM pieces p JOIN {timing} t ON t.route_id = p.video_id JOIN {routes} o ON o.video_id = p.video_id),
  mv AS (SELECT video_id, round(p_lo + 1e-9, 3) AS src_start, round(p_hi + 1e-9, 3) AS src_end, label AS slot, round(sp + 1e-9, 2) AS speed, reason FROM sg0)"""
-AT_SQL = """at AS (SELECT video_id, src_start, arg_min(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM (SELECT DISTINCT m.video_id, m.src_start, s.start_s, s.scene_id FROM {segs} m JOIN fx_scenes s ON s.video_id = m.video_id AND s.start_s <= m.src_start AND m.src_start < s.end_s) q GROUP BY 1, 2),
+AT_SQL = """spot AS (SELECT video_id, src_start, arg_min(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM (SELECT DISTINCT m.video_id, m.src_start, s.start_s, s.scene_id FROM {segs} m JOIN fx_scenes s ON s.video_id = m.video_id AND s.start_s <= m.src_start AND m.src_start < s.end_s) q GROUP BY 1, 2),
  la AS (SELECT video_id, arg_max(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM fx_scenes GROUP BY 1)"""
 
 
 @query("Z10_route_segments", f"""WITH {PIECE_SQL}, tm AS (SELECT video_id AS route_id, 2e0 + video_id % 5 / 2e0 AS gap_speed, 1e0 + video_id % 4 / 4e0 AS subject_speed FROM fx_videos), ro AS (SELECT video_id, 5e-1 + video_id % 3 / 1e1 AS pause_s FROM fx_videos),
  {SEG_SQL.format(timing='tm', routes='ro')}, {AT_SQL.format(segs='mv')}
- SELECT m.video_id, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(at.scene_id, la.scene_id) AS scene_id FROM mv m LEFT JOIN at ON at.video_id = m.video_id AND at.src_start = m.src_start JOIN la ON la.video_id = m.video_id""")
+ SELECT m.video_id, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(spot.scene_id, la.scene_id) AS scene_id FROM mv m LEFT JOIN spot ON spot.video_id = m.video_id AND spot.src_start = m.src_start JOIN la ON la.video_id = m.video_id""")
 def segments(fx):
+    fx.settle("scenes", "samples")
     v = fx.videos
     tm = v.selectExpr("video_id", "2e0 + video_id % 5 / 2e0 AS gap_speed", "1e0 + video_id % 4 / 4e0 AS subject_speed")
     ro = v.selectExpr("video_id", "5e-1 + video_id % 3 / 1e1 AS pause_s")
@@ -306,15 +316,17 @@ def built(fx):
     return Z.build_route_plans(route_zones(fx), people(fx), clock4(fx), still(fx), settings(fx))
 
 
-@query("Z11_route_plan", f"""WITH {PLAN_SQL} SELECT m.video_id, ROW_NUMBER() OVER (PARTITION BY m.video_id ORDER BY m.src_start, m.src_end) - 1 AS seg_no, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(at.scene_id, la.scene_id) AS scene_id
- FROM seg m LEFT JOIN at ON at.video_id = m.video_id AND at.src_start = m.src_start JOIN la ON la.video_id = m.video_id""")
+@query("Z11_route_plan", f"""WITH {PLAN_SQL} SELECT m.video_id, ROW_NUMBER() OVER (PARTITION BY m.video_id ORDER BY m.src_start, m.src_end) - 1 AS seg_no, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(spot.scene_id, la.scene_id) AS scene_id
+ FROM seg m LEFT JOIN spot ON spot.video_id = m.video_id AND spot.src_start = m.src_start JOIN la ON la.video_id = m.video_id""")
 def route_plan(fx):
+    fx.settle("scenes", "samples")
     return built(fx)[0].select("video_id", "seg_no", "src_start", "src_end", "slot", "speed", "reason", "scene_id")
 
 
 @query("Z11_route_totals", f"""WITH {PLAN_SQL} SELECT m.video_id, round(SUM(round((src_end - src_start) / speed + 1e-9, 3)) + 1e-9, 3) AS total_s, any_value(t.fits) AS fits, any_value(t.least_s) AS least_s, any_value(o.fade) AS transition_s
  FROM seg m JOIN timing t ON t.route_id = m.video_id JOIN routes o ON o.video_id = m.video_id GROUP BY 1""")
 def route_totals(fx):
+    fx.settle("scenes", "samples")
     return built(fx)[1].select("video_id", "total_s", "fits", "least_s", "transition_s")
 
 
