@@ -365,7 +365,7 @@ def route_segments(pieces: DataFrame, timing: DataFrame, routes: DataFrame, scen
 
 def _with_scene(df: DataFrame, scenes: DataFrame) -> DataFrame:
     df = keep(df, "segments").withColumn("point_id", F.struct("video_id", "src_start"))
-    at = scene_at(df.select("point_id", "video_id", F.col("src_start").alias("t")), scenes)
+    at = scene_at(df.select("point_id", "video_id", F.col("src_start").alias("t")).distinct(), scenes)
     return df.join(at, "point_id").drop("point_id")
 
 

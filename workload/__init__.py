@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("ranking", "signals", "intervals", "spans", "annotate", "music", "ingest", "timeline", "catalogue", "drafts", "routes")
+GROUPS = ("ranking", "signals", "intervals", "spans", "annotate", "music", "ingest", "timeline", "catalogue", "drafts", "routes", "streaming")
 
 
 def _load():
