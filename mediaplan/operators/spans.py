@@ -104,19 +104,21 @@ def with_phrases(frags: DataFrame, scenes: DataFrame, phrases: DataFrame) -> Dat
     return frags.join(arr, "scene_id", "left").withColumn("phrases", F.coalesce("phrases", empty))
 
 
-def hist_corr(a: str, b: str) -> Column:
-    """Correlation of two histograms of equal size; flat ones count as equal."""
+def hist_corr_sql(a: str, b: str) -> str:
     def mean(x):
         return f"(aggregate({x}, 0D, (s, v) -> s + v) / size({x}))"
 
-    def spread(x, y):
-        return (f"aggregate(zip_with({x}, {y}, (p, q) -> named_struct('p', p - m.a, 'q', q - m.b)),"
-                " 0D, (s, v) -> s + v.p * v.q)")
-    cross = spread(a, b)
+    cross = (f"aggregate(zip_with({a}, {b}, (p, q) -> named_struct('p', p - m.a, 'q', q - m.b)),"
+             " 0D, (s, v) -> s + v.p * v.q)")
     aa = f"aggregate({a}, 0D, (s, v) -> s + (v - m.a) * (v - m.a))"
     bb = f"aggregate({b}, 0D, (s, v) -> s + (v - m.b) * (v - m.b))"
-    return F.expr(f"transform(array(named_struct('a', {mean(a)}, 'b', {mean(b)})), m ->"
-                  f" if({aa} * {bb} <= 2.220446049250313e-16D, 1D, {cross} / sqrt({aa} * {bb})))[0]")
+    return (f"transform(array(named_struct('a', {mean(a)}, 'b', {mean(b)})), m ->"
+            f" if({aa} * {bb} <= 2.220446049250313e-16D, 1D, {cross} / sqrt({aa} * {bb})))[0]")
+
+
+def hist_corr(a: str, b: str) -> Column:
+    """Correlation of two histograms of equal size; flat ones count as equal."""
+    return F.expr(hist_corr_sql(a, b))
 
 
 def scene_looks(scenes: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -181,17 +183,18 @@ def similar_looks(looks: DataFrame, min_jaccard: float = 0.65) -> DataFrame:
         (F.col("scenes_a") * F.col("scenes_b")).alias("scene_pairs"))
 
 
-def similar(a: str, b: str, within: float = 20.0, min_jaccard: float = 0.65, min_corr: float = 0.88) -> Column:
+def similar_sql(a: str, b: str, within: float = 20.0, min_jaccard: float = 0.65, min_corr: float = 0.88) -> str:
+    common, union = f"size(array_intersect({a}.tokens, {b}.tokens))", f"size(array_union({a}.tokens, {b}.tokens))"
+    return (f"coalesce(({a}.video_id = {b}.video_id AND abs({a}.start_s - {b}.start_s) < {within!r}D)"
+            f" OR ({a}.scene_type <> '' AND {a}.scene_type = {b}.scene_type AND size({a}.tokens) > 0 AND size({b}.tokens) > 0"
+            f" AND {common} / greatest({union}, 1) >= {min_jaccard!r}D AND ({a}.hist IS NULL OR {b}.hist IS NULL"
+            f" OR {hist_corr_sql(f'{a}.hist', f'{b}.hist')} > {min_corr!r}D)), false)")
+
+
+def similar(a: str, b: str) -> Column:
     """Would two scenes (struct columns ``a`` and ``b`` with video_id, start_s, scene_type,
     tokens, hist) repeat each other in one film."""
-    A, B = F.col(a), F.col(b)
-    near = (A["video_id"] == B["video_id"]) & (F.abs(A["start_s"] - B["start_s"]) < within)
-    ta, tb = A["tokens"], B["tokens"]
-    both = F.size(F.array_intersect(ta, tb))
-    typed = ((A["scene_type"] != "") & (A["scene_type"] == B["scene_type"]) & (F.size(ta) > 0) & (F.size(tb) > 0))
-    alike = both / F.greatest(F.size(F.array_union(ta, tb)), F.lit(1)) >= min_jaccard
-    seen = A["hist"].isNull() | B["hist"].isNull() | (hist_corr(f"{a}.hist", f"{b}.hist") > min_corr)
-    return F.coalesce(near | (typed & alike & seen), F.lit(False))
+    return F.expr(similar_sql(a, b))
 
 
 def scene_views(scenes: DataFrame, tokens: DataFrame, hists: DataFrame | None = None) -> DataFrame:

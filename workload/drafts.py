@@ -96,3 +96,28 @@ def candidates(fx):
  FROM fx_projects p JOIN fx_preset_heads h ON h.preset_id = CASE WHEN p.preset_id IN (SELECT preset_id FROM fx_preset_heads) THEN p.preset_id ELSE 'generic' END""")
 def transition(fx):
     return P.preset_transition(chosen(fx))
+
+
+def draft(fx, variant=0, page=48):
+    from mediaplan.operators.spans import scene_views
+    from mediaplan.plans import greedy
+    from .ranking import clock20, tagged
+    from .spans import hists
+    fx.settle("scenes", "samples")
+    views = scene_views(tagged(fx), fx.tokens, hists(fx))
+    return greedy.build_drafts(chosen(fx), views, clock20(fx), fx.phrases, variant, page)
+
+
+@query("P1_build_drafts")
+def build_drafts(fx):
+    return draft(fx)[0]
+
+
+@query("P1_build_drafts_variant")
+def build_variant(fx):
+    return draft(fx, variant=2)[0]
+
+
+@query("P2_alternatives")
+def alternatives(fx):
+    return draft(fx)[1]
