@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import keep
 from .expr import col
 
 BLOCK_ROWS = 8192
@@ -143,6 +144,7 @@ def spaced_points(points: DataFrame, key: Sequence[str], at: str, gap: float,
     width = float(gap) * chunk_gaps
     blocks = (points.groupBy(*key, chunk_of(at, width).alias("_chunk"))
               .agg(F.sort_array(F.collect_list(F.col(at).cast("double"))).alias("_pts")))
+    blocks = keep(blocks, "points")  # read twice: for the summaries and for the thinning
     g = repr(float(gap))
     edge = f"(_chunk * {width!r} + {g})"
     entries = blocks.withColumn("_entry", F.expr(

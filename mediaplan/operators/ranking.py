@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expr import clamp, or_default, rnd
 from ..functions.ranges import range_join
 from ..functions.sequences import number_rows
+from ..functions.skew import join_hot
 from .signals import motion_check, motion_pairs
 
 CATALOGUE_ORDER = ["video_id", "start_s", "scene_id"]
@@ -44,7 +45,7 @@ def stability_gate(scenes: DataFrame, projects: DataFrame, min_stability: float
     counts = marked.groupBy("project_id").agg(
         F.count("*").alias("_n"), F.count(F.when(F.col("_steady"), 1)).alias("_ok"))
     options = projects.select("project_id", F.col("stabilize_shaky").alias("_keep"))
-    marked = marked.join(counts.join(options, "project_id"), "project_id")
+    marked = join_hot(marked, counts.join(options, "project_id"), ["project_id"], "scene_id")
     direct = marked.filter(F.col("_keep") | ((F.col("_ok") >= enough) & F.col("_steady")))
     short = marked.filter(~F.col("_keep") & (F.col("_ok") < enough))
     ranked = number_rows(short, ["project_id"], F.floor(F.col("jerkiness") * 1000),
@@ -58,7 +59,7 @@ def with_slots(scenes: DataFrame, projects: DataFrame, slots: DataFrame) -> Data
     """Every scene next to the slots of its project's preset. ``projects`` holds
     project_id and used_preset; the 65 slot rows are broadcast."""
     chosen = projects.select("project_id", F.col("used_preset").alias("preset_id"))
-    return (scenes.join(chosen, "project_id").join(F.broadcast(slots), "preset_id"))
+    return join_hot(scenes, chosen, ["project_id"], "scene_id").join(F.broadcast(slots), "preset_id")
 
 
 def _type_place() -> Column:

@@ -99,30 +99,32 @@ def replacement_candidates(requests: DataFrame, segments: DataFrame, alternative
 
     A plan excludes only its own segments and alternatives, so per project and slot (and
     per project and type) the first k + that many scenes are enough; they are found with a
-    group limit before anything is joined to requests."""
+    group limit before anything is joined to requests. What a plan excludes is a short
+    array: a film has tens of segments."""
     own = requests.join(segments.select("plan_id", "seg_no", "slot", F.col("scene_id").alias("_cur")), ["plan_id", "seg_no"])
     own = own.join(plans.select("plan_id", "project_id"), "plan_id")
     own = own.join(scenes.select(F.col("scene_id").alias("_cur"), F.col("scene_type").alias("_type")), "_cur", "left")
-    shown = segments.select("plan_id", "scene_id").distinct()
-    alts = alternatives.select("plan_id", "slot", "pos", "scene_id").join(shown, ["plan_id", "scene_id"], "left_anti")
-    sizes = (segments.groupBy("plan_id").agg(F.count("*").alias("n"))
-             .unionByName(alternatives.groupBy("plan_id").agg(F.count("*").alias("n"))).groupBy("plan_id").agg(F.sum("n").alias("n")))
-    depth = k + int(sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])  # one number
+    shown = segments.groupBy("plan_id").agg(F.collect_set("scene_id").alias("_shown"))
+    listed = alternatives.groupBy("plan_id", "slot").agg(F.collect_set("scene_id").alias("_alts"))
+    own = own.join(shown, "plan_id").join(listed, ["plan_id", "slot"], "left").withColumn(
+        "_no", F.concat("_shown", F.coalesce("_alts", F.array().cast(f"array<{dict(scenes.dtypes)['scene_id']}>"))))
+    own = own.withColumn("_depth", F.size("_no") + k)
+    most = k + int(own.agg(F.coalesce(F.max(F.size("_no")), F.lit(0))).first()[0])  # one number
     pool = scenes.filter("user_flag <> 'banned'").select("project_id", "scene_id", "video_id", "start_s", "scene_type", "recommended_slot")
 
     def heads(by: str):
         w = Window.partitionBy("project_id", by).orderBy("video_id", "start_s", "scene_id")
-        return pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth).drop("_r")
-    keys = ["plan_id", "seg_no", "slot"]
-    by_slot = own.select(*keys, "project_id").join(
-        heads("recommended_slot").withColumnRenamed("recommended_slot", "slot"), ["project_id", "slot"])
-    by_type = own.filter("_type IS NOT NULL").select(*keys, "project_id", F.col("_type").alias("scene_type")).join(
-        heads("scene_type"), ["project_id", "scene_type"])
+        return pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    keys = ["plan_id", "seg_no"]
+    allowed = (F.col("_r") <= F.col("_depth")) & ~F.array_contains("_no", F.col("scene_id"))
     place = ["video_id", "start_s", "scene_id"]
-    extra = (by_slot.select(*keys, *place).union(by_type.select(*keys, *place)).distinct()
-             .join(shown, ["plan_id", "scene_id"], "left_anti")
-             .join(alts.select("plan_id", "slot", "scene_id"), ["plan_id", "slot", "scene_id"], "left_anti"))
-    first = own.select(*keys).join(alts, ["plan_id", "slot"]).select(
+    asked = own.select(*keys, "slot", "project_id", "_type", "_no", "_depth")
+    by_slot = asked.join(heads("recommended_slot").withColumn("slot", F.col("recommended_slot")), ["project_id", "slot"])
+    by_type = asked.filter("_type IS NOT NULL").join(heads("scene_type").withColumn("_type", F.col("scene_type")), ["project_id", "_type"])
+    by_type = by_type.filter(F.col("recommended_slot") != F.col("slot"))
+    extra = by_slot.filter(allowed).select(*keys, *place).union(by_type.filter(allowed).select(*keys, *place))
+    first = asked.join(alternatives.select("plan_id", "slot", "pos", "scene_id"), ["plan_id", "slot"]).join(
+        shown, "plan_id").filter(~F.array_contains("_shown", F.col("scene_id"))).select(
         *keys, "scene_id", F.lit(0).alias("_g"), F.col("pos").cast("double").alias("_a"), F.lit(0.0).alias("_b"))
     both = first.unionByName(extra.select(*keys, "scene_id", F.lit(1).alias("_g"), F.col("video_id").cast("double").alias("_a"),
                                           F.col("start_s").cast("double").alias("_b")))

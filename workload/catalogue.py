@@ -99,6 +99,7 @@ def listing(fx):
  SELECT t.track_id, t.bpm, t.duration, (SELECT COUNT(*) FROM fx_beats b WHERE b.track_id = t.track_id) AS beats, climax_t, coalesce(calm, '') AS calm, coalesce(energetic, '') AS energetic
  FROM fx_tracks t JOIN climax c ON c.track_id = t.track_id LEFT JOIN x ON x.track_id = t.track_id""")
 def facts(fx):
+    fx.settle("samples")
     from mediaplan.operators import music as M
     curve = music.curve(fx)
     return C.track_facts(fx.tracks, fx.beats, M.climax(curve, fx.tracks), M.energy_ranges(curve))
