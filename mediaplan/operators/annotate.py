@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import clamp, col, or_default, rnd
 from ..functions.sequences import number_rows
+from ..functions.skew import join_hot
 
 SCORE_BATCH = 25
 
@@ -107,7 +108,7 @@ def scenario_key(text) -> Column:
 def rank_backlog(scenes: DataFrame, projects: DataFrame) -> DataFrame:
     """Described scenes not yet scored for the scenario of their project."""
     keys = projects.select("project_id", scenario_key("scenario").alias("scenario_key"))
-    return (scenes.filter("llm_status = 'done'").join(keys, "project_id")
+    return (join_hot(scenes.filter("llm_status = 'done'"), keys, ["project_id"], "scene_id")
             .filter(F.coalesce("scenario_match_key", F.lit("")) != F.col("scenario_key")))
 
 

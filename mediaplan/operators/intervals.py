@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.expr import overlap
 from ..functions.ranges import range_join
 from ..functions.sequences import chunk_of, previous_row, running, runs
+from ..functions.skew import join_hot
 from ..sources.tables import keep
 
 CHUNK_S = 3600.0
@@ -49,8 +50,8 @@ def between_spans(base: DataFrame, spans: DataFrame, key: Sequence[str], base_sp
     a, b = base_span
     lo, hi = span
     extent = base.groupBy(*key).agg(F.min(a).alias("_lo"), F.max(b).alias("_hi"))
-    before = previous_row(spans.select(*key, lo, hi), key, chunk_of(lo, chunk_s), [lo, hi],
-                          {"_ahead": F.col(hi)}).join(extent, [*key])
+    before = previous_row(spans.select(*key, lo, hi), key, chunk_of(lo, chunk_s), [lo, hi], {"_ahead": F.col(hi)})
+    before = join_hot(before, extent, key, lo)
     before = before.select(*key, F.coalesce("_ahead", F.least("_lo", lo)).alias("_g_lo"), F.col(lo).alias("_g_hi"))
     reach = spans.groupBy(*key).agg(F.max(hi).alias("_reach"))
     tail = extent.join(reach, [*key], "left").select(
@@ -89,7 +90,7 @@ def split_by_spans(base: DataFrame, spans: DataFrame, key: Sequence[str], base_s
 def net_length(spans: DataFrame, routes: DataFrame, tech: DataFrame, bin_s: float = BIN_S) -> DataFrame:
     """Length of spans (span_id, video_id, lo, hi) inside the route (r_lo, r_hi) of their
     video, less every technical span (t_lo, t_hi) on its own; never below zero."""
-    clip = spans.join(routes.select("video_id", "r_lo", "r_hi"), "video_id")
+    clip = join_hot(spans, routes.select("video_id", "r_lo", "r_hi"), ["video_id"], "lo")
     clip = clip.select("span_id", "video_id", F.greatest("lo", "r_lo").alias("c_lo"), F.least("hi", "r_hi").alias("c_hi"))
     ok = clip.filter("c_lo < c_hi")
     hit = range_join(ok, tech.select("video_id", "t_lo", "t_hi"), ["video_id"], ("c_lo", "c_hi"), ("t_lo", "t_hi"), bin_s)
@@ -125,7 +126,7 @@ def scene_at(points: DataFrame, scenes: DataFrame, bin_s: float = BIN_S) -> Data
     first = hit.filter(F.col("t") < F.col("end_s")).groupBy("point_id").agg(
         F.min_by("scene_id", F.struct("start_s", "scene_id")).alias("_hit"))
     last = s.groupBy("video_id").agg(F.max_by("scene_id", F.struct("start_s", "scene_id")).alias("_last"))
-    return (points.join(first, "point_id", "left").join(last, "video_id", "left")
+    return (join_hot(points.join(first, "point_id", "left"), last, ["video_id"], "t", how="left")
             .select("point_id", F.coalesce("_hit", "_last").alias("scene_id")))
 
 

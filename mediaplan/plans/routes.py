@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.expr import clamp, half_even, overlap, rnd
 from ..functions.ranges import range_join
 from ..functions.sequences import chunk_of, number_rows, previous_row, running
+from ..functions.skew import join_hot
 from ..operators import presets
 from ..operators.intervals import (frozen_scene_spans, merge_spans, net_length, overlap_len, scene_at,
                                    split_by_spans, subject_spans, subtract_spans, weighted_overlap)
@@ -79,7 +80,7 @@ def lane_zones(scenes: DataFrame, routes: DataFrame) -> DataFrame:
     best = hit.groupBy("route_id", "video_id", "lane").agg(first_best.alias("b"), F.max("has_person").alias("_people"))
     best = keep(best, "lanes")
     people = best.groupBy("route_id").agg(F.max("_people").alias("_any"))
-    ok = best.join(people, "route_id").filter(
+    ok = join_hot(best, people, ["route_id"], "lane").filter(
         (F.col("b.interest") >= MIN_INTEREST) & (~F.col("_any") | F.col("b.has_person")))
     ok = previous_row(ok.select("route_id", "video_id", "lane", "b"), ["route_id"], F.floor(F.col("lane") / 4096), ["lane"],
                       {"_last": F.col("b.scene_id")})
@@ -303,7 +304,8 @@ def gaps_between(routes: DataFrame, windows: DataFrame) -> tuple[DataFrame, Data
     """Windows with tiny gaps closed, and the gaps (gap_id, g_lo, g_hi, label) before,
     between and after them. ``windows``: zone_key, video_id, z_start, w_start, w_end."""
     df = previous_row(windows, ["video_id"], chunk_of("z_start", CHUNK_S), ["z_start", "zone_key"],
-                      {"_cursor": F.col("w_end")}).join(routes.select("video_id", "r_lo", "r_hi"), "video_id")
+                      {"_cursor": F.col("w_end")})
+    df = join_hot(df, routes.select("video_id", "r_lo", "r_hi"), ["video_id"], "z_start")
     df = df.withColumn("_cursor", F.coalesce("_cursor", "r_lo"))
     apart = F.col("w_start") - F.col("_cursor") >= MIN_GAP
     gaps = df.filter(apart).select("video_id", F.col("_cursor").alias("g_lo"), F.col("w_start").alias("g_hi"), F.lit(LABEL_MOVE).alias("label"))
@@ -350,8 +352,8 @@ def glue_pieces(pieces: DataFrame) -> DataFrame:
 def route_segments(pieces: DataFrame, timing: DataFrame, routes: DataFrame, scenes: DataFrame) -> DataFrame:
     """Segments for pieces: speed and reason by kind, and the scene each starts in.
     ``timing``: video_id, gap_speed, subject_speed; ``routes``: video_id, pause_s."""
-    df = pieces.join(timing.select("video_id", "gap_speed", "subject_speed"), "video_id").join(
-        routes.select("video_id", "pause_s"), "video_id")
+    facts = timing.select("video_id", "gap_speed", "subject_speed").join(routes.select("video_id", "pause_s"), "video_id")
+    df = join_hot(pieces, facts, ["video_id"], "p_lo")
     length = F.col("p_hi") - F.col("p_lo")
     speed = (F.when(F.col("kind") == "frozen", F.greatest(length / F.col("pause_s"), F.col("gap_speed")))
              .when(F.col("kind") == "subject", F.col("subject_speed")).otherwise(F.col("gap_speed")))
