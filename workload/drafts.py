@@ -86,6 +86,7 @@ ALT = "plan_id, slot, seg_no AS pos, scene_id * 5 + 1 AS scene_id"
  SELECT plan_id, seg_no, choice, scene_id FROM rk WHERE choice <= 4 AND scene_id IN (SELECT scene_id FROM fx_scenes)""")
 def candidates(fx):
     from .ingest import plans
+    fx.settle("scenes", "segments")
     seg = fx.segments
     return P.replacement_candidates(seg.filter("seg_no = 0").select("plan_id", "seg_no"), seg,
                                     seg.filter("seg_no >= 2").selectExpr("plan_id", "slot", "seg_no AS pos", "scene_id * 5 + 1 AS scene_id"),
