@@ -115,7 +115,8 @@ def phrase_places(found: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None,
                   threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without the text unless ``keep_text``), then n_words, places (first word and label
-    of each phrase) and blocks (first word, words, label and containment of each block that matches).
+    of each phrase) and blocks (first word, words, label and containment of each block that matches, and whether no
+    other template matches it better).
 
     Null and empty texts have no words and nothing found; repeated rows are scanned one by one; ties
     of containment give all labels; own columns with the new names are replaced."""
@@ -127,7 +128,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     shared = docs.sparkSession.sparkContext.broadcast(Templates(texts, frequency, threshold))
     wanted = [(words(p.encode()), label) for p, label in (PHRASES if phrases is None else phrases)]
     added = ("n_words long, places array<struct<word:long,label:string>>, "
-             "blocks array<struct<word:long,words:long,label:string,containment:double>>")
+             "blocks array<struct<word:long,words:long,label:string,containment:double,best:boolean>>")
     out = docs.drop("n_words", "places", "blocks")
     plain = [c for c in out.columns if c != "text" or keep_text]
     out = out.select(*[F.col(f"`{c}`") for c in plain], utf8().alias("_body"))
@@ -148,14 +149,16 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                     before = 0
                     for block in _BLOCK_END.split(text):
                         inside = words(block)
-                        for t, part in index.matches(inside).items():
-                            own.append({"word": before, "words": len(inside), "label": index.labels[t], "containment": part})
+                        found_here = index.matches(inside)
+                        for t, part in found_here.items():
+                            own.append({"word": before, "words": len(inside), "label": index.labels[t], "containment": part,
+                                        "best": part == max(found_here.values())})
                         before += len(inside)
                 blocks.append(own)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(plain)], pa.array(n, pa.int64()),
                  pa.array(places, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
-                 pa.array(blocks, pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])))],
+                 pa.array(blocks, pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("best", pa.bool_())])))],
                 [*plain, "n_words", "places", "blocks"])
 
     return out.mapInArrow(scan, with_fields(out.drop("_body"), added))

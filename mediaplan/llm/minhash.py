@@ -3,14 +3,14 @@
 1. One pass over the texts gives each document the digest of its shingle set, the low
    bits of its minima packed into longs, and a key for each band of whole minima.
    Documents with one set are one class, whose smallest doc_id stands for it.
-2. Candidates: classes that share a band's key meet the smallest class of that key (never each
+2. Candidates: classes that share a band's key meet the centre of that key (never each
    other, so a key with a third of all classes gives as many pairs as it has classes). Pairs
    whose similarity, estimated by counting equal packed values and corrected for
    chance collisions, is far below the threshold are let go.
 3. The rest are confirmed on full shingle sets; confirmed links make components.
-4. Keys whose classes are still in several components need more pairs: stars around other
-   centres first, then every pair of classes from different components, in blocks of a
-   key that are estimated where they meet; only pairs that are likely links leave a block.
+4. Keys whose classes are still in several components need more pairs: every pair of classes
+   from different components meets in blocks of a key. An exact bound from the shingles that a class
+   alone has, and the estimate, let most go there; only pairs that can be links leave a block.
 
 Bands of 5 minima out of 120 lose a link at the threshold 0.85 with probability 8e-7."""
 
@@ -143,17 +143,40 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .filter(estimated("p", "q") >= percent / 100 - MARGIN).select("a", "b").distinct())
 
 
+def _central_pairs(keys: DataFrame) -> DataFrame:
+    """Each class of a key with the key's centre: the class that meets most others over all keys,
+    as the text that the rest are copies of does; ties go to the smallest id."""
+    weight = keys.groupBy("id").agg(F.sum("n").alias("weight"))
+    centre = keys.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", (-F.col("id")).alias("minus")))["minus"]).alias("centre"))
+    met = keys.join(keep(centre, "centres"), "key").filter("id <> centre")
+    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
 def _unsettled(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of keys whose classes are in several components."""
-    labelled = keys.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    labelled = keep(labelled, "labelled")
+    labelled = keep(keys.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    return _mixed(labelled)
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     return keep(labelled.join(keep(split, "split-keys"), "key"), "unsettled")
 
 
+def _own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, n (shingles) and own (those that no other member has) of each member."""
+    held = keep(sets.join(members, "id", "left_semi"), "member-sets")
+    single = held.select("id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    return keep(held.select("id", F.size("shingles").alias("n")).join(own, "id", "left").fillna(0, ["own"]), "own-shingles")
+
+
 def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs with different labels among the members of each key. A key's members
-    are dealt into blocks; each pair of blocks meets in one group of at most two blocks."""
+    """Pairs with different labels among the members of each key that can be links. A key's
+    members are dealt into blocks; each pair of blocks meets in one group of at most two blocks.
+
+    A shingle that one member alone has is in no intersection, which bounds the similarity of a
+    pair exactly: edited copies of one text that are too far apart are told from sizes alone."""
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     signs = classes.select("id", *[f"s{i}" for i in range(LONGS)])
     dealt = (rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -165,25 +188,27 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
     def meet(pdf):
         left, right = pdf[pdf.block == pdf["first"]], pdf[pdf.block == pdf["second"]]
+        n, own, label = ((left[c].to_numpy()[:, None], right[c].to_numpy()[None, :]) for c in ("n", "own", "label"))
+        may = ((label[0] != label[1]) & (100 * (n[0] - own[0]) >= percent * (n[1] + own[0]))
+               & (100 * (n[1] - own[1]) >= percent * (n[0] + own[1])))
+        i, j = np.nonzero(may)
         p, q = (d[[f"s{i}" for i in range(LONGS)]].to_numpy().view(np.uint64) for d in (left, right))
-        differ = np.zeros((len(p), len(q)), np.int64)
-        for i in range(LONGS):
-            x = p[:, None, i] ^ q[None, :, i]
+        near = np.zeros(len(i), bool)
+        for at in range(0, len(i), 50_000):
+            x = p[i[at:at + 50_000]] ^ q[j[at:at + 50_000]]
             folded = x.copy()
             for k in range(1, BITS):
                 folded |= x >> np.uint64(k)
-            differ += np.bitwise_count(folded & lanes)
-        near = (HASHES - differ >= least) & (left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :])
-        i, j = np.nonzero(near)
-        a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
+            near[at:at + 50_000] = HASHES - np.bitwise_count(folded & lanes).sum(axis=1) >= least
+        a, b = left.id.to_numpy()[i[near]], right.id.to_numpy()[j[near]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return type(pdf)({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    columns = ["key", "first", "second", "block", "id", "label", *[f"s{i}" for i in range(LONGS)]]
+    columns = ["key", "first", "second", "block", "id", "label", "n", "own", *[f"s{i}" for i in range(LONGS)]]
     return dealt.select(*columns).groupBy("key", "first", "second").applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, percent: int = 85, size: int = 3, centres: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links
     reach, itself included) and kept.
 
@@ -198,35 +223,19 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 3, centres:
     classes = keep(filled.groupBy("set_digest").agg(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in signs]), "classes")
     keys = classes.select("id", F.explode("bands").alias("key"))
-    shared = keep(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-                  .filter("n > 1"), "shared-keys")
-    keys = keep(keys.join(shared.select("key", "lo"), "key"), "keys")
-    pairs = keep(_likely(keys.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(),
-                         classes, percent), "pairs")
-    sets = keep(_sets(docs, _ends(pairs), size), "sets")
+    shared = keep(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+    keys = keep(keys.join(shared, "key"), "keys")
+    pairs = keep(_likely(_central_pairs(keys), classes, percent), "pairs")
+    sets = keep(_sets(docs, keys.select("id").distinct(), size), "sets")  # the texts move once
     links = keep(_confirmed(pairs, sets, percent), "near-links")
     labels = keep(components(links), "labels")
     rest = _unsettled(keys.select("key", "id"), labels)
-    for turn in range(centres + 1):
-        if rest.isEmpty():
-            break
-        if turn < centres:  # other centres: one of each key, drawn anew
-            drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "label")).alias("c")
-            centre = keep(rest.groupBy("key").agg(drawn).select("key", "c.id", "c.label").toDF("key", "centre", "centre_label"), "centres")
-            tried = (rest.join(centre, "key").filter("label <> centre_label")
-                     .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-            tried = keep(_likely(tried, classes, percent), "pairs")
-        else:
-            tried = keep(_block_pairs(rest, classes, percent), "pairs")
-        if tried.isEmpty():
-            if turn < centres:
-                continue
-            break
-        found = keep(_confirmed(tried, keep(_sets(docs, _ends(tried), size), "sets"), percent), "near-links")
-        links = links.unionByName(found)
+    if not rest.isEmpty():
+        facts = _own_shingles(rest.select("id").distinct(), sets).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+        rest = _mixed(keep(rest.join(facts, "id"), "linkable"))
+        found = keep(_confirmed(keep(_block_pairs(rest, classes, percent), "pairs"), sets, percent), "near-links")
         if not found.isEmpty():
-            labels = keep(components(links), "labels")
-            rest = _unsettled(rest.select("key", "id"), labels)
+            labels = keep(components(links.unionByName(found)), "labels")
     nodes = classes.select("set_digest", "id").join(labels, "id", "left").select(
         "set_digest", F.coalesce("component", "id").alias("component"))
     own = sketch.select("doc_id", "n_shingles", "set_digest")
@@ -237,10 +246,6 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 3, centres:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-
 def drop_near_copies(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     gone = near_components(docs, percent, size).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()

@@ -65,7 +65,7 @@ def op7_license_scan(spark, sf_dir):
     labels = lambda c: F.transform(c, lambda x: x["label"])
     first, last = (f(F.transform("places", lambda x: x["word"])) for f in (F.array_min, F.array_max))
     base = F.array_sort(F.array_distinct(labels("places")))
-    every = F.array_sort(F.array_distinct(F.concat(labels("places"), labels("blocks"))))
+    every = F.array_sort(F.array_distinct(F.concat(labels("places"), labels(F.filter("blocks", lambda b: b["best"])))))
     part = F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0))
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"),
                         F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
