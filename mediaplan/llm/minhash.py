@@ -8,16 +8,14 @@
    whose similarity, estimated by counting equal packed values and corrected for
    chance collisions, is far below the threshold are let go.
 3. The rest are confirmed on full shingle sets; confirmed links make components.
-4. Keys whose classes are still in several components need more pairs: every pair of classes
-   from different components meets in blocks of a key. An exact bound from the shingles that a class
-   alone has, and the estimate, let most go there; only pairs that can be links leave a block.
+4. Classes of one centre that are still in several components need more pairs. Those with too
+   many shingles that nobody shares have no links; the others of a centre meet in blocks, where full sets
+   are compared by what differs from the centre's. No pair leaves a block unless it joins two components.
 
 Bands of 5 minima out of 120 lose a link at the threshold 0.85 with probability 8e-7."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -143,19 +141,18 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .filter(estimated("p", "q") >= percent / 100 - MARGIN).select("a", "b").distinct())
 
 
-def _central_pairs(keys: DataFrame) -> DataFrame:
-    """Each class of a key with the key's centre: the class that meets most others over all keys,
-    as the text that the rest are copies of does; ties go to the smallest id."""
+def _centred(keys: DataFrame) -> DataFrame:
+    """(key, id): each class with the centre of each of its keys, the class that meets most others over
+    all keys, as the text that the rest are copies of does; ties go to the smallest id."""
     weight = keys.groupBy("id").agg(F.sum("n").alias("weight"))
-    centre = keys.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", (-F.col("id")).alias("minus")))["minus"]).alias("centre"))
-    met = keys.join(keep(centre, "centres"), "key").filter("id <> centre")
-    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    best = F.max(F.struct("weight", (-F.col("id")).alias("minus")))["minus"]
+    centre = keep(keys.join(weight, "id").groupBy("key").agg((-best).alias("centre")), "centres")
+    return keep(keys.join(centre, "key").select(F.col("centre").alias("key"), "id").distinct(), "centred")
 
 
 def _unsettled(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of keys whose classes are in several components."""
-    labelled = keep(keys.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "labelled")
-    return _mixed(labelled)
+    return _mixed(keep(keys.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "labelled"))
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
@@ -171,40 +168,56 @@ def _own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(held.select("id", F.size("shingles").alias("n")).join(own, "id", "left").fillna(0, ["own"]), "own-shingles")
 
 
-def _block_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs with different labels among the members of each key that can be links. A key's
-    members are dealt into blocks; each pair of blocks meets in one group of at most two blocks.
-
-    A shingle that one member alone has is in no intersection, which bounds the similarity of a
-    pair exactly: edited copies of one text that are too far apart are told from sizes alone."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    signs = classes.select("id", *[f"s{i}" for i in range(LONGS)])
-    dealt = (rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-             .join(signs, "id")
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (key, id, label, n) of each group with different labels. A
+    group's members are dealt into blocks; each pair of blocks meets in one task's group of at most two blocks.
+
+    Members travel as what differs between their sets and the centre's, which is little;
+    x and y differ in what one of these differences has and the other has not, so counting common
+    elements by one matrix product gives every similarity exactly. Of the links found between two
+    blocks, only as many leave as are needed to join their labels."""
+    counts = keep(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    mine = sets.select("id", F.col("shingles").alias("x"))
+    centre = sets.select(F.col("id").alias("key"), F.col("shingles").alias("c"))
+    differ = rows.join(mine, "id").join(centre, "key").select(
+        "key", "id", "label", "n", F.concat(F.array_except("x", "c"), F.array_except("c", "x")).alias("d"))
+    dealt = (keep(differ, "differences").join(counts, "key")
+             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")))
-    least = math.ceil(HASHES * ((percent / 100 - MARGIN) * (1 - 2.0 ** -BITS) + 2.0 ** -BITS) - 1e-9)
-    lanes = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
 
     def meet(pdf):
-        left, right = pdf[pdf.block == pdf["first"]], pdf[pdf.block == pdf["second"]]
-        n, own, label = ((left[c].to_numpy()[:, None], right[c].to_numpy()[None, :]) for c in ("n", "own", "label"))
-        may = ((label[0] != label[1]) & (100 * (n[0] - own[0]) >= percent * (n[1] + own[0]))
-               & (100 * (n[1] - own[1]) >= percent * (n[0] + own[1])))
-        i, j = np.nonzero(may)
-        p, q = (d[[f"s{i}" for i in range(LONGS)]].to_numpy().view(np.uint64) for d in (left, right))
-        near = np.zeros(len(i), bool)
-        for at in range(0, len(i), 50_000):
-            x = p[i[at:at + 50_000]] ^ q[j[at:at + 50_000]]
-            folded = x.copy()
-            for k in range(1, BITS):
-                folded |= x >> np.uint64(k)
-            near[at:at + 50_000] = HASHES - np.bitwise_count(folded & lanes).sum(axis=1) >= least
-        a, b = left.id.to_numpy()[i[near]], right.id.to_numpy()[j[near]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return type(pdf)({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    columns = ["key", "first", "second", "block", "id", "label", "n", "own", *[f"s{i}" for i in range(LONGS)]]
+        size, row = pdf["d"].map(len).to_numpy(), np.repeat(np.arange(len(pdf)), pdf["d"].map(len))
+        _, token, times = np.unique(np.concatenate(pdf["d"].to_numpy()), return_inverse=True, return_counts=True)
+        several = times[token] > 1
+        row, token = row[several], (np.cumsum(times > 1) - 1)[token[several]]
+        left, right = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("first", "second"))
+        n, label, ids = pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["id"].to_numpy()
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int((times > 1).sum()), 4096):  # a strip of elements at a time
+            own = (token >= at) & (token < at + 4096)
+            strip = np.zeros((len(pdf), 4096), np.float32)
+            strip[row[own], token[own] - at] = 1
+            common += strip[left] @ strip[right].T
+        apart = size[left][:, None] + size[right][None, :] - 2 * common.astype(np.int64)
+        link = (100 - percent) * (n[left][:, None] + n[right][None, :]) >= (100 + percent) * apart
+        i, j = np.nonzero(link & (label[left][:, None] != label[right][None, :]))
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for a, b in zip(left[i].tolist(), right[j].tolist()):
+            p, q = root(label[a]), root(label[b])
+            if p != q:
+                parent[p] = q
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return type(pdf)(out, columns=["a", "b"])
+
+    columns = ["key", "first", "second", "block", "id", "label", "n", "d"]
     return dealt.select(*columns).groupBy("key", "first", "second").applyInPandas(meet, "a long, b long").distinct()
 
 
@@ -225,15 +238,17 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     keys = classes.select("id", F.explode("bands").alias("key"))
     shared = keep(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     keys = keep(keys.join(shared, "key"), "keys")
-    pairs = keep(_likely(_central_pairs(keys), classes, percent), "pairs")
+    centred = _centred(keys)
+    met = centred.filter("id <> key").select(F.least("id", "key").alias("a"), F.greatest("id", "key").alias("b")).distinct()
+    pairs = keep(_likely(met, classes, percent), "pairs")
     sets = keep(_sets(docs, keys.select("id").distinct(), size), "sets")  # the texts move once
     links = keep(_confirmed(pairs, sets, percent), "near-links")
     labels = keep(components(links), "labels")
-    rest = _unsettled(keys.select("key", "id"), labels)
+    rest = _unsettled(centred, labels)
     if not rest.isEmpty():
         facts = _own_shingles(rest.select("id").distinct(), sets).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
         rest = _mixed(keep(rest.join(facts, "id"), "linkable"))
-        found = keep(_confirmed(keep(_block_pairs(rest, classes, percent), "pairs"), sets, percent), "near-links")
+        found = keep(_block_links(rest, sets, percent), "near-links")
         if not found.isEmpty():
             labels = keep(components(links.unionByName(found)), "labels")
     nodes = classes.select("set_digest", "id").join(labels, "id", "left").select(
