@@ -16,6 +16,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,9 +31,12 @@ ROUNDS = 3
 #: Characters of a word that are scored in one pass; a longer word is scored in pieces of that size.
 WORD_CHARS = 40
 FLOOR = 1e-7
+#: What a task holds at a time: bytes of text, words in one forward pass, words with known scores.
+PART_BYTES, STEP_WORDS, KNOWN_WORDS = 2_000_000, 4_000, 200_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
+TABLE_CLASSES = 128
 
 
 def vocabulary_pieces(name: str = PIECES) -> list[str]:
@@ -46,11 +50,13 @@ def vocabulary_pieces(name: str = PIECES) -> list[str]:
 
 
 class PieceTrie:
-    """States for prefixes of pieces, as one table (state, character class) -> state. State
-    0 is dead and state 1 the root; each state names the piece that ends there (0: none)."""
+    """States for prefixes of pieces; state 0 is dead, state 1 the root, and each names the piece
+    that ends there (0: none). Steps on the characters with most steps are in one table (state, class);
+    steps on the many characters of large scripts are in a sorted list."""
 
     def __init__(self, pieces: list[str]):
-        self.classes = {c: i + 1 for i, c in enumerate(sorted({c for p in pieces for c in p}))}
+        uses = Counter(c for p in pieces for c in p)
+        self.classes = {c: i + 1 for i, c in enumerate(sorted(uses, key=lambda c: (-uses[c], c)))}
         steps, ends = [{}, {}], [0, 0]
         for number, piece in enumerate(pieces, 1):
             at = 1
@@ -60,23 +66,27 @@ class PieceTrie:
                     steps.append({})
                     ends.append(0)
             ends[at] = number
-        width = len(self.classes) + 1
-        keys = np.array([s * width + c for s, to in enumerate(steps) for c in to], np.int64)
-        goals = np.array([g for to in steps for g in to.values()], np.int32)
-        self.width, self.ends = width, np.array(ends, np.int32)
-        order = np.argsort(keys)
-        self.keys, self.goals = keys[order], goals[order]
+        self.width, self.ends = len(self.classes) + 1, np.array(ends, np.int32)
+        pairs = sorted((s * self.width + c, to) for s, own in enumerate(steps) for c, to in own.items())
+        self.keys, self.goals = np.array([k for k, _ in pairs], np.int64), np.array([g for _, g in pairs], np.int32)
         self._table = None
 
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
 
-    @property
-    def table(self) -> np.ndarray:
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         if self._table is None:
-            self._table = np.zeros((len(self.ends) * self.width), np.int32)
-            self._table[self.keys] = self.goals
-        return self._table
+            common = self.keys % self.width < TABLE_CLASSES
+            self._table = np.zeros((len(self.ends), TABLE_CLASSES), np.int32)
+            self._table[self.keys[common] // self.width, self.keys[common] % self.width] = self.goals[common]
+        rare = code >= TABLE_CLASSES
+        if not rare.any():
+            return self._table[state, code].astype(np.int64)
+        out = self._table[state, np.where(rare, 0, code)].astype(np.int64)
+        key = state[rare] * self.width + code[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[rare] = np.where(self.keys[at] == key, self.goals[at], 0)
+        return out
 
     def codes(self, words: list[str], length: int) -> np.ndarray:
         """Character classes of words of one length."""
@@ -91,7 +101,7 @@ class PieceTrie:
         for begin in range(length):
             rows, state = np.arange(n), np.ones(n, np.int64)
             for end in range(begin, min(length, begin + LONGEST_PIECE)):
-                state = self.table[state * self.width + codes[rows, end]].astype(np.int64)
+                state = self.step(state, codes[rows, end])
                 alive = state > 0
                 rows, state = rows[alive], state[alive]
                 if not len(rows):
@@ -165,8 +175,8 @@ class Model:
         owner = np.repeat(np.arange(len(words)), [len(ps) for ps in parts])
         out = np.zeros((len(words), len(self.languages)))
         for length, at in _by_length(flat).items():
-            for i in range(0, len(at), 20_000):
-                own = at[i:i + 20_000]
+            for i in range(0, len(at), STEP_WORDS):
+                own = at[i:i + STEP_WORDS]
                 alpha = forward(self.trie, self.trie.codes([flat[k] for k in own], length), self.table)
                 np.add.at(out, owner[own], np.log(np.maximum(alpha[length], 1e-300)))
         return out
@@ -176,9 +186,18 @@ def letters(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def parts_of(batch: pa.RecordBatch, column: int):
+    """The batch in parts of about PART_BYTES of text, at least a row each."""
+    size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+    part = (np.cumsum(size) // PART_BYTES).tolist()
+    begin = [i for i, p in enumerate(part) if not i or p != part[i - 1]]
+    for a, b in zip(begin, [*begin[1:], len(part)]):
+        yield batch.slice(a, b - a)
+
+
 def _word_counts(rows: DataFrame) -> DataFrame:
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1)):
             per: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 per.setdefault(lang, Counter()).update(part for w in letters(text) for part in _cut(w))
@@ -219,8 +238,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS,
                 found, weights = pdf["word"].tolist(), pdf["n"].to_numpy(float)
                 lang = pdf["lang"].map(column).to_numpy()
                 for length, at in _by_length(found).items():
-                    for i in range(0, len(at), 20_000):
-                        own = np.array(at[i:i + 20_000])
+                    for i in range(0, len(at), STEP_WORDS):
+                        own = np.array(at[i:i + STEP_WORDS])
                         weight = np.zeros((len(own), table.shape[1]))
                         weight[np.arange(len(own)), lang[own]] = weights[own]
                         total += expected_counts(trie, trie.codes([found[k] for k in own], length), table, weight)
@@ -248,29 +267,34 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     at = out.columns.index(text)
 
     def judge(batches):
-        model, place, scores = shared.value, {}, None
-        for batch in batches:
-            found, best, sure = [Counter(letters(t)) for t in batch.column(at).to_pylist()], [], []
-            if model:
-                if len(place) > 1_000_000:
-                    place, scores = {}, None
-                new = list({w for words in found for w in words if w not in place})
-                place.update(zip(new, range(len(place), len(place) + len(new))))
-                fresh = model.word_scores(new) if new else np.zeros((0, len(model.languages)))
-                scores = fresh if scores is None else np.concatenate([scores, fresh])
-            for words in found:
-                if not words or not model:
-                    best.append(UNKNOWN)
-                    sure.append(0.0)
-                    continue
-                rows = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                total = np.fromiter(words.values(), float, len(words)) @ scores[rows]
-                posterior = np.exp(total - total.max())
-                k = int(total.argmax())
-                best.append(model.languages[k])
-                sure.append(float(posterior[k] / posterior.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())],
-                                             [*batch.schema.names, "lang_pred", "score"])
+        model, place = shared.value, {}
+        scores = np.zeros((KNOWN_WORDS, len(model.languages) if model else 0))
+        for whole in batches:
+            for batch in parts_of(whole, at):
+                found, best, sure = [Counter(letters(t)) for t in batch.column(at).to_pylist()], [], []
+                for words in found:
+                    if not words or not model:
+                        best.append(UNKNOWN)
+                        sure.append(0.0)
+                        continue
+                    total = np.zeros(len(model.languages))
+                    names, times = list(words), np.fromiter(words.values(), float, len(words))
+                    for k in range(0, len(names), KNOWN_WORDS // 2):
+                        own = names[k:k + KNOWN_WORDS // 2]
+                        new = [w for w in own if w not in place]
+                        if len(place) + len(new) > KNOWN_WORDS:
+                            place.clear()
+                            new = own
+                        if new:
+                            scores[len(place):len(place) + len(new)] = model.word_scores(new)
+                            place.update(zip(new, range(len(place), len(place) + len(new))))
+                        total += times[k:k + len(own)] @ scores[np.fromiter(map(place.__getitem__, own), np.int64, len(own))]
+                    posterior = np.exp(total - total.max())
+                    k = int(total.argmax())
+                    best.append(model.languages[k])
+                    sure.append(float(posterior[k] / posterior.sum()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())],
+                                                 [*batch.schema.names, "lang_pred", "score"])
 
     return out.mapInArrow(judge, with_fields(out, "lang_pred string, score double"))
 
