@@ -32,7 +32,7 @@ ROUNDS = 3
 WORD_CHARS = 40
 FLOOR = 1e-7
 #: What a task holds at a time: bytes of text, words in one forward pass, words with known scores.
-PART_BYTES, STEP_WORDS, KNOWN_WORDS = 2_000_000, 4_000, 200_000
+PART_BYTES, STEP_WORDS, KNOWN_WORDS = 4_000_000, 8_000, 400_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
@@ -272,23 +272,22 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         for whole in batches:
             for batch in parts_of(whole, at):
                 found, best, sure = [Counter(letters(t)) for t in batch.column(at).to_pylist()], [], []
+                if model:  # words not scored before are scored together
+                    new = [w for w in dict.fromkeys(w for words in found for w in words) if w not in place]
+                    if len(place) + len(new) > KNOWN_WORDS:
+                        place = {}
+                        new = list(dict.fromkeys(w for words in found for w in words))
+                        scores = scores if len(new) <= len(scores) else np.zeros((len(new), len(model.languages)))
+                    if new:
+                        scores[len(place):len(place) + len(new)] = model.word_scores(new)
+                        place.update(zip(new, range(len(place), len(place) + len(new))))
                 for words in found:
                     if not words or not model:
                         best.append(UNKNOWN)
                         sure.append(0.0)
                         continue
-                    total = np.zeros(len(model.languages))
-                    names, times = list(words), np.fromiter(words.values(), float, len(words))
-                    for k in range(0, len(names), KNOWN_WORDS // 2):
-                        own = names[k:k + KNOWN_WORDS // 2]
-                        new = [w for w in own if w not in place]
-                        if len(place) + len(new) > KNOWN_WORDS:
-                            place.clear()
-                            new = own
-                        if new:
-                            scores[len(place):len(place) + len(new)] = model.word_scores(new)
-                            place.update(zip(new, range(len(place), len(place) + len(new))))
-                        total += times[k:k + len(own)] @ scores[np.fromiter(map(place.__getitem__, own), np.int64, len(own))]
+                    rows = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                    total = np.fromiter(words.values(), float, len(words)) @ scores[rows]
                     posterior = np.exp(total - total.max())
                     k = int(total.argmax())
                     best.append(model.languages[k])
