@@ -46,6 +46,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def rows(self) -> DataFrame:
+        """The table as plain files, whose rows any join may move."""
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
     def append(self, docs: DataFrame, batch: int = 0) -> DataFrame:
         """Takes in a batch (doc_id, text) and returns a row for each of its rows: doc_id, digest, chars,
         keep_id, group_size (rows of this batch with the text), fresh (the text was not in the
@@ -68,7 +72,7 @@ class DigestIndex:
         (fresh.withColumn("batch", F.lit(batch).cast("long")).select("digest", "keep_id", "chars", "group_size", "batch")
          .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
          .option("path", self.path).saveAsTable(self.name))
-        known = self.spark.read.parquet(self.path).select("digest", "keep_id", F.col("chars").alias("keep_chars"), "batch",
+        known = self.rows().select("digest", "keep_id", F.col("chars").alias("keep_chars"), "batch",
                                                           F.col("group_size").alias("first_size"))
         sizes = keep(groups.select("digest", "group_size"), "digest-groups") if batch else None
         out = rows.join(known, "digest")  # both sides move, so a hot digest can be split
@@ -86,7 +90,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: int =
     """The rows of ``docs`` that stay, with all their columns."""
     index = index or DigestIndex.scratch(docs.sparkSession)
     index.append(docs, batch)
-    stays = index.spark.read.parquet(index.path).filter(F.col("batch") == batch).select(
+    stays = index.rows().filter(F.col("batch") == batch).select(
         _row_key(F.col("digest"), F.col("keep_id"), F.col("chars")).alias("_key"))
     length = F.length(F.coalesce("text", F.lit(""))).cast("long")
     marked = docs.withColumn("_key", _row_key(digest_of("text"), F.col("doc_id").cast("long"), length))

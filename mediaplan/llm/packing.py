@@ -18,6 +18,8 @@ from mediaplan.sources.tables import keep
 from .text import VOCABULARY, token_ids
 
 CHUNKS = 256
+#: Rows of a chunk that is numbered in one piece, about, once there are more than CHUNKS of them.
+CHUNK_ROWS = 50_000
 END = 0
 
 
@@ -70,9 +72,9 @@ def pack(docs: DataFrame, longest: int = 1024, vocabulary: str = VOCABULARY, wit
 
     Handles nulls, repeated rows and empty tables as ``pieces`` does."""
     cut = keep(pieces(docs, longest, vocabulary, with_ids), "pieces")
-    chunk = F.pmod(F.xxhash64("doc_id", "start"), F.lit(CHUNKS))
-    numbered = number_rows(cut, ["length"], chunk, ["doc_id", "start", "ids_crc32", "doc_tokens"], "_n")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # 11 rows at most
+    chunk = F.pmod(F.xxhash64("doc_id", "start"), F.lit(max([CHUNKS, *(n // CHUNK_ROWS for n in counts.values())])))
+    numbered = number_rows(cut, ["length"], chunk, ["doc_id", "start", "ids_crc32", "doc_tokens"], "_n")
     base, before = F.lit(0), 0
     for length in sorted(counts, reverse=True):
         base = F.when(F.col("length") == length, before).otherwise(base)

@@ -25,6 +25,8 @@ SPACE = 60
 FIRST_BITS, SPLIT_BITS = 12, 5
 ROW_BYTES = 16
 CHUNKS = 256
+#: Rows of a chunk that is numbered in one piece, about, once there are more than CHUNKS of them.
+CHUNK_ROWS = 50_000
 
 
 def row_size(text: str = "text") -> Column:
@@ -127,5 +129,5 @@ def shard_rows(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFra
     shard = sum((F.when(F.col("place") >= first, 1).otherwise(0) for first in firsts), F.lit(0))
     dealt = rows.withColumn("shard", shard.cast("int"))
     # a shard, even one of a single text, is numbered in chunks by the hash of the document
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(CHUNKS, rows.count() // CHUNK_ROWS)))
     return number_rows(dealt, ["shard"], chunk, ["doc_id", "place", "size"], "slot")
