@@ -12,10 +12,15 @@ BUCKET_COUNT = 512
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint location of the session. Only a session
-    that names none (a local test) gets a local one."""
+    """A new folder in the shared checkpoint location of the session. Only a session in one
+    JVM may name none and gets a local one; executors elsewhere could not read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_dir.get() if set_dir.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "mediaplan")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -6,7 +6,7 @@ from mediaplan.plans import drafts as P
 from .ranking import chosen
 from .registry import query
 
-CUTS_SQL = """oc AS (SELECT DISTINCT plan_id, overlap, track_id FROM (SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 3 = 0 THEN 0e0 ELSE 4e-1 END AS overlap, o_orderkey % 200 AS track_id FROM orders) q),
+CUTS_SQL = """oc AS (SELECT DISTINCT plan_id, overlap, track_id FROM (SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 3 = 0 THEN 0e0 ELSE 4e-1 END AS overlap, CAST(floor(o_custkey / 1e1) AS BIGINT) AS track_id FROM orders) q),
  cl AS (SELECT track_id, list_sort(list(DISTINCT cut_t)) AS cuts FROM fx_cuts GROUP BY 1),
  sg AS (SELECT g.plan_id, g.seg_no, g.src_start, g.src_end, coalesce(oc.overlap, 0e0) AS overlap, cl.cuts, MAX(g.seg_no) OVER (PARTITION BY g.plan_id) AS last_no
   FROM fx_segments g LEFT JOIN oc ON oc.plan_id = g.plan_id LEFT JOIN cl ON cl.track_id = oc.track_id)"""
@@ -16,7 +16,7 @@ STEP = """SELECT sg.plan_id, sg.seg_no, sg.src_start, sg.src_end, sg.overlap, sg
 
 
 def cuts(fx):
-    plans = fx.table("orders").selectExpr("o_orderkey AS plan_id", "o_orderkey % 200 AS track_id")
+    plans = fx.table("orders").selectExpr("o_orderkey AS plan_id", "CAST(floor(o_custkey / 1e1) AS BIGINT) AS track_id")
     return plans.join(fx.cuts.distinct(), "track_id").select("plan_id", "cut_t")
 
 
@@ -76,7 +76,7 @@ ALT = "plan_id, slot, seg_no AS pos, scene_id * 5 + 1 AS scene_id"
 
 
 @query("P7_replacement_candidates", f"""WITH al AS (SELECT {ALT} FROM fx_segments WHERE seg_no >= 2), pl AS (SELECT o_orderkey AS plan_id, CAST(floor(o_custkey / 1e1) AS BIGINT) AS project_id FROM orders),
- rq AS (SELECT g.plan_id, g.seg_no, g.slot, g.scene_id AS cur, pl.project_id, s.scene_type AS ctype FROM fx_segments g JOIN pl ON pl.plan_id = g.plan_id LEFT JOIN fx_scenes s ON s.scene_id = g.scene_id WHERE g.seg_no = 0),
+ rq AS (SELECT g.plan_id, g.seg_no, g.slot, g.scene_id AS cur, pl.project_id, s.scene_type AS ctype FROM fx_segments g JOIN pl ON pl.plan_id = g.plan_id LEFT JOIN fx_scenes s ON s.scene_id = g.scene_id),
  cd AS (SELECT r.plan_id, r.seg_no, a.scene_id, 0 AS g, CAST(a.pos AS DOUBLE) AS x, 0e0 AS y FROM rq r JOIN al a ON a.plan_id = r.plan_id AND a.slot = r.slot
     WHERE NOT EXISTS (SELECT 1 FROM fx_segments u WHERE u.plan_id = r.plan_id AND u.scene_id = a.scene_id)
   UNION ALL SELECT r.plan_id, r.seg_no, s.scene_id, 1, CAST(s.video_id AS DOUBLE), s.start_s FROM rq r JOIN fx_scenes s ON s.project_id = r.project_id
@@ -88,7 +88,7 @@ def candidates(fx):
     from .ingest import plans
     fx.settle("scenes", "segments")
     seg = fx.segments
-    return P.replacement_candidates(seg.filter("seg_no = 0").select("plan_id", "seg_no"), seg,
+    return P.replacement_candidates(seg.select("plan_id", "seg_no"), seg,
                                     seg.filter("seg_no >= 2").selectExpr("plan_id", "slot", "seg_no AS pos", "scene_id * 5 + 1 AS scene_id"),
                                     plans(fx), fx.scenes)
 

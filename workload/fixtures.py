@@ -85,7 +85,7 @@ ZONE_COLS = """video_id, g AS zone_no, z_start, z_end,
 
 # one cue request per project: which track, which preset, how long the film is
 CUE_COLS = """project_id AS plan_id, preset_id, target_duration,
- project_id % 150 AS track_id"""
+ project_id AS track_id"""
 
 
 def exprs(text: str) -> list[str]:

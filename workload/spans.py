@@ -132,7 +132,7 @@ def hist_corr(fx):
     return p.select("scene_a", "scene_b", rnd(S.hist_corr("ha", "hb"), 6).alias("corr"))
 
 
-GROUP_SQL = f"""sc AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY start_s, scene_id) - 1 AS n FROM fx_scenes WHERE motion = 'slow'),
+GROUP_SQL = f"""sc AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY start_s, scene_id) - 1 AS n FROM fx_scenes),
  pairs AS (SELECT * FROM (SELECT lag(scene_id) OVER (PARTITION BY video_id ORDER BY n) AS scene_a, scene_id AS scene_b FROM sc) q WHERE scene_a IS NOT NULL),
  {SIMILAR_SQL},
  isl AS (SELECT sc.*, SUM(CASE WHEN v.similar THEN 0 ELSE 1 END) OVER (PARTITION BY sc.video_id ORDER BY n) AS group_no FROM sc LEFT JOIN verdict v ON v.scene_b = sc.scene_id)"""
@@ -141,4 +141,4 @@ GROUP_SQL = f"""sc AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER
 @query("S9_group_neighbours", f"""WITH {GROUP_SQL} SELECT video_id, CAST(group_no AS BIGINT) AS group_no, MIN(n) AS first_index, MAX(n) AS last_index, MIN(start_s) AS z_start, arg_max(end_s, n) AS z_end,
  trim(coalesce(nullif(arg_min(substring(description, 1, 40), n), ''), 'зона ' || CAST(MIN(n) + 1 AS VARCHAR))) AS title FROM isl GROUP BY 1, 2""")
 def groups(fx):
-    return S.group_neighbours(views(fx).filter("motion = 'slow'"))
+    return S.group_neighbours(views(fx))
