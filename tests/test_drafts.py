@@ -1,10 +1,12 @@
-"""Drafts against a plain walk over each project's whole list, and their invariants."""
+"""Drafts: page sizes change nothing, and what holds for every draft."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mediaplan.operators import presets
+from mediaplan.operators.spans import similar_sql
 from mediaplan.plans import greedy
 
 
@@ -30,68 +32,42 @@ COLS = ("scene_id long, video_id long, project_id long, start_s double, end_s do
         " recommended_slot string, user_flag string, scenario_match_score double, tags array<string>, tokens array<string>")
 
 
-def alike(a, b):
-    if a["video_id"] == b["video_id"] and abs(a["start_s"] - b["start_s"]) < 20:
-        return True
-    x, y = set(a["tokens"]), set(b["tokens"])
-    return bool(a["scene_type"] and a["scene_type"] == b["scene_type"] and x and y and len(x & y) / len(x | y) >= 0.65)
-
-
-def plain_walk(lists, slots, target):
-    used, run, picked, spare = [], None, [], {}
-    for slot in slots:
-        left, alts = target * slot.share, []
-        todo = [c for c in lists[slot.slot] if c not in used]
-        for c in todo:
-            if left < slot.min_fragment:
-                alts.append(c["scene_id"])
-                continue
-            others = any(o["video_id"] != run and o not in used for o in todo)
-            if c["video_id"] == run and others:
-                alts.append(c["scene_id"])
-                continue
-            new = any(o not in used and not any(alike(o, u) for u in used) for o in todo)
-            if c["user_flag"] != "pinned" and any(alike(c, u) for u in used) and new:
-                alts.append(c["scene_id"])
-                continue
-            take = min(c["end_s"] - c["start_s"], slot.max_fragment, left)
-            if take < slot.min_fragment:
-                continue
-            picked.append((slot.slot, c["scene_id"]))
-            used.append(c)
-            run, left = c["video_id"], left - take
-        spare[slot.slot] = alts[:4]
-    return picked, spare
-
-
-def check(spark, seed, copies, page):
-    data = catalogue(seed, 160, copies)
+def drafts(spark, data, page):
     scenes = spark.createDataFrame([tuple(d[c.split()[0]] for c in COLS.split(", ")) for d in data], COLS).withColumn(
         "hist", F.lit(None).cast("array<double>"))
     projects = spark.createDataFrame([(p, "generic", 40.0, False) for p in range(3)],
                                      "project_id long, used_preset string, target_duration double, stabilize_shaky boolean")
-    seg, alt = greedy.build_drafts(projects, scenes, page=page)
-    seg, alt = [r.asDict() for r in seg.collect()], [r.asDict() for r in alt.collect()]
-    from mediaplan.operators import ranking as R
-    slots = presets.preset_slots(spark)
-    ranked = R.rank_for_slot(R.slot_scores(R.with_slots(scenes, projects, slots))).select("project_id", "slot", "rank", "scene_id").collect()
-    order = sorted(slots.filter("preset_id = 'generic'").collect(), key=lambda s: s.slot_no)
-    for p in range(3):
-        lists = {s.slot: [data[r.scene_id] for r in sorted((r for r in ranked if r.project_id == p and r.slot == s.slot), key=lambda r: r["rank"])] for s in order}
-        picked, spare = plain_walk(lists, order, 40.0)
-        mine = sorted((g for g in seg if g["project_id"] == p), key=lambda g: g["seg_no"])
-        assert [(g["slot"], g["scene_id"]) for g in mine] == picked
-        for s in order:
-            got = [a["scene_id"] for a in sorted((a for a in alt if a["project_id"] == p and a["slot"] == s.slot), key=lambda a: a["pos"])]
-            assert got == spare[s.slot]
-        assert len({g["scene_id"] for g in mine}) == len(mine)
-        assert sum(g["src_end"] - g["src_start"] for g in mine) <= 40.0 + 1e-6
-        assert all(g["reason"] for g in mine)
-
-
-def test_small_pages_equal_plain_walk(spark):
-    check(spark, 11, 0.3, 4)
+    return [sorted(map(tuple, d.collect())) for d in greedy.build_drafts(projects, scenes, page=page)]
 
 
-def test_many_copies_equal_plain_walk(spark):
-    check(spark, 12, 0.9, 6)
+@pytest.mark.parametrize("seed, copies, page", [(11, 0.3, 4), (12, 0.9, 6)])
+def test_small_pages_change_nothing(spark, seed, copies, page):
+    data = catalogue(seed, 160, copies)
+    segments, alternatives = drafts(spark, data, 1000)  # every list is one page
+    assert drafts(spark, data, page) == [segments, alternatives]
+    slots = {s.slot: s for s in presets.preset_slots(spark).filter("preset_id = 'generic'").collect()}
+    for p in range(3):
+        mine = [g for g in segments if g[0] == p]
+        shown = [g[2] for g in mine]
+        assert [g[1] for g in mine] == list(range(len(mine))) and len(set(shown)) == len(shown) > 0
+        assert all(data[i]["project_id"] == p for i in shown)
+        for name, slot in slots.items():
+            lengths = [g[5] - g[4] for g in mine if g[3] == name]
+            assert sum(lengths) <= 40.0 * slot.share + 1e-6
+            assert all(slot.min_fragment - 1e-6 <= x <= slot.max_fragment + 1e-6 for x in lengths)
+            spare = [a[3] for a in alternatives if a[:2] == (p, name)]
+            assert len(spare) == len(set(spare)) <= greedy.ALTERNATIVES
+        assert all(data[g[2]]["start_s"] - 1e-6 <= g[4] and g[5] <= data[g[2]]["end_s"] + 1e-6 and g[6] for g in mine)
+
+
+def test_looks_agree_with_the_column_rule(spark):
+    data = catalogue(3, 60, 0.4)
+    for d in data:
+        d["hist"] = None if d["scene_id"] % 3 == 0 else [float(x) for x in random.Random(d["scene_id"] % 7).choices(range(9), k=4)]
+    shape = "scene_id long, video_id long, start_s double, scene_type string, tokens array<string>, hist array<double>"
+    rows = spark.createDataFrame([tuple(d[c.split()[0]] for c in shape.split(", ")) for d in data], shape)
+    a, b = (rows.select(F.struct(*rows.columns).alias(n)) for n in "ab")
+    want = {(r.x, r.y) for r in a.crossJoin(b).filter(similar_sql("a", "b")).select("a.scene_id", "b.scene_id").toDF("x", "y").collect()}
+    for d in data:
+        seen = greedy._Looks(data, [d]).seen
+        assert {(e["scene_id"], d["scene_id"]) for e, like in zip(data, seen) if like} == {p for p in want if p[1] == d["scene_id"]}

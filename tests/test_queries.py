@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+import workload
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = workload.queries(), workload.oracles()
 # all of them with TEST_ALL=1; by default some of every group
 SOME = """R3_slot_scores R5_rank_for_slot R8_best_window Q5_flow_stats Q12_window_motion Q14_freeze_spans S6_speech_safe
 S7_similar_looks V4_subtract_spans V8_weighted_overlap L1_parse_reply L2_apply_annotations M6_cut_points M8_music_cue I3_plan_increment
@@ -62,6 +63,11 @@ def test_plans_scale(spark, sf_dir, name):
     assert not re.search(r"windowspecdefinition\([^,()]+ (ASC|DESC)", plan)
 
 
+def test_entry_points_give_every_query():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.count() > 0 and "rank" in df.columns
