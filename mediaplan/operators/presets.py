@@ -40,75 +40,74 @@ PRESET_HEADS = [
 INTRO_RULE = "спокойный или общий кадр, задающий место действия"
 ENDING_RULE = "завершённый кадр: общий вид или спокойный фрагмент, без обрыва"
 SLOTS = ("intro", "development", "main", "climax", "ending")
-# per preset, one line per slot in SLOTS order:
-# share | scene types, best first | shortest and longest fragment | wanted motion
-PRESET_SLOTS = {
-    "fpv_location": """0.15|establishing,location|1.5|4.0|slow
-0.30|action,location,detail|1.5|4.0|fast,slow
-0.25|action,location|1.5|4.0|fast
-0.20|climax,action|2.0|5.0|fast
-0.10|ending,establishing|2.0|5.0|slow,static""",
-    "restaurant": """0.15|establishing,location|2.0|5.0|slow,static
-0.30|detail,food,location|1.5|4.0|slow
-0.30|food,people,detail|1.5|4.0|slow,static
-0.15|food,climax,people|2.0|4.0|slow
-0.10|ending,establishing|2.0|5.0|static,slow""",
-    "coworking": """0.15|establishing,location|2.0|5.0|slow
-0.35|location,detail,people|1.5|4.0|slow
-0.25|people,detail|1.5|4.0|slow,static
-0.15|climax,location|2.0|4.0|slow
-0.10|ending,establishing|2.0|5.0|static""",
-    "travel": """0.15|establishing,location|2.0|5.0|slow
-0.30|location,detail,people|1.5|4.5|slow
-0.25|location,action,people|1.5|4.5|slow,fast
-0.20|climax,location|2.0|5.0|slow,fast
-0.10|ending,establishing|2.0|5.0|slow,static""",
-    "family": """0.15|establishing,people|2.0|5.0|static,slow
-0.35|people,detail|2.0|5.0|static,slow
-0.25|people,action|2.0|5.0|slow
-0.15|people,climax|2.0|5.0|slow
-0.10|ending,people|2.5|6.0|static,slow""",
-    "birthday": """0.15|establishing,detail|2.0|4.0|slow,static
-0.30|people,detail,action|1.5|4.0|slow
-0.25|people,action|1.5|4.0|slow,fast
-0.20|climax,people|2.0|5.0|slow
-0.10|ending,people|2.0|5.0|static,slow""",
-    "drone_cinematic": """0.15|establishing|2.5|6.0|slow
-0.30|location,establishing|2.0|6.0|slow
-0.25|location,action|2.0|6.0|slow
-0.20|climax,establishing|2.5|6.0|slow,fast
-0.10|ending,establishing|3.0|6.0|slow,static""",
-    "reels_fast": """0.10|climax,action,detail|1.0|2.5|fast,slow
-0.30|action,detail|1.0|2.5|fast
-0.30|action,people,detail|1.0|2.5|fast
-0.20|climax,action|1.5|3.0|fast
-0.10|ending,establishing|1.5|3.0|slow""",
-    "tiktok_clip": """0.10|action,climax|1.0|2.0|fast
-0.30|action,detail,people|1.0|2.5|fast
-0.30|action,people|1.0|2.5|fast
-0.20|climax,action|1.5|3.0|fast
-0.10|ending|1.5|3.0|slow,static""",
-    "real_estate": """0.15|establishing|2.5|6.0|slow,static
-0.35|location,detail|2.0|5.0|slow
-0.25|location,detail|2.0|5.0|slow,static
-0.15|climax,location|2.5|5.0|slow
-0.10|ending,establishing|2.5|6.0|static,slow""",
-    "slow_cinematic": """0.15|establishing|3.0|7.0|static,slow
-0.35|detail,location|2.5|6.0|static,slow
-0.25|detail,location|2.5|6.0|slow
-0.15|climax,establishing|3.0|6.0|slow
-0.10|ending|3.0|7.0|static""",
-    "action_montage": """0.10|action,establishing|1.0|2.5|fast,slow
-0.30|action|1.0|2.5|fast
-0.30|action,detail|1.0|2.5|fast
-0.20|climax,action|1.5|3.5|fast
-0.10|ending,establishing|2.0|4.0|slow""",
-    "generic": """0.15|establishing,intro,location|1.5|5.0|slow,static
-0.30|location,detail,people|1.5|4.5|
-0.25|action,people,detail|1.5|4.5|
-0.20|climax,action|2.0|5.0|
-0.10|ending,establishing|2.0|5.0|slow,static""",
-}
+# preset, slot, share, scene types (best first), shortest and longest fragment, wanted motion
+PRESET_SLOTS = [
+    ("fpv_location", "intro", 0.15, ["establishing", "location"], 1.5, 4.0, ["slow"]),
+    ("fpv_location", "development", 0.30, ["action", "location", "detail"], 1.5, 4.0, ["fast", "slow"]),
+    ("fpv_location", "main", 0.25, ["action", "location"], 1.5, 4.0, ["fast"]),
+    ("fpv_location", "climax", 0.20, ["climax", "action"], 2.0, 5.0, ["fast"]),
+    ("fpv_location", "ending", 0.10, ["ending", "establishing"], 2.0, 5.0, ["slow", "static"]),
+    ("restaurant", "intro", 0.15, ["establishing", "location"], 2.0, 5.0, ["slow", "static"]),
+    ("restaurant", "development", 0.30, ["detail", "food", "location"], 1.5, 4.0, ["slow"]),
+    ("restaurant", "main", 0.30, ["food", "people", "detail"], 1.5, 4.0, ["slow", "static"]),
+    ("restaurant", "climax", 0.15, ["food", "climax", "people"], 2.0, 4.0, ["slow"]),
+    ("restaurant", "ending", 0.10, ["ending", "establishing"], 2.0, 5.0, ["static", "slow"]),
+    ("coworking", "intro", 0.15, ["establishing", "location"], 2.0, 5.0, ["slow"]),
+    ("coworking", "development", 0.35, ["location", "detail", "people"], 1.5, 4.0, ["slow"]),
+    ("coworking", "main", 0.25, ["people", "detail"], 1.5, 4.0, ["slow", "static"]),
+    ("coworking", "climax", 0.15, ["climax", "location"], 2.0, 4.0, ["slow"]),
+    ("coworking", "ending", 0.10, ["ending", "establishing"], 2.0, 5.0, ["static"]),
+    ("travel", "intro", 0.15, ["establishing", "location"], 2.0, 5.0, ["slow"]),
+    ("travel", "development", 0.30, ["location", "detail", "people"], 1.5, 4.5, ["slow"]),
+    ("travel", "main", 0.25, ["location", "action", "people"], 1.5, 4.5, ["slow", "fast"]),
+    ("travel", "climax", 0.20, ["climax", "location"], 2.0, 5.0, ["slow", "fast"]),
+    ("travel", "ending", 0.10, ["ending", "establishing"], 2.0, 5.0, ["slow", "static"]),
+    ("family", "intro", 0.15, ["establishing", "people"], 2.0, 5.0, ["static", "slow"]),
+    ("family", "development", 0.35, ["people", "detail"], 2.0, 5.0, ["static", "slow"]),
+    ("family", "main", 0.25, ["people", "action"], 2.0, 5.0, ["slow"]),
+    ("family", "climax", 0.15, ["people", "climax"], 2.0, 5.0, ["slow"]),
+    ("family", "ending", 0.10, ["ending", "people"], 2.5, 6.0, ["static", "slow"]),
+    ("birthday", "intro", 0.15, ["establishing", "detail"], 2.0, 4.0, ["slow", "static"]),
+    ("birthday", "development", 0.30, ["people", "detail", "action"], 1.5, 4.0, ["slow"]),
+    ("birthday", "main", 0.25, ["people", "action"], 1.5, 4.0, ["slow", "fast"]),
+    ("birthday", "climax", 0.20, ["climax", "people"], 2.0, 5.0, ["slow"]),
+    ("birthday", "ending", 0.10, ["ending", "people"], 2.0, 5.0, ["static", "slow"]),
+    ("drone_cinematic", "intro", 0.15, ["establishing"], 2.5, 6.0, ["slow"]),
+    ("drone_cinematic", "development", 0.30, ["location", "establishing"], 2.0, 6.0, ["slow"]),
+    ("drone_cinematic", "main", 0.25, ["location", "action"], 2.0, 6.0, ["slow"]),
+    ("drone_cinematic", "climax", 0.20, ["climax", "establishing"], 2.5, 6.0, ["slow", "fast"]),
+    ("drone_cinematic", "ending", 0.10, ["ending", "establishing"], 3.0, 6.0, ["slow", "static"]),
+    ("reels_fast", "intro", 0.10, ["climax", "action", "detail"], 1.0, 2.5, ["fast", "slow"]),
+    ("reels_fast", "development", 0.30, ["action", "detail"], 1.0, 2.5, ["fast"]),
+    ("reels_fast", "main", 0.30, ["action", "people", "detail"], 1.0, 2.5, ["fast"]),
+    ("reels_fast", "climax", 0.20, ["climax", "action"], 1.5, 3.0, ["fast"]),
+    ("reels_fast", "ending", 0.10, ["ending", "establishing"], 1.5, 3.0, ["slow"]),
+    ("tiktok_clip", "intro", 0.10, ["action", "climax"], 1.0, 2.0, ["fast"]),
+    ("tiktok_clip", "development", 0.30, ["action", "detail", "people"], 1.0, 2.5, ["fast"]),
+    ("tiktok_clip", "main", 0.30, ["action", "people"], 1.0, 2.5, ["fast"]),
+    ("tiktok_clip", "climax", 0.20, ["climax", "action"], 1.5, 3.0, ["fast"]),
+    ("tiktok_clip", "ending", 0.10, ["ending"], 1.5, 3.0, ["slow", "static"]),
+    ("real_estate", "intro", 0.15, ["establishing"], 2.5, 6.0, ["slow", "static"]),
+    ("real_estate", "development", 0.35, ["location", "detail"], 2.0, 5.0, ["slow"]),
+    ("real_estate", "main", 0.25, ["location", "detail"], 2.0, 5.0, ["slow", "static"]),
+    ("real_estate", "climax", 0.15, ["climax", "location"], 2.5, 5.0, ["slow"]),
+    ("real_estate", "ending", 0.10, ["ending", "establishing"], 2.5, 6.0, ["static", "slow"]),
+    ("slow_cinematic", "intro", 0.15, ["establishing"], 3.0, 7.0, ["static", "slow"]),
+    ("slow_cinematic", "development", 0.35, ["detail", "location"], 2.5, 6.0, ["static", "slow"]),
+    ("slow_cinematic", "main", 0.25, ["detail", "location"], 2.5, 6.0, ["slow"]),
+    ("slow_cinematic", "climax", 0.15, ["climax", "establishing"], 3.0, 6.0, ["slow"]),
+    ("slow_cinematic", "ending", 0.10, ["ending"], 3.0, 7.0, ["static"]),
+    ("action_montage", "intro", 0.10, ["action", "establishing"], 1.0, 2.5, ["fast", "slow"]),
+    ("action_montage", "development", 0.30, ["action"], 1.0, 2.5, ["fast"]),
+    ("action_montage", "main", 0.30, ["action", "detail"], 1.0, 2.5, ["fast"]),
+    ("action_montage", "climax", 0.20, ["climax", "action"], 1.5, 3.5, ["fast"]),
+    ("action_montage", "ending", 0.10, ["ending", "establishing"], 2.0, 4.0, ["slow"]),
+    ("generic", "intro", 0.15, ["establishing", "intro", "location"], 1.5, 5.0, ["slow", "static"]),
+    ("generic", "development", 0.30, ["location", "detail", "people"], 1.5, 4.5, []),
+    ("generic", "main", 0.25, ["action", "people", "detail"], 1.5, 4.5, []),
+    ("generic", "climax", 0.20, ["climax", "action"], 2.0, 5.0, []),
+    ("generic", "ending", 0.10, ["ending", "establishing"], 2.0, 5.0, ["slow", "static"]),
+]
 # style: zone speed, fastest gap, fade, shortest and longest window
 STYLES = [
     ("smooth", 1.0, 8.0, 0.5, 3.0, 6.0),
@@ -127,12 +126,8 @@ PRESET_IDS = [h[0] for h in PRESET_HEADS]
 
 def slot_rows() -> list[tuple]:
     """(preset_id, slot_no, slot, share, types, min, max, motions), lists as text."""
-    rows = []
-    for preset_id, text in PRESET_SLOTS.items():
-        for no, line in enumerate(text.split("\n")):
-            share, types, lo, hi, motions = line.split("|")
-            rows.append((preset_id, no, SLOTS[no], float(share), types, float(lo), float(hi), motions))
-    return rows
+    return [(preset_id, SLOTS.index(slot), slot, share, ",".join(types), lo, hi, ",".join(motions))
+            for preset_id, slot, share, types, lo, hi, motions in PRESET_SLOTS]
 
 
 def preset_slots(spark: SparkSession) -> DataFrame:
