@@ -108,7 +108,7 @@ def expand_zones(zones: DataFrame, scenes: DataFrame) -> DataFrame:
 
 def decide_zones(scenes: DataFrame, model_zones: DataFrame, targets: DataFrame) -> DataFrame:
     """Zones of each video: the model's where they are fine enough, else its technical
-    zones with the moments between them, else chains of like scenes.
+    zones with the moments between them, else chains of like scenes. A video without scenes has none.
 
     ``scenes`` carry interest, has_person, tokens and hist; ``model_zones``: video_id,
     z_start, z_end, title, technical; ``targets``: video_id, target_duration."""
@@ -116,6 +116,7 @@ def decide_zones(scenes: DataFrame, model_zones: DataFrame, targets: DataFrame)
     ends = scenes.groupBy("video_id").agg(
         F.min("start_s").alias("_first"), F.max_by("end_s", F.struct("start_s", "scene_id")).alias("_last"))
     ends = ends.withColumn("_span", F.col("_last") - F.col("_first"))
+    model_zones = model_zones.join(ends.select("video_id"), "video_id", "left_semi")
     z = model_zones.join(ends, "video_id")
     length = _seconds("z_start", "z_end")
     tech = F.col("technical")
@@ -360,15 +361,16 @@ def route_segments(pieces: DataFrame, timing: DataFrame, routes: DataFrame, scen
     reason = (F.when(F.col("kind") == "frozen", F.format_string(REASON_FROZEN, half_even(rnd(length, 6)).cast("int"), _general("pause_s")))
               .when(F.col("kind") == "subject", F.format_string(REASON_SUBJECT, _general("subject_speed")))
               .otherwise(F.format_string(REASON_EMPTY, _general("gap_speed"))))
-    df = df.select("video_id", rnd("p_lo", 3).alias("src_start"), rnd("p_hi", 3).alias("src_end"), F.col("label").alias("slot"),
+    df = df.select("video_id", F.col("p_lo").alias("at"), rnd("p_lo", 3).alias("src_start"), rnd("p_hi", 3).alias("src_end"), F.col("label").alias("slot"),
                    rnd(speed, 2).alias("speed"), reason.alias("reason"))
     return _with_scene(df, scenes)
 
 
 def _with_scene(df: DataFrame, scenes: DataFrame) -> DataFrame:
-    df = keep(df, "segments").withColumn("point_id", F.struct("video_id", "src_start"))
-    at = scene_at(df.select("point_id", "video_id", F.col("src_start").alias("t")).distinct(), scenes)
-    return df.join(at, "point_id").drop("point_id")
+    """The scene a segment starts in, by its start ``at`` before rounding."""
+    df = keep(df, "segments").withColumn("point_id", F.struct("video_id", "at"))
+    found = scene_at(df.select("point_id", "video_id", F.col("at").alias("t")).distinct(), scenes)
+    return df.join(found, "point_id").drop("point_id", "at")
 
 
 def build_route_plans(zones: DataFrame, scenes: DataFrame, samples: DataFrame, still: DataFrame,
@@ -390,7 +392,7 @@ def build_route_plans(zones: DataFrame, scenes: DataFrame, samples: DataFrame, s
     reason = F.concat(F.format_string(REASON_ZONE, "title"), F.when(
         F.col("zone_speed") != 1, F.concat(F.lit(" ×"), _general("zone_speed"))).otherwise(""))
     stops = _with_scene(shown.select(
-        "video_id", rnd("w_start", 3).alias("src_start"), rnd("w_end", 3).alias("src_end"),
+        "video_id", F.col("w_start").alias("at"), rnd("w_start", 3).alias("src_start"), rnd("w_end", 3).alias("src_end"),
         F.substring("title", 1, 24).alias("slot"), F.col("zone_speed").alias("speed"), reason.alias("reason")), scenes)
     segments = number_rows(keep(moves.unionByName(stops), "segments"), ["video_id"], chunk_of("src_start", CHUNK_S),
                            ["src_start", "src_end"], "seg_no")

@@ -85,10 +85,10 @@ def net_length(fx):
 
 
 def windows(fx):
-    return fx.zones.selectExpr("video_id * 1000 + zone_no AS window_id", "video_id", "z_start + 5 AS a", "z_end + 5 AS b")
+    return fx.zones.selectExpr("concat_ws('/', video_id, zone_no) AS window_id", "video_id", "z_start + 5 AS a", "z_end + 5 AS b")
 
 
-WINDOW_SQL = "w AS (SELECT video_id * 1000 + zone_no AS window_id, video_id, z_start + 5 AS a, z_end + 5 AS b FROM fx_zones)"
+WINDOW_SQL = "w AS (SELECT CAST(video_id AS VARCHAR) || '/' || CAST(zone_no AS VARCHAR) AS window_id, video_id, z_start + 5 AS a, z_end + 5 AS b FROM fx_zones)"
 
 
 @query("V7_overlap_len", f"""WITH {WINDOW_SQL} SELECT window_id, coalesce(SUM(greatest(least(b, end_s) - greatest(a, start_s), 0e0)), 0e0) AS overlap
@@ -104,12 +104,12 @@ def weighted(fx):
     return V.weighted_overlap(windows(fx), fx.scenes, "quality_score").select("window_id", rnd("mean", 6).alias("mean"))
 
 
-@query("V9_scene_at", """WITH p AS (SELECT video_id * 1000 + zone_no AS point_id, video_id, z_end - 5e-1 + zone_no % 3 * 7e0 AS t FROM fx_zones),
+@query("V9_scene_at", """WITH p AS (SELECT CAST(video_id AS VARCHAR) || '/' || CAST(zone_no AS VARCHAR) AS point_id, video_id, z_end - 5e-1 + zone_no % 3 * 7e0 AS t FROM fx_zones),
  h AS (SELECT point_id, arg_min(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM p JOIN fx_scenes s ON p.video_id = s.video_id AND start_s <= t AND t < end_s GROUP BY point_id),
  l AS (SELECT video_id, arg_max(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM fx_scenes GROUP BY video_id)
  SELECT p.point_id, coalesce(h.scene_id, l.scene_id) AS scene_id FROM p LEFT JOIN h ON p.point_id = h.point_id LEFT JOIN l ON p.video_id = l.video_id""")
 def scene_at(fx):
-    points = fx.zones.selectExpr("video_id * 1000 + zone_no AS point_id", "video_id", "z_end - 5e-1 + zone_no % 3 * 7e0 AS t")
+    points = fx.zones.selectExpr("concat_ws('/', video_id, zone_no) AS point_id", "video_id", "z_end - 5e-1 + zone_no % 3 * 7e0 AS t")
     return V.scene_at(points, fx.scenes)
 
 

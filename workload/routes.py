@@ -80,7 +80,7 @@ def expand(fx):
 
 
 # a model named zones for two videos of three; every eleventh video is too short to split
-MODEL_SQL = """people AS ({interest}), mz AS (SELECT video_id, z_start, z_end, title, technical FROM fx_zones WHERE {model}),
+MODEL_SQL = """people AS ({interest}), mz AS (SELECT video_id, z_start, z_end, title, technical FROM fx_zones WHERE {model} AND video_id IN (SELECT video_id FROM people)),
  en AS (SELECT video_id, MIN(start_s) AS f, arg_max(end_s, struct_pack(a := start_s, b := scene_id)) AS l FROM people GROUP BY 1),
  fa AS (SELECT m.video_id, COUNT(CASE WHEN NOT technical THEN 1 END) AS plain, bool_or(NOT technical AND round(z_end - z_start + 1e-9, 3) > (l - f) * 45e-2) AS huge,
    MAX(CASE WHEN technical AND z_start <= f + (l - f) * 3e-1 THEN z_end END) AS fr, MIN(CASE WHEN technical AND z_end >= l - (l - f) * 3e-1 THEN z_start END) AS tt FROM mz m JOIN en ON en.video_id = m.video_id GROUP BY 1),
@@ -255,11 +255,11 @@ def piece_sql(gaps: str, tech: str, frozen: str) -> str:
  pieces AS (SELECT video_id, label, CASE WHEN ng > 1 AND len1 < 4e-1 AND gg = 2 THEN lo1 ELSE lo END AS p_lo, hi AS p_hi, kind FROM pc4 WHERE NOT (ng > 1 AND len1 < 4e-1 AND gg = 1))"""
 
 
-GAP_SQL = """gp AS (SELECT video_id * 100 + zone_no AS gap_id, video_id, z_start + video_id % 13 / 1e1 AS g_lo, z_end + 7 AS g_hi, 'переезд' AS label FROM fx_zones)"""
+GAP_SQL = """gp AS (SELECT CAST(video_id AS VARCHAR) || '/' || CAST(zone_no AS VARCHAR) AS gap_id, video_id, z_start + video_id % 13 / 1e1 AS g_lo, z_end + 7 AS g_hi, 'переезд' AS label FROM fx_zones)"""
 
 
 def some_gaps(fx):
-    return fx.zones.selectExpr("video_id * 100 + zone_no AS gap_id", "video_id", "z_start + video_id % 13 / 1e1 AS g_lo", "z_end + 7 AS g_hi", "'переезд' AS label")
+    return fx.zones.selectExpr("concat_ws('/', video_id, zone_no) AS gap_id", "video_id", "z_start + video_id % 13 / 1e1 AS g_lo", "z_end + 7 AS g_hi", "'переезд' AS label")
 
 
 def some_tech(fx):
@@ -285,14 +285,14 @@ SEG_SQL = """sg0 AS (SELECT p.*, CASE kind WHEN 'frozen' THEN greatest((p_hi - p
    CASE kind WHEN 'frozen' THEN 'статичная пауза ' || CAST(CAST(round_even(round(p_hi - p_lo + 1e-9, 6), 0) AS BIGINT) AS VARCHAR) || 'с — сжата до ' || regexp_replace(printf('%.2f', o.pause_s), '\\.?0+$', '') || 'с'
     WHEN 'subject' THEN 'щадящая перемотка ×' || regexp_replace(printf('%.2f', t.subject_speed), '\\.?0+$', '') || ' — в кадре люди' ELSE 'перемотка ×' || regexp_replace(printf('%.2f', t.gap_speed), '\\.?0+$', '') || ' по маршруту' END AS reason
    FROM pieces p JOIN {timing} t ON t.route_id = p.video_id JOIN {routes} o ON o.video_id = p.video_id),
- mv AS (SELECT video_id, round(p_lo + 1e-9, 3) AS src_start, round(p_hi + 1e-9, 3) AS src_end, label AS slot, round(sp + 1e-9, 2) AS speed, reason FROM sg0)"""
-AT_SQL = """spot AS (SELECT video_id, src_start, arg_min(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM (SELECT DISTINCT m.video_id, m.src_start, s.start_s, s.scene_id FROM {segs} m JOIN fx_scenes s ON s.video_id = m.video_id AND s.start_s <= m.src_start AND m.src_start < s.end_s) q GROUP BY 1, 2),
+ mv AS (SELECT video_id, round(p_lo + 1e-9, 3) AS src_start, round(p_hi + 1e-9, 3) AS src_end, label AS slot, round(sp + 1e-9, 2) AS speed, reason, p_lo AS raw FROM sg0)"""
+AT_SQL = """spot AS (SELECT video_id, raw, arg_min(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM (SELECT DISTINCT m.video_id, m.raw, s.start_s, s.scene_id FROM {segs} m JOIN fx_scenes s ON s.video_id = m.video_id AND s.start_s <= m.raw AND m.raw < s.end_s) q GROUP BY 1, 2),
  la AS (SELECT video_id, arg_max(scene_id, struct_pack(a := start_s, b := scene_id)) AS scene_id FROM fx_scenes GROUP BY 1)"""
 
 
 @query("Z10_route_segments", f"""WITH {PIECE_SQL}, tm AS (SELECT video_id AS route_id, 2e0 + video_id % 5 / 2e0 AS gap_speed, 1e0 + video_id % 4 / 4e0 AS subject_speed FROM fx_videos), ro AS (SELECT video_id, 5e-1 + video_id % 3 / 1e1 AS pause_s FROM fx_videos),
  {SEG_SQL.format(timing='tm', routes='ro')}, {AT_SQL.format(segs='mv')}
- SELECT m.video_id, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(spot.scene_id, la.scene_id) AS scene_id FROM mv m LEFT JOIN spot ON spot.video_id = m.video_id AND spot.src_start = m.src_start JOIN la ON la.video_id = m.video_id""")
+ SELECT m.video_id, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(spot.scene_id, la.scene_id) AS scene_id FROM mv m LEFT JOIN spot ON spot.video_id = m.video_id AND spot.raw = m.raw JOIN la ON la.video_id = m.video_id""")
 def segments(fx):
     fx.settle("scenes", "samples")
     v = fx.videos
@@ -308,7 +308,8 @@ PLAN_SQL = f"""{INPUT_SQL}, wzn AS (SELECT q.zone_key, q.video_id, q.z_start, q.
  g0 AS (SELECT video_id, cur AS g_lo, w_start AS g_hi, 'переезд' AS label FROM cu WHERE w_start - cur >= 4e-1 UNION ALL SELECT r.video_id, e, r_hi, 'финал' FROM r JOIN le ON le.video_id = r.video_id WHERE r_hi - e >= 4e-1),
  gp AS (SELECT CAST(video_id AS VARCHAR) || ':' || CAST(g_lo AS VARCHAR) AS gap_id, * FROM g0), {piece_sql('gp', 'tech', 'fz')}, {SEG_SQL.format(timing='timing', routes='routes')},
  stops AS (SELECT video_id, round(CASE WHEN w_start - cur >= 4e-1 THEN w_start ELSE cur END + 1e-9, 3) AS src_start, w_end AS src_end, substring(title, 1, 24) AS slot, zone_speed AS speed,
-  'обязательная зона «' || title || '»' || CASE WHEN zone_speed <> 1 THEN ' ×' || regexp_replace(printf('%.2f', zone_speed), '\\.?0+$', '') ELSE '' END AS reason FROM cu),
+  'обязательная зона «' || title || '»' || CASE WHEN zone_speed <> 1 THEN ' ×' || regexp_replace(printf('%.2f', zone_speed), '\\.?0+$', '') ELSE '' END AS reason,
+   CASE WHEN w_start - cur >= 4e-1 THEN w_start ELSE cur END AS raw FROM cu),
  seg AS (SELECT * FROM mv UNION ALL SELECT * FROM stops), {AT_SQL.format(segs='seg')}"""
 
 
@@ -317,7 +318,7 @@ def built(fx):
 
 
 @query("Z11_route_plan", f"""WITH {PLAN_SQL} SELECT m.video_id, ROW_NUMBER() OVER (PARTITION BY m.video_id ORDER BY m.src_start, m.src_end) - 1 AS seg_no, m.src_start, m.src_end, m.slot, m.speed, m.reason, coalesce(spot.scene_id, la.scene_id) AS scene_id
- FROM seg m LEFT JOIN spot ON spot.video_id = m.video_id AND spot.src_start = m.src_start JOIN la ON la.video_id = m.video_id""")
+ FROM seg m LEFT JOIN spot ON spot.video_id = m.video_id AND spot.raw = m.raw JOIN la ON la.video_id = m.video_id""")
 def route_plan(fx):
     fx.settle("scenes", "samples")
     return built(fx)[0].select("video_id", "seg_no", "src_start", "src_end", "slot", "speed", "reason", "scene_id")

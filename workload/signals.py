@@ -56,10 +56,10 @@ def scene_measures(fx):
                     F.round(F.col("brightness") + 1e-9, 6).alias("brightness"))
 
 
-VECTOR_SQL = """SELECT video_id * 10000 + n // 12 AS scene_id, n // 3 % 4 AS burst, n % 3 AS k, dx, dy,
+VECTOR_SQL = """SELECT CAST(video_id AS VARCHAR) || '/' || CAST(n // 12 AS VARCHAR) AS scene_id, n // 3 % 4 AS burst, n % 3 AS k, dx, dy,
  CASE WHEN n % 3 = 0 THEN (event_id % 17 - 8) / 1e0 END AS radial FROM fx_samples"""
 FLOW_SQL = f"""vec AS ({VECTOR_SQL}),
- sc AS (SELECT DISTINCT video_id * 10000 + n // 12 + CASE WHEN n % 12 = 0 AND n > 48 THEN 5000 ELSE 0 END AS scene_id FROM fx_samples),
+ sc AS (SELECT DISTINCT CAST(video_id AS VARCHAR) || '/' || CAST(n // 12 AS VARCHAR) || CASE WHEN n % 12 = 0 AND n > 48 THEN '/empty' ELSE '' END AS scene_id FROM fx_samples),
  lagged AS (SELECT *, sqrt(dx * dx + dy * dy) AS norm, lag(dx) OVER w AS px, lag(dy) OVER w AS py, lag(sqrt(dx * dx + dy * dy)) OVER w AS pn
   FROM vec WINDOW w AS (PARTITION BY scene_id, burst ORDER BY k)),
  st AS (SELECT scene_id, quantile_cont(norm, 5e-1) AS speed, quantile_cont(sqrt((dx - px) * (dx - px) + (dy - py) * (dy - py)), 75e-2) AS accel,
@@ -76,14 +76,14 @@ FLOW_SQL = f"""vec AS ({VECTOR_SQL}),
 
 def vectors(fx):
     return fx.samples.selectExpr(
-        "video_id * 10000 + n div 12 AS scene_id", "n div 3 % 4 AS burst", "n % 3 AS k", "dx", "dy",
+        "concat_ws('/', video_id, n div 12) AS scene_id", "n div 3 % 4 AS burst", "n % 3 AS k", "dx", "dy",
         "CASE WHEN n % 3 = 0 THEN (event_id % 17 - 8) / 1e0 END AS radial")
 
 
 def flow_scenes(fx):
     """Scenes of the vectors, and some in which no vector was found."""
     return fx.samples.selectExpr(
-        "video_id * 10000 + n div 12 + CASE WHEN n % 12 = 0 AND n > 48 THEN 5000 ELSE 0 END AS scene_id").distinct()
+        "concat(video_id, '/', n div 12, CASE WHEN n % 12 = 0 AND n > 48 THEN '/empty' ELSE '' END) AS scene_id").distinct()
 
 
 def classified(fx):
