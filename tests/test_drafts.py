@@ -1,11 +1,12 @@
 """Drafts: page sizes change nothing, and what holds for every draft."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from mediaplan.operators import presets
+from mediaplan.operators import presets, ranking as R
 from mediaplan.operators.spans import similar_sql
 from mediaplan.plans import greedy
 
@@ -32,19 +33,19 @@ COLS = ("scene_id long, video_id long, project_id long, start_s double, end_s do
         " recommended_slot string, user_flag string, scenario_match_score double, tags array<string>, tokens array<string>")
 
 
-def drafts(spark, data, page):
+def drafts(spark, data, page, variant=0):
     scenes = spark.createDataFrame([tuple(d[c.split()[0]] for c in COLS.split(", ")) for d in data], COLS).withColumn(
         "hist", F.lit(None).cast("array<double>"))
     projects = spark.createDataFrame([(p, "generic", 40.0, False) for p in range(3)],
                                      "project_id long, used_preset string, target_duration double, stabilize_shaky boolean")
-    return [sorted(map(tuple, d.collect())) for d in greedy.build_drafts(projects, scenes, page=page)]
+    return [sorted(map(tuple, d.collect())) for d in greedy.build_drafts(projects, scenes, variant=variant, page=page)]
 
 
-@pytest.mark.parametrize("seed, copies, page", [(11, 0.3, 4), (12, 0.9, 6)])
-def test_small_pages_change_nothing(spark, seed, copies, page):
+@pytest.mark.parametrize("seed, copies, page, variant", [(11, 0.3, 4, 0), (12, 0.9, 6, 0), (13, 0.5, 4, 2)])
+def test_small_pages_change_nothing(spark, seed, copies, page, variant):
     data = catalogue(seed, 160, copies)
-    segments, alternatives = drafts(spark, data, 1000)  # every list is one page
-    assert drafts(spark, data, page) == [segments, alternatives]
+    segments, alternatives = drafts(spark, data, 1000, variant)  # every list is one page
+    assert drafts(spark, data, page, variant) == [segments, alternatives]
     slots = {s.slot: s for s in presets.preset_slots(spark).filter("preset_id = 'generic'").collect()}
     for p in range(3):
         mine = [g for g in segments if g[0] == p]
@@ -60,6 +61,24 @@ def test_small_pages_change_nothing(spark, seed, copies, page):
         assert all(data[g[2]]["start_s"] - 1e-6 <= g[4] and g[5] <= data[g[2]]["end_s"] + 1e-6 and g[6] for g in mine)
 
 
+@pytest.mark.parametrize("page", [4, 1000])
+def test_variant_draws_from_the_best_free_scenes(spark, page):
+    # one project of scenes that no rule passes over: each slot opens with the first of its six best free ones as drawn
+    data = [d | dict(project_id=0, video_id=i, end_s=d["start_s"] + 9.0, scene_type="", tokens=[], user_flag="pinned" if i == 25 else "")
+            for i, d in enumerate(catalogue(5, 60, 0.0))]
+    segments, _ = drafts(spark, data, page, variant=3)
+    slots = presets.preset_slots(spark).filter("preset_id = 'generic'").orderBy("slot_no").collect()
+    scenes = spark.createDataFrame([tuple(d[c.split()[0]] for c in COLS.split(", ")) for d in data], COLS)
+    ranked = R.rank_for_slot(R.slot_scores(R.with_slots(R.usable_scenes(scenes), spark.createDataFrame(
+        [(0, "generic")], "project_id long, used_preset string"), presets.preset_slots(spark)))).orderBy("rank").collect()
+    used = []
+    for slot in slots:
+        mine = [g[2] for g in segments if g[3] == slot.slot]
+        free = [r for r in ranked if r.slot == slot.slot and r.scene_id not in used][:6]
+        assert mine[0] == min(free, key=lambda r: (r.user_flag != "pinned", hashlib.md5(f"3:{slot.slot}:{r.scene_id}".encode()).hexdigest())).scene_id
+        used += mine
+
+
 def test_looks_agree_with_the_column_rule(spark):
     data = catalogue(3, 60, 0.4)
     for d in data:

@@ -97,6 +97,15 @@ def test_solve_timing(spark):
     assert timing(spark, [10] * 3, 120.0, 40.0, "smooth", 40.0, 40.0, 0.5).fits
 
 
+def test_route_segment_is_looked_up_before_rounding(spark):
+    pieces = spark.createDataFrame([(1, "a", 9.9996, 14.0, "empty")], "video_id long, label string, p_lo double, p_hi double, kind string")
+    timing = spark.createDataFrame([(1, 4.0, 2.0)], "video_id long, gap_speed double, subject_speed double")
+    routes = spark.createDataFrame([(1, 0.5)], "video_id long, pause_s double")
+    scenes = spark.createDataFrame([(7, 1, 0.0, 10.0), (8, 1, 10.0, 20.0)], "scene_id long, video_id long, start_s double, end_s double")
+    out = Z.route_segments(pieces, timing, routes, scenes).collect()
+    assert [(r.src_start, r.scene_id) for r in out] == [(10.0, 7)]
+
+
 def test_presets(spark):
     slots = presets.preset_slots(spark)
     assert slots.count() == 65
