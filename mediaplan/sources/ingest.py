@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.expr import rnd
 
@@ -13,12 +16,35 @@ AUDIO_EXTENSIONS = ("mp3", "wav", "m4a", "aac", "flac")
 HEAD_BYTES = 65536
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Files below a folder: path, size_bytes, modified, and their bytes if asked for."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select(F.col("path"), F.lit(root.rstrip("/")).alias("root"), F.col("length").alias("size_bytes"),
-                  F.col("modificationTime").alias("modified"), F.lit(False).alias("explicit"), "content"))
-    return df if content else df.drop("content")
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder: path, size_bytes, modified. Nothing of the files themselves is read; empty files
+    are not listed."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+            .select(F.col("path"), F.lit(root.rstrip("/")).alias("root"), F.col("length").alias("size_bytes"),
+                    F.col("modificationTime").alias("modified"), F.lit(False).alias("explicit")))
+
+
+def with_heads(files: DataFrame, size: int = HEAD_BYTES) -> DataFrame:
+    """Adds ``content``, the first ``size`` bytes of each file (path), read in tasks; the rest of a file, of
+    whatever length, is not touched. Put few files into a partition: a row holds ``size`` bytes."""
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                heads = [_head(p, size) for p in part.column("path").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], [*part.schema.names, "content"])
+
+    return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
+def _head(path: str, size: int) -> bytes:
+    if path.startswith("file:"):
+        store, place = pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        store, place = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    with store.open_input_file(place) as source:
+        return source.read(size)
 
 
 def select_media(files: DataFrame, exts: Sequence[str] = VIDEO_EXTENSIONS) -> DataFrame:
@@ -59,14 +85,13 @@ def supersede(videos: DataFrame, scenes: DataFrame, zones: DataFrame, paths: Dat
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
-    """Rows of ``base`` replaced or joined by those of ``delta``; the last by ``order``
-    wins. Aggregation combines before the shuffle, so a key written very often is cheap."""
+    """Rows of ``base`` (one a key) replaced or joined by those of ``delta``; the last by ``order``
+    wins. The delta is reduced first, combined before its shuffle, so a key written very often is cheap; of the
+    base only rows that no delta row replaces go on, and a small delta does not make it move."""
     rest = [c for c in base.columns if c not in key]
-    row = F.struct(*rest)
-    new = delta.select(*key, row.alias("_row"), F.lit(1).alias("_new"), order.alias("_at"))
-    old = base.select(*key, row.alias("_row"), F.lit(0).alias("_new"), F.lit(None).cast(dict(new.dtypes)["_at"]).alias("_at"))
-    last = old.unionByName(new).groupBy(*key).agg(F.max_by("_row", F.struct("_new", "_at")).alias("_row"))
-    return last.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*base.columns)
+    last = delta.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    new = last.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*base.columns)
+    return base.join(new.select(*key), [*key], "left_anti").select(*base.columns).unionByName(new)
 
 
 def delete_projects(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BUCKET_COUNT = 512
+FILE_ROWS = 5_000_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,13 +35,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str, project: str = "project_id",
-               buckets: int = BUCKET_COUNT, mode: str = "overwrite") -> None:
+               buckets: int = BUCKET_COUNT, mode: str = "overwrite", salts: int = 8) -> None:
     """Parquet, one folder per bucket of projects, so that reads of some projects
-    prune folders. Rows are spread by project and row, not by project alone: one
-    large project does not end up in a single task or file."""
+    prune folders. Rows are spread by bucket and row, not by project alone: one
+    large project does not end up in a single task, and a bucket has at most ``salts`` files
+    (more only where a file would pass ``FILE_ROWS``)."""
     bucket = F.pmod(F.xxhash64(project), F.lit(buckets)).cast("int")
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
     (df.withColumn("project_bucket", bucket)
-     .write.mode(mode).partitionBy("project_bucket").parquet(path))
+     .repartition("project_bucket", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+     .write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).partitionBy("project_bucket").parquet(path))
 
 
 def load_table(spark: SparkSession, path: str, projects: list | None = None,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mediaplan.plans import drafts as P
+from mediaplan.sources.tables import keep
 from .ranking import chosen
 from .registry import query
 
@@ -119,6 +120,18 @@ def build_variant(fx):
     return draft(fx, variant=2)[0]
 
 
+@query("P4_film")
+def film(fx):
+    """P1, M8, M9, M10, P3 and P4 as one: drafts set to the music of their projects."""
+    from mediaplan.plans import films
+    from .music import curve
+    projects = chosen(fx).withColumn("sync_to_music", F.expr("project_id % 3 <> 0"))
+    segments = draft(fx)[0]
+    tracks = fx.tracks
+    music = fx.cues.selectExpr("plan_id AS project_id", "track_id")
+    return films.set_to_music(keep(segments, "drafts"), projects, music, curve(fx), tracks, fx.beats, fx.cuts)[0]
+
+
 @query("P2_alternatives")
 def alternatives(fx):
     return draft(fx)[1]
