@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .text import ids_of, utf8, with_fields, words
+from .text import free_name, ids_of, set_aside, utf8, with_fields, words
 
 WINDOW = 13
 #: Words of one index; about 60 bytes each in a task.
@@ -224,30 +224,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     added = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     out = docs.drop("n_words", "spans", "items")
     plain = [c for c in out.columns if c != text or keep_text]
-    out = out.select(*[F.col(f"`{c}`") for c in plain], utf8(text).alias("_body"))
+    body = free_name(out, "_body")
+    out = out.select(*[F.col(f"`{c}`") for c in plain], utf8(text).alias(body))
     context, rest = docs.sparkSession.sparkContext, len(plain)
     for number, block in enumerate(benchmark_blocks(benchmark, block_chars)):
         shared = context.broadcast(phrase_table(block, window))
 
         def search(batches, shared=shared, again=number > 0):
             for batch in batches:
-                size = np.asarray(pa.compute.binary_length(batch.column("_body")).fill_null(0))
+                size = np.asarray(pa.compute.binary_length(batch.column(body)).fill_null(0))
                 # a word takes two bytes at least, with what parts it from the next
                 shard = (np.cumsum(size) // (2 * shard_words)).tolist()
                 begin = [i for i, s in enumerate(shard) if not i or s != shard[i - 1]]
                 for a, b in zip(begin, [*begin[1:], len(shard)]):
                     part = batch.slice(a, b - a)
                     earlier = [part.column(c).to_pylist() for c in ("spans", "items")] if again else ()
-                    n, spans, items = search_shard(part.column("_body").to_pylist(), shared.value, *earlier)
+                    n, spans, items = search_shard(part.column(body).to_pylist(), shared.value, *earlier)
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns[:rest + 1], pa.array(n, pa.int64()),
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                          pa.array(items, pa.list_(pa.string()))],
                         [*part.schema.names[:rest + 1], "n_words", "spans", "items"])
 
-        head = out.select(*[F.col(f"`{c}`") for c in [*plain, "_body"]])
+        head = out.select(*[F.col(f"`{c}`") for c in [*plain, body]])
         out = out.mapInArrow(search, with_fields(head, added))
-    return out.drop("_body")
+    return out.drop(body)
 
 
 def hit_words(spans: str = "spans"):
@@ -261,6 +262,7 @@ def contaminated(n_hit):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    found = find_contamination(docs.withColumnRenamed("n_words", "_own_words"), benchmark)
-    return found.filter(~contaminated(hit_words())).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns, own ones named like
+    those of ``find_contamination`` included."""
+    moved, own = set_aside(docs, "n_words", "spans", "items")
+    return find_contamination(moved, benchmark).filter(~contaminated(hit_words())).select(*own)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mediaplan.sources.tables import keep, scratch_path
 
+from .text import free_name
+
 BUCKETS = 64
 #: [\x20\x09-\x0D]
 _WHITE = " \t\n\x0b\x0c\r"
@@ -90,12 +92,13 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: int =
     """The rows of ``docs`` that stay, with all their columns."""
     index = index or DigestIndex.scratch(docs.sparkSession)
     index.append(docs, batch)
+    key = free_name(docs, "_key")
     stays = index.rows().filter(F.col("batch") == batch).select(
-        _row_key(F.col("digest"), F.col("keep_id"), F.col("chars")).alias("_key"))
+        _row_key(F.col("digest"), F.col("keep_id"), F.col("chars")).alias(key))
     length = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    marked = docs.withColumn("_key", _row_key(digest_of("text"), F.col("doc_id").cast("long"), length))
+    marked = docs.withColumn(key, _row_key(digest_of("text"), F.col("doc_id").cast("long"), length))
     # one shuffle by the row's key serves both
-    return marked.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return marked.join(stays, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def _row_key(digest: Column, doc_id: Column, chars: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .blocks import Block, leaf_blocks
 from .crf import ChainCRF, fit
-from .text import with_fields
+from .text import free_name, with_fields
 
 SAMPLE_PAGES = 300
 LAYOUT_PAGES = 400
@@ -144,13 +144,14 @@ def extract(pages: DataFrame, model: ChainCRF | None = None, keep_html: bool = F
     shared = pages.sparkSession.sparkContext.broadcast(model)
     out = pages.drop("text", "n_chars")
     plain = [c for c in out.columns if c != "html" or keep_html]
-    out = out.select(*[F.col(f"`{c}`") for c in plain], F.col("html").alias("_html"))
+    body = free_name(out, "_html")
+    out = out.select(*[F.col(f"`{c}`") for c in plain], F.col("html").alias(body))
 
     def label(batches):
         model = shared.value
         for batch in batches:
-            texts = [main_text(h, model) for h in batch.column("_html").to_pylist()]
+            texts = [main_text(h, model) for h in batch.column(body).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(plain)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              [*plain, "text", "n_chars"])
 
-    return out.mapInArrow(label, with_fields(out.drop("_html"), "text string, n_chars long"))
+    return out.mapInArrow(label, with_fields(out.drop(body), "text string, n_chars long"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mediaplan.sources.tables import keep
 
-from .text import with_fields
+from .text import set_aside, with_fields
 
 PIECES = "piece_bpe_32k"
 LONGEST_PIECE = 8
@@ -304,6 +304,8 @@ def held_out():
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns."""
+    """The rows of ``docs`` whose text has a language, with all their columns, own ones named like those of
+    ``predict`` included."""
     model = train(docs.filter(~held_out()))
-    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    moved, own = set_aside(docs, "lang_pred", "score")
+    return predict(moved, model).filter(F.col("lang_pred") != UNKNOWN).select(*own)

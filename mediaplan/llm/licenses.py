@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import utf8, with_fields, words
+from .text import free_name, utf8, with_fields, words
 
 THRESHOLD = 0.8
 #: Templates are broadcast to tasks; more text than this is refused.
@@ -131,14 +131,15 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
              "blocks array<struct<word:long,words:long,label:string,containment:double,best:boolean>>")
     out = docs.drop("n_words", "places", "blocks")
     plain = [c for c in out.columns if c != "text" or keep_text]
-    out = out.select(*[F.col(f"`{c}`") for c in plain], utf8().alias("_body"))
+    body = free_name(out, "_body")
+    out = out.select(*[F.col(f"`{c}`") for c in plain], utf8().alias(body))
 
     def scan(batches):
         index = shared.value
         openers = {p[0] for p, _ in wanted}
         for batch in batches:
             n, places, blocks = [], [], []
-            for text in batch.column("_body").to_pylist():
+            for text in batch.column(body).to_pylist():
                 found = words(text)
                 n.append(len(found))
                 have = set(found)
@@ -161,4 +162,4 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                  pa.array(blocks, pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("best", pa.bool_())])))],
                 [*plain, "n_words", "places", "blocks"])
 
-    return out.mapInArrow(scan, with_fields(out.drop("_body"), added))
+    return out.mapInArrow(scan, with_fields(out.drop(body), added))

@@ -227,8 +227,8 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
 
     Documents are linked when their sets of ``size``-word shingles share at least ``percent``
     hundredths of their union. Null and empty texts have an empty set and no links; rows without
-    doc_id are kept and have no component; rows that repeat a doc_id are judged by their own
-    texts; copies are one class. Other columns are ignored; an empty table gives no rows."""
+    doc_id are kept and have no component; rows that repeat a doc_id are one document with
+    the links of all its texts, each with its own n_shingles; copies are one class. Other columns are ignored; an empty table gives no rows."""
     sketch = keep(sketches(docs, size), "sketches")
     filled = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     signs = [f"s{i}" for i in range(LONGS)]

@@ -39,6 +39,24 @@ def with_fields(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """The frame with its own columns of these names renamed to free ones, and the columns that give all
+    of them back in order."""
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in names:
+            moved[c] = free_name(df, f"_own_{c.lower()}")
+    return df.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def vocabulary_file(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
