@@ -125,10 +125,10 @@ def replacement_candidates(requests: DataFrame, segments: DataFrame, alternative
     extra = by_slot.filter(allowed).select(*keys, *place).union(by_type.filter(allowed).select(*keys, *place))
     first = asked.join(alternatives.select("plan_id", "slot", "pos", "scene_id"), ["plan_id", "slot"]).join(
         shown, "plan_id").filter(~F.array_contains("_shown", F.col("scene_id"))).select(
-        *keys, "scene_id", F.lit(0).alias("_g"), F.col("pos").cast("double").alias("_a"), F.lit(0.0).alias("_b"))
-    both = first.unionByName(extra.select(*keys, "scene_id", F.lit(1).alias("_g"), F.col("video_id").cast("double").alias("_a"),
-                                          F.col("start_s").cast("double").alias("_b")))
-    w = Window.partitionBy("plan_id", "seg_no").orderBy("_g", "_a", "_b", "scene_id")
+        *keys, "scene_id", F.lit(0).alias("_g"), "pos")
+    # alternatives by position, then scenes by place; ids of any type keep their own order
+    both = first.unionByName(extra.select(*keys, *place, F.lit(1).alias("_g")), allowMissingColumns=True)
+    w = Window.partitionBy("plan_id", "seg_no").orderBy("_g", "pos", *place)
     top = both.withColumn("choice", F.row_number().over(w).cast("long")).filter(F.col("choice") <= k)
     return top.join(scenes.select("scene_id"), "scene_id", "left_semi").select("plan_id", "seg_no", "choice", "scene_id")
 

@@ -157,3 +157,17 @@ def test_toggle_flags(spark):
     c = spark.createDataFrame([(1, "good", 1), (1, "good", 2), (2, "good", 1), (3, "bad", 1), (3, "good", 2), (3, "good", 3), (3, "good", 4)],
                               "scene_id int, flag string, click_no int")
     assert rows(C.toggle_flags(s, c).select("scene_id", "user_flag")) == [(1, ""), (2, ""), (3, "good"), (4, "bad")]
+
+
+def test_replacement_candidates_with_text_and_large_ids(spark):
+    big = 2**53  # big and big + 1 are one double
+    scenes = spark.createDataFrame(
+        [(7, f"s{i}", v, 0.0, "walk", "hook", "") for i, v in enumerate([big + 1, big, big + 3])] + [(7, "cur", 1, 0.0, "walk", "hook", "")],
+        "project_id int, scene_id string, video_id long, start_s double, scene_type string, recommended_slot string, user_flag string")
+    segments = spark.createDataFrame([(1, 0, "hook", "cur")], "plan_id int, seg_no int, slot string, scene_id string")
+    stored = spark.createDataFrame([(1, "hook", 0, "s2")], "plan_id int, slot string, pos int, scene_id string")
+    plans = spark.createDataFrame([(1, 7)], "plan_id int, project_id int")
+    for kind in ("long", "string"):
+        pool = scenes.withColumn("video_id", F.col("video_id").cast(kind))
+        got = P.replacement_candidates(segments.select("plan_id", "seg_no"), segments, stored, plans, pool)
+        assert [r.scene_id for r in got.orderBy("choice").collect()] == ["s2", "s1", "s0"]
