@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-Blocks are sentences and lines of a document, templates the sentences of license texts. Tokens
+Blocks are sentences of a document, however they are wrapped over lines, and single lines; templates are
+the sentences of license texts. Tokens
 are ordered by how many documents of the whole corpus have them, the rarest first. A
 template's prefix are its rarest tokens such that a block without any of them cannot contain enough
 of the template; only blocks with a prefix token are looked at. Length and positional filters
@@ -19,7 +20,10 @@ from .text import free_name, utf8, with_fields, words
 THRESHOLD = 0.8
 #: Templates are broadcast to tasks; more text than this is refused.
 MOST_TEMPLATE_CHARS = 16_000_000
-_BLOCK_END = re.compile(rb"[.!?;](?=[ \t\r\n\x0b\x0c])|[\r\n]")
+_BREAK = rb"(?:\r\n|\n|\r(?!\n))"
+_LINE_END = re.compile(_BREAK)
+#: The end of a sentence, or a blank line; a single line break may stand inside a sentence.
+_BLOCK_END = re.compile(rb"[.!?;](?=[ \t\r\n\x0b\x0c])|" + _BREAK + rb"[ \t\x0b\x0c]*" + _BREAK)
 
 # fixed values: phrases with their labels
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -112,6 +116,30 @@ def phrase_places(found: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
     return places
 
 
+def block_matches(text: bytes, index: Templates):
+    """(first word, words, matches, best containment) of every block that matches.
+
+    A sentence holds what its lines hold. Templates that a line holds are given with that line, the others
+    with the whole sentence."""
+    before = 0
+    for sentence in _BLOCK_END.split(text):
+        inside = words(sentence)
+        found = index.matches(inside)
+        if found:
+            lines = [own for own in map(words, _LINE_END.split(sentence)) if own]
+            rest, at = dict(found), before
+            for own in lines if len(lines) > 1 else ():
+                alone = index.matches(own)
+                if alone:
+                    yield at, len(own), alone, max(alone.values())
+                    for t in alone:
+                        rest.pop(t, None)
+                at += len(own)
+            if rest:
+                yield before, len(inside), rest, max(found.values())
+        before += len(inside)
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None,
                   threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without the text unless ``keep_text``), then n_words, places (first word and label
@@ -147,14 +175,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 places.append([{"word": w, "label": label} for w, label in sorted(hits)])
                 own = []
                 if not index.prefix_words.isdisjoint(have):
-                    before = 0
-                    for block in _BLOCK_END.split(text):
-                        inside = words(block)
-                        found_here = index.matches(inside)
+                    for word, size, found_here, most in block_matches(text, index):
                         for t, part in found_here.items():
-                            own.append({"word": before, "words": len(inside), "label": index.labels[t], "containment": part,
-                                        "best": part == max(found_here.values())})
-                        before += len(inside)
+                            own.append({"word": word, "words": size, "label": index.labels[t], "containment": part, "best": part == most})
                 blocks.append(own)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(plain)], pa.array(n, pa.int64()),

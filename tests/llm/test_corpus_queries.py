@@ -6,6 +6,7 @@ import html as entities
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -341,6 +342,35 @@ def test_license_scan_of_awkward_rows(spark):
     assert [b.label for b in r.blocks if b.best] == ["mit", "gpl-3"]
 
 
+MIT = ("MIT License\n\nCopyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+       "associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, "
+       "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+       "to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+       "substantial portions of the Software.")
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+       "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.")
+
+
+@pytest.mark.parametrize("width", [20, 40, 78, 10_000])
+@pytest.mark.parametrize("start, end", [("", "\n"), ("", "\r\n"), ("", "\r"), ("# ", "\n"), (" * ", "\r\n")])
+def test_licenses_wrapped_over_lines(width, start, end):
+    def wrapped(text):
+        return end.join((start + line).rstrip() for part in text.split("\n") for line in textwrap.wrap(part, width) or [""])
+
+    index = licenses.Templates(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    for text_of, label in ((MIT, "mit"), (BSD, "bsd")):
+        found = [(index.labels[t], part) for _, _, m, most in licenses.block_matches(wrapped(text_of).encode(), index) for t, part in m.items() if part == most]
+        assert found == [(label, 1.0)] * 2
+
+
+def test_lines_of_a_sentence(spark):
+    first = "Licensed under CC BY-NC 4.0\nReleased under an MIT License\n"
+    rows = [(1, "one two " + first + "Redistribution and use in source and\nbinary forms, with or without modification, are permitted provided that\n"
+             "the following conditions are met"), (2, "This work is licensed under\n\nthe GNU General Public License, version 3"), (3, "x\r\n\r\nReleased under\r\nthe MIT License")]
+    got = {r.doc_id: [(b.word, b.words, b.label, b.best) for b in r.blocks] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(0, 9, "cc-by-nc", True), (9, 5, "mit", True), (0, 35, "bsd", True)], 2: [], 3: [(1, 5, "mit", True)]}
+
+
 # op8
 
 def test_shards_are_minimax(spark, sf_dir):
