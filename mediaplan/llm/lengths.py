@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mediaplan.functions.sequences import running
 from mediaplan.sources.tables import keep
 
-from .text import VOCABULARY, token_ids
+from .text import VOCABULARY, file_ids
 
 CHUNK = 4096
 
@@ -23,7 +23,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def count(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(x) for x in token_ids(batch.column("text").to_pylist(), vocabulary)], pa.int64())], ["tokens"])
+                [pa.array([len(x) for x in file_ids(batch.column("text").to_pylist(), vocabulary)], pa.int64())], ["tokens"])
 
     return docs.select("text").mapInArrow(count, "tokens long")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from mediaplan.functions.sequences import number_rows
 from mediaplan.sources.tables import keep
 
-from .text import VOCABULARY, token_ids
+from .text import VOCABULARY, file_ids
 
 CHUNKS = 256
 #: Rows of a chunk that is numbered in one piece, about, once there are more than CHUNKS of them.
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, longest: int = 1024, vocabulary: str = VOCABULARY, w
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 doc, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, found in enumerate(token_ids(part.column("text").to_pylist(), vocabulary)):
+                for i, found in enumerate(file_ids(part.column("text").to_pylist(), vocabulary)):
                     whole = np.array([*found, END], "<u4")
                     begin = 0
                     for n in piece_lengths(len(whole), longest):

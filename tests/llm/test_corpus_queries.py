@@ -283,6 +283,25 @@ def test_ids_are_those_of_the_tokenizers_file():
     assert [plain.encode(t, add_special_tokens=False).ids for t in texts] == list(text.token_ids(texts))
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizers_file(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(text.vocabulary_file())
+    end, draw = "<|endoftext|>", random.Random(1)
+    texts = [f"{end} a", f"a {end}", end, end * 3, f"a  {end}  b\n\n{end}\n", f"x{end}'s", "<|endoftext| >", f"<|{end}|>", "<|endof", LONG[:500], "", " \n "]
+    texts += ["".join(draw.choice([end, end[:6], end[6:], " ", "\n", "ab", "é", "漢", "'ll", "7", "\x00", "😀"]) for _ in range(30)) for _ in range(300)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(text.file_ids(texts)) == want and want[0] == [50256, 257] and list(text.file_ids([None])) == [[]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in sorted(packing.pack(docs).collect(), key=lambda r: r.start):
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id]) + 1
+        got[r.doc_id] += r.ids
+    assert got == {i: [*ids, packing.END] for i, ids in enumerate(want)}
+    counts = {r.tokens: r.docs for r in lengths.length_histogram(docs).collect()}
+    assert counts == collections.Counter(map(len, want))
+
+
 def test_pieces_rebuild_every_document(spark):
     rows = packing.pack(awkward(spark), longest=64).toPandas()
     assert set(rows["offset"]) == {0} and sorted(rows.sequence_id) == list(range(len(rows)))
