@@ -8,17 +8,21 @@ before they move, and a host with a large part of all pages is met in salted joi
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediaplan.functions.skew import join_hot
 from mediaplan.sources.tables import keep
 
 DAMPING = 0.85
-ROUNDS = 12
-#: Change of all scores together (they sum to 1) at which rounds stop.
-TOLERANCE = 1e-4
 #: Distrust below this share of an even spread is noise.
 LEAST = 0.1
+#: Rounds stop when all further ones together hold less than this share of the least distrust that counts.
+PRECISION = 0.01
+#: Stored rounds that are summed into one table.
+FLOWS = 20
 
 # fixed values: (rule, verdict); a rule is a host and the start of a path
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -52,35 +56,48 @@ def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host").agg(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("rule").alias("n"), "start", "rule", "verdict")))).alias("rules"))
 
 
-def spread_scores(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def graph_size(edges: DataFrame, seeds: DataFrame) -> int:
+    """Hosts that have links or are seeds."""
+    return edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct().count()
+
+
+def spread_scores(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
     """Personalised PageRank: (host, score) over ``edges`` (src, dst, weight) from ``seeds`` (host, weight).
 
-    What a host without links holds goes back to the seeds. Every round is stored, so no
-    plan grows and a lost executor costs a round."""
+    What a host without links holds goes back to the seeds. So scores are, up to their sum, the seeds plus
+    what flows from them over one link, two links and so on; a round adds one link. Rounds go on until all
+    further ones together hold less than ``tolerance`` (by default of the size of the graph), or for ``rounds`` if a
+    caller wants no more. Every round is stored, so no plan grows and a lost executor costs a round."""
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
-    start = keep(seeds.filter("weight > 0").select("host", (F.col("weight") / F.lit(float(total))).alias("seed")), "seeds")
+    flow = keep(seeds.filter("weight > 0").select("host", (F.col("weight") / F.lit(float(total))).alias("score")), "seeds")
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    shares = keep(join_hot(edges, out, ["src"], "dst").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
-    scores = start.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        moved = join_hot(shares.withColumnRenamed("src", "host"), scores, ["host"], "dst")
-        flow = moved.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        flow = keep(flow, "flow")
-        given = flow.agg(F.sum("got")).first()[0] or 0.0
-        new = start.join(flow, "host", "full").select(
-            "host", (F.coalesce("seed", F.lit(0.0)) * (1 - damping * given) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        new = keep(new, "scores")
-        change = (new.withColumnRenamed("score", "new").join(scores, "host", "full")
-                  .agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0])
-        scores = new
-        if change < TOLERANCE:
+    shares = keep(join_hot(edges, out, ["src"], "dst").select(F.col("src").alias("host"), "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
+    tolerance = tolerance or PRECISION * LEAST / graph_size(edges, seeds)
+    after = damping / (1 - damping)  # further rounds hold this many times the last at most
+    enough = 2 + math.ceil(math.log(tolerance / after) / math.log(damping))
+    flows, rest = [flow], after
+    for _ in range(enough if rounds is None else rounds):
+        moved = join_hot(shares, flow, ["host"], "dst")
+        flow = keep(moved.groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score")), "flow")
+        flows.append(flow)
+        rest = after * (flow.agg(F.sum("score")).first()[0] or 0.0)
+        if rest < tolerance:
             break
-    return scores
+        if len(flows) == FLOWS:
+            flows = [keep(_summed(flows), "scores")]
+    if rounds is None and rest >= tolerance:
+        raise ArithmeticError(f"further rounds still hold {rest} after {enough}")
+    scores = keep(_summed(flows), "scores")
+    return scores.select("host", (F.col("score") / F.lit(scores.agg(F.sum("score")).first()[0])).alias("score"))
+
+
+def _summed(flows: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, flows).groupBy("host").agg(F.sum("score").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame | None = None, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | None = None, rounds: int | None = None, least: float = LEAST) -> DataFrame:
     """A row for each page (page_id, url, html): page_id, host, path, rule, verdict, trust and distrust of the host.
 
     Null urls and urls without ``://`` have an empty host and path; a host that neither rules nor
@@ -105,12 +122,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, rounds: int = R
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     named = counts.filter("host <> ''")
     # a host is a seed when the rules decide most of its pages alike
-    trust = spread_scores(edges, named.filter("2 * good > n").select("host", F.lit(1.0).alias("weight")), rounds)
-    distrust = spread_scores(back, named.filter("2 * bad > n").select("host", F.lit(1.0).alias("weight")), rounds)
+    good, bad = (named.filter(f"2 * {c} > n").select("host", F.lit(1.0).alias("weight")) for c in ("good", "bad"))
+    share = least / max(1, graph_size(edges, good.union(bad)))
+    trust, distrust = (spread_scores(e, s, rounds, tolerance=PRECISION * share) for e, s in ((edges, good), (back, bad)))
     scores = keep(trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"), "host-scores")
-    share = F.lit(least) / F.lit(max(1, scores.count()))
     scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     judged = join_hot(ruled, scores, ["host"], "page_id", how="left")
-    bad = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce("distrust", F.lit(0.0)) >= share)
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"),
+    suspect = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce("distrust", F.lit(0.0)) >= share)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(suspect, "block").otherwise("allow")).alias("verdict"),
                          F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -217,6 +217,16 @@ def test_distrust_flows_against_links(spark):
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def test_distrust_of_a_long_chain(spark):
+    page = '<a href="http://{}/">x</a>'
+    hosts = [f"h{i}.org" for i in range(13)] + ["bad.net"]
+    pages = [(i, f"http://{h}/fr/", page.format(hosts[i + 1]) if i < 13 else "") for i, h in enumerate(hosts)]
+    got = {r.page_id: r for r in hostgraph.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = 0.85 ** np.arange(13, -1, -1)
+    want /= want.sum()
+    assert all(abs(got[i].distrust - want[i]) < 0.06 * 0.1 / 14 and got[i].verdict == "block" for i in range(14)) and want[0] > 0.02
+
+
 # op4
 
 def test_pages_against_their_articles(spark, sf_dir):
