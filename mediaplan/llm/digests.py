@@ -52,14 +52,20 @@ class DigestIndex:
         """The table as plain files, whose rows any join may move."""
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def append(self, docs: DataFrame, batch: int = 0) -> DataFrame:
+    def next_batch(self) -> int:
+        last = self.table().agg(F.max("batch")).first()[0]
+        return 0 if last is None else last + 1
+
+    def append(self, docs: DataFrame, batch: int | None = None) -> DataFrame:
         """Takes in a batch (doc_id, text) and returns a row for each of its rows: doc_id, digest, chars,
         keep_id, group_size (rows of this batch with the text), fresh (the text was not in the
         index) and kept.
 
         Of equal texts an indexed document stays, else the longest original, then the
         smallest doc_id (null last). Null text counts as empty; of rows that repeat id and
-        text one is kept; other columns are ignored; an empty batch gives no rows."""
+        text one is kept; other columns are ignored; an empty batch gives no rows. Without a number the batch
+        has the one after the index's largest."""
+        batch = self.next_batch() if batch is None else batch
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest"),
                            F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
         # repeated rows are counted, not carried
@@ -88,9 +94,10 @@ class DigestIndex:
                         (mine & (F.col("copy") == 1)).alias("kept")))
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     index = index or DigestIndex.scratch(docs.sparkSession)
+    batch = index.next_batch() if batch is None else batch
     index.append(docs, batch)
     key = free_name(docs, "_key")
     stays = index.rows().filter(F.col("batch") == batch).select(

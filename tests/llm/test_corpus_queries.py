@@ -346,6 +346,15 @@ def test_index_takes_batches(spark):
     assert kept.columns == awkward(spark).columns and kept.count() == len(AWKWARD) - 3
 
 
+def test_batches_without_numbers(spark):
+    index = digests.DigestIndex.scratch(spark, 4)
+    first, more = (spark.createDataFrame(rows, "doc_id long, text string") for rows in ([(1, "a"), (2, "b")], [(1, "a"), (3, "a"), (4, "c")]))
+    assert {(r.doc_id, r.kept, r.fresh) for r in index.append(first).collect()} == {(1, True, True), (2, True, True)}
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.fresh) for r in index.append(more).collect()}
+    assert got == {(1, 1, 2, False, False), (3, 1, 2, False, False), (4, 4, 1, True, True)}
+    assert digests.drop_copies(more, index).count() == 0
+
+
 # op7
 
 def test_blocks_against_a_plain_containment(spark):
