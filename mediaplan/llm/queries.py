@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, digests, extract, hostgraph, langid, lengths, licenses, minhash, packing, shards
+from . import (decontaminate, digests, extract, hostgraph, langid, lengths, licenses, minhash, packing, shards, toxicity, variants,
+               whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +92,23 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+@_query
+def op11_spelling_variants(spark, sf_dir):
+    return variants.variant_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_toxicity(spark, sf_dir):
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.held_out()
+    model = toxicity.train(docs.filter(~held_out), _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -125,6 +143,30 @@ g AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size, first_va
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
 
 
+# crc32 by a table of 256 entries; words hold ASCII and U+00C0 to U+00FF only, of two bytes each
+ORACLES["op11_spelling_variants"] = rf"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+run AS (SELECT doc_id, {_LOWER.format("w")} AS w, count(*) AS k FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL),
+byte AS (SELECT *, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END
+  FOR c IN string_split(doc_id || ':' || w, '')]) AS b FROM run),
+mark AS (SELECT w, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(x AS BIGINT) FOR x IN b]),
+  lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM byte, tab),
+word AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM mark)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT DISTINCT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+form AS (SELECT best.word, n_near, top, min(other) AS other FROM best JOIN near ON near.word = best.word AND near.n = top GROUP BY ALL),
+own AS (SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN other END AS form,
+  CASE WHEN top >= 5 * n THEN top END AS form_n FROM word LEFT JOIN form ON form.word = word.word),
+chain AS (SELECT word, word AS root, 0 AS step FROM own UNION ALL SELECT chain.word, own.form, step + 1 FROM chain JOIN own ON own.word = chain.root WHERE own.form IS NOT NULL)
+SELECT own.word, form, r.root, n, n_near, form_n FROM own JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r ON r.word = own.word"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
