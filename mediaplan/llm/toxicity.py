@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mediaplan.sources.tables import keep
+
 from .text import free_name, with_fields
 
 ORDER, BITS, FOLDS = 4, 5, 5
@@ -174,14 +176,15 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels is toxic if one of them says so; null labels and ids are passed over."""
     known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
              .agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")))
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id")
+    # texts move to their labels once, at every size of either table, and are read again from where they are stored
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").hint("merge").join(known, "doc_id")
     return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
 def train(docs: DataFrame, labels: DataFrame, curve_docs: int = CURVE_DOCS) -> Model:
     """Fits a model to the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks. Repeated rows
     count as often as they are there."""
-    rows = labelled_rows(docs, labels)
+    rows = keep(labelled_rows(docs, labels), "labelled")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
