@@ -58,7 +58,7 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES if n.startswith("op")} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES if n.startswith("op")} == {str(i) for i in range(1, 14)}
     assert "pipeline" in QUERIES and len(corpus_pipeline.STAGES) == 5
 
 
@@ -352,7 +352,7 @@ def test_batches_without_numbers(spark):
     assert {(r.doc_id, r.kept, r.fresh) for r in index.append(first).collect()} == {(1, True, True), (2, True, True)}
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.fresh) for r in index.append(more).collect()}
     assert got == {(1, 1, 2, False, False), (3, 1, 2, False, False), (4, 4, 1, True, True)}
-    assert digests.drop_copies(more, index).count() == 0
+    assert [r.doc_id for r in digests.drop_copies(more, index).collect()] == [4]  # the same batch again
 
 
 # op7
