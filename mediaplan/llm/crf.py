@@ -8,6 +8,7 @@ import numpy as np
 class ChainCRF:
     def __init__(self, features: dict[str, int], weights: np.ndarray, steps: np.ndarray, ends: np.ndarray):
         self.features, self.weights, self.steps, self.ends = features, weights, steps, ends
+        self.names = frozenset(f.removeprefix("name:") for f in features if f.startswith("name:"))
 
     def scores(self, chain: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(chain), 2))

@@ -8,25 +8,26 @@ article tag. The model is fitted on the driver from that bounded sample and deco
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import Block, leaf_blocks
+from .blocks import HIDDEN, Block, leaf_blocks, page_names
 from .crf import ChainCRF, fit
 from .text import free_name, with_fields
 
 SAMPLE_PAGES = 300
 LAYOUT_PAGES = 400
-#: Blocks of one training page; only fitting is bounded by it.
+#: A longer page is fitted as chains of this many blocks.
 FIT_BLOCKS = 200
-_SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset"}
 
 # fixed values: names that page builders give to parts of a page
 MAIN_NAMES = ["content", "article body", "post", "entry content", "main", "story", "text", "post body"]
 SIDE_NAMES = ["ad", "ads banner", "advert", "sidebar", "widget", "menu", "nav", "navbar", "breadcrumb", "footer", "header", "cookie notice", "notice",
               "consent", "popup", "promo", "sponsored", "related", "share", "social", "newsletter", "subscribe", "comments", "comment", "comment list", "reply",
               "discussion", "login form", "search", "toolbar", "copyright", "tags", "pagination", "masthead", "modal"]
+_SIDE_WORDS = frozenset(w for name in SIDE_NAMES for w in name.split())
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
@@ -35,22 +36,22 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         size, count = len(b.text), b.text.count(" ") + 1
         ends = b.text[-1]
-        own = ["any", f"tag:{b.tag}", f"size:{min(8, size.bit_length())}", f"words:{min(7, count.bit_length())}",
+        own = ["any", f"tag:{b.place.tag}", f"size:{min(8, size.bit_length())}", f"words:{min(7, count.bit_length())}",
                f"links:{4 * b.linked // size}", f"end:{ends if ends in '.!?:;,' else 'w' if ends.isalnum() else 'o'}",
                f"place:{4 * i // n}", f"commas:{min(2, b.text.count(','))}"]
         if b.text[0] in "©" or "©" in b.text or "·" in b.text or "|" in b.text:
             own.append("sign")
-        own += {f"above:{t}" for t in b.above} | {f"name:{t}" for t in b.names}
+        own += [f"above:{t}" for t in b.place.above]
+        own += [f"name:{t}" for t in b.place.names]
         out.append(own)
     return out
 
 
 def _marked(blocks: list[Block]) -> list[int] | None:
     """Labels of a page that marks its article; None if it does not."""
-    if not any("article" in b.above for b in blocks):
+    if not any(b.place.article for b in blocks):
         return None
-    side = {w for name in SIDE_NAMES for w in name.split()}
-    return [int("article" in b.above and _SIDE_TAGS.isdisjoint(b.above[b.above.index("article"):]) and side.isdisjoint(b.names)) for b in blocks]
+    return [int(b.place.article and not b.place.side and _SIDE_WORDS.isdisjoint(b.place.names)) for b in blocks]
 
 
 _MARK = ""
@@ -100,19 +101,27 @@ def _layout(pool_main: list[str], pool_side: list[str], draw: random.Random) ->
     return "<html><body>" + "".join(before) + wrap + "".join(after) + "</body></html>"
 
 
+def names_to_note(pages: list[str]) -> set[str]:
+    """Words of names that two of the pages have, and the fixed ones: a page of its own names adds nothing to a model."""
+    uses = Counter(n for html in pages for n in page_names(html))
+    return {n for n, k in uses.items() if k > 1} | _SIDE_WORDS | {w for name in MAIN_NAMES for w in name.split()} | {HIDDEN}
+
+
 def training_chains(pages: list[str], layouts: int = LAYOUT_PAGES, seed: int = 7) -> list:
     draw = random.Random(seed)
     chains, main, side = [], ["A plain sentence, written to be read.", "It says a few things and then it ends."], ["Home", "About us", "Read more"]
+    known = names_to_note(pages)
     for html in pages:
-        blocks = leaf_blocks(html)[:FIT_BLOCKS]
+        blocks = leaf_blocks(html, known)
         labels = _marked(blocks)
         if labels is None:
             continue
         main += [b.text for b, y in zip(blocks, labels) if y]
         side += [b.text for b, y in zip(blocks, labels) if not y]
-        chains.append((features(blocks), labels))
+        own = features(blocks)
+        chains += [(own[i:i + FIT_BLOCKS], labels[i:i + FIT_BLOCKS]) for i in range(0, len(own), FIT_BLOCKS)]
     for _ in range(layouts):
-        blocks = leaf_blocks(_layout(main, side, draw))
+        blocks = leaf_blocks(_layout(main, side, draw), known)
         labels = [int(_MARK in b.text) for b in blocks]
         clean = [b._replace(text=b.text.replace(_MARK, "") or "-", linked=min(b.linked, len(b.text.replace(_MARK, "") or "-"))) for b in blocks]
         chains.append((features(clean), labels))
@@ -125,13 +134,12 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, layouts: int = LAY
     n = filled.count()
     share = min(1.0, sample_pages / max(1, n))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "page_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    # a page of the sample is read whole up to this many characters, enough for FIT_BLOCKS blocks
-    drawn = [r["html"] for r in filled.filter(draw < share).select(F.substring("html", 1, 200_000).alias("html")).toLocalIterator()]
+    drawn = [r["html"] for r in filled.filter(draw < share).select("html").toLocalIterator()]
     return fit(training_chains(sorted(drawn), layouts))
 
 
 def main_text(html: str | None, model: ChainCRF) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, model.names)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks))) if y)
 
 
