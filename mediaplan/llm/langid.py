@@ -2,7 +2,7 @@
 
 A language gives each piece of a fixed public vocabulary a probability. The
 probability of a text sums over all ways to segment it; pieces do not cross words, so it is the
-product over words, and a forward pass over a word's characters sums its segmentations.
+product over words, and a forward pass over a word's characters sums its segmentations, however long the word.
 Characters that no piece covers have the same small probability in every language.
 
 Training is expectation maximisation on word counts of a sample (about ``SAMPLE_DOCS``
@@ -12,6 +12,7 @@ sum expected piece counts; the driver holds the piece table (vocabulary x langua
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Collection
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,13 @@ from mediaplan.sources.tables import keep
 from .text import set_aside, with_fields
 
 PIECES = "piece_bpe_32k"
-LONGEST_PIECE = 8
 SAMPLE_DOCS = 3000
 ROUNDS = 3
-#: Characters of a word that are scored in one pass; a longer word is scored in pieces of that size.
-WORD_CHARS = 40
 FLOOR = 1e-7
-#: What a task holds at a time: bytes of text, words in one forward pass, words with known scores.
-PART_BYTES, STEP_WORDS, KNOWN_WORDS = 4_000_000, 8_000, 400_000
+#: Where all probabilities of a word's beginning are below this, they are carried on as multiples of it.
+TINY = 1e-100
+#: What a task holds at a time: bytes of text, characters of words in one forward pass, words with known scores.
+PART_BYTES, STEP_CHARS, KNOWN_WORDS = 4_000_000, 320_000, 400_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
@@ -46,7 +46,7 @@ def vocabulary_pieces(name: str = PIECES) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_byte(i))
-    return sorted({p.lower() for p in found if p.lstrip(START).isalpha() and len(p) <= LONGEST_PIECE})
+    return sorted({p.lower() for p in found if p.lstrip(START).isalpha()})
 
 
 class PieceTrie:
@@ -56,6 +56,7 @@ class PieceTrie:
 
     def __init__(self, pieces: list[str]):
         uses = Counter(c for p in pieces for c in p)
+        self.longest = max(map(len, pieces), default=1)
         self.classes = {c: i + 1 for i, c in enumerate(sorted(uses, key=lambda c: (-uses[c], c)))}
         steps, ends = [{}, {}], [0, 0]
         for number, piece in enumerate(pieces, 1):
@@ -89,8 +90,8 @@ class PieceTrie:
         return out
 
     def codes(self, words: list[str], length: int) -> np.ndarray:
-        """Character classes of words of one length."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
+        """Character classes of words of one length; shorter ones are filled up with what no piece holds."""
+        points = np.frombuffer("".join(w.ljust(length, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
         distinct, inverse = np.unique(points, return_inverse=True)
         mapped = np.array([self.classes.get(chr(p), 0) for p in distinct], np.int64)
         return mapped[inverse.reshape(points.shape)]
@@ -100,7 +101,7 @@ class PieceTrie:
         n, length = codes.shape
         for begin in range(length):
             rows, state = np.arange(n), np.ones(n, np.int64)
-            for end in range(begin, min(length, begin + LONGEST_PIECE)):
+            for end in range(begin, min(length, begin + self.longest)):
                 state = self.step(state, codes[rows, end])
                 alive = state > 0
                 rows, state = rows[alive], state[alive]
@@ -112,55 +113,69 @@ class PieceTrie:
                     yield begin, end + 1, rows[done], piece[done]
 
 
-def forward(trie: PieceTrie, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """alpha[k]: probability of the first k characters, a row a word and a column a language."""
+def forward(trie: PieceTrie, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[k], and the logarithm to add to its own: probability of the first k characters, a row a
+    word and a column a language."""
     n, length = codes.shape
-    alpha = np.zeros((length + 1, n, table.shape[1]))
+    alpha, scale = np.zeros((length + 1, n, table.shape[1])), np.zeros((length + 1, n))
     alpha[0] = 1.0
     reached = 0
-    for begin, end, rows, piece in trie.edges(codes):
-        while reached < begin:  # every piece that ends there is in
+
+    def reach(place):
+        nonlocal reached
+        while reached < place:  # every piece that ends there is in
             reached += 1
             alpha[reached] += alpha[reached - 1] * FLOOR
+            scale[reached] = scale[reached - 1]
+            small = alpha[reached].max(axis=1) < TINY
+            if small.any():  # all that is still added to goes by the same scale
+                alpha[reached:reached + trie.longest + 1, small] /= TINY
+                scale[reached, small] += np.log(TINY)
+
+    for begin, end, rows, piece in trie.edges(codes):
+        reach(begin)
         alpha[end, rows] += alpha[begin, rows] * table[piece]
-    while reached < length:
-        reached += 1
-        alpha[reached] += alpha[reached - 1] * FLOOR
-    return alpha
-
-
-def expected_counts(trie: PieceTrie, codes: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language, words weighted by ``counts``."""
-    alpha = forward(trie, codes, table)
-    length = codes.shape[1]
-    found = list(trie.edges(codes))
-    beta = np.zeros_like(alpha)
-    beta[length] = 1.0
-    total = np.zeros_like(table)
+    reach(length)
+    return alpha, scale
+
+
+def expected_counts(trie: PieceTrie, codes: np.ndarray, table: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Expected uses of each piece in each language, words (``sizes`` long, if they are filled up) weighted by ``counts``."""
+    alpha, ahead = forward(trie, codes, table)
+    n, length = codes.shape
+    last = np.full(n, length) if sizes is None else sizes, np.arange(n)
     by_begin: dict[int, list] = {}
-    for edge in found:
+    for edge in trie.edges(codes):
         by_begin.setdefault(edge[0], []).append(edge)
-    weight = counts / np.maximum(alpha[length], 1e-300)
+    beta, behind = np.zeros_like(alpha), np.zeros_like(ahead)
+    beta[last] = 1.0
+    total = np.zeros_like(table)
+    weight, whole = counts / np.maximum(alpha[last], 1e-300), ahead[last]
     for begin in range(length - 1, -1, -1):
         beta[begin] += beta[begin + 1] * FLOOR
+        behind[begin] = behind[begin + 1]
         for _, end, rows, piece in by_begin.get(begin, ()):
-            through = table[piece] * beta[end, rows]
+            # what lies further on may have been scaled less often
+            through = table[piece] * beta[end, rows] * np.exp(behind[end, rows] - behind[begin, rows])[:, None]
             beta[begin, rows] += through
-            share = alpha[begin, rows] * through * weight[rows]
+            share = alpha[begin, rows] * through * weight[rows] * np.exp(ahead[begin, rows] + behind[begin, rows] - whole[rows])[:, None]
             for lang in range(table.shape[1]):
                 total[:, lang] += np.bincount(piece, share[:, lang], len(total))
+        small = (beta[begin].max(axis=1) < TINY) & (begin <= last[0])
+        if small.any():
+            beta[begin, small] /= TINY
+            behind[begin, small] += np.log(TINY)
     return total
 
 
-def _cut(word: str) -> list[str]:
-    marked = START + word
-    return [marked[i:i + WORD_CHARS] for i in range(0, len(marked), WORD_CHARS)]
-
-
 def _by_length(words: list[str]) -> dict[int, list[int]]:
+    """Places of words that are scored together: those of one length, from 40 on of lengths up to a quarter apart."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        groups.setdefault(len(w), []).append(i)
+        size = 40
+        while len(w) > size:
+            size += size // 4
+        groups.setdefault(len(w) if len(w) <= 40 else size, []).append(i)
     return groups
 
 
@@ -170,15 +185,15 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, all segmentations summed."""
-        parts = [_cut(w) for w in words]
-        flat = [p for ps in parts for p in ps]
-        owner = np.repeat(np.arange(len(words)), [len(ps) for ps in parts])
         out = np.zeros((len(words), len(self.languages)))
-        for length, at in _by_length(flat).items():
-            for i in range(0, len(at), STEP_WORDS):
-                own = at[i:i + STEP_WORDS]
-                alpha = forward(self.trie, self.trie.codes([flat[k] for k in own], length), self.table)
-                np.add.at(out, owner[own], np.log(np.maximum(alpha[length], 1e-300)))
+        marked = [START + w for w in words]
+        for length, at in _by_length(marked).items():
+            step = max(1, STEP_CHARS // length)
+            for i in range(0, len(at), step):
+                own = at[i:i + step]
+                alpha, scale = forward(self.trie, self.trie.codes([marked[k] for k in own], length), self.table)
+                last = np.array([len(marked[k]) for k in own]), np.arange(len(own))
+                out[own] = np.log(np.maximum(alpha[last], 1e-300)) + scale[last][:, None]
         return out
 
 
@@ -200,7 +215,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for batch in (part for whole in batches for part in parts_of(whole, 1)):
             per: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                per.setdefault(lang, Counter()).update(part for w in letters(text) for part in _cut(w))
+                per.setdefault(lang, Counter()).update(START + w for w in letters(text))
             for lang, words in per.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())],
@@ -238,11 +253,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS,
                 found, weights = pdf["word"].tolist(), pdf["n"].to_numpy(float)
                 lang = pdf["lang"].map(column).to_numpy()
                 for length, at in _by_length(found).items():
-                    for i in range(0, len(at), STEP_WORDS):
-                        own = np.array(at[i:i + STEP_WORDS])
+                    step = max(1, STEP_CHARS // length)
+                    for i in range(0, len(at), step):
+                        own = np.array(at[i:i + step])
                         weight = np.zeros((len(own), table.shape[1]))
                         weight[np.arange(len(own)), lang[own]] = weights[own]
-                        total += expected_counts(trie, trie.codes([found[k] for k in own], length), table, weight)
+                        total += expected_counts(trie, trie.codes([found[k] for k in own], length), table, weight, np.array([len(found[k]) for k in own]))
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -303,9 +319,16 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns, own ones named like those of
-    ``predict`` included."""
+def drop_unidentified(docs: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, one of ``wanted`` if some are named, with all their columns, own
+    ones named like those of ``predict`` included.
+
+    Without ``wanted``, what goes are null texts and texts without a letter. Where no row is labelled there is no
+    model, and no text with a letter goes, whatever is wanted. Repeated rows stay or go alike."""
     model = train(docs.filter(~held_out()))
+    if model is None:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
     moved, own = set_aside(docs, "lang_pred", "score")
-    return predict(moved, model).filter(F.col("lang_pred") != UNKNOWN).select(*own)
+    judged = predict(moved, model)
+    stays = F.col("lang_pred") != UNKNOWN if wanted is None else F.col("lang_pred").isin(list(wanted))
+    return judged.filter(stays).select(*own)
