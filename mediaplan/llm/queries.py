@@ -54,8 +54,10 @@ def op5_token_counts(spark, sf_dir):
 
 @_query
 def op6_exact_dedup(spark, sf_dir):
-    index = digests.DigestIndex.scratch(spark)
-    found = index.append(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = digests.DigestIndex.scratch(spark, rows=docs.count())
+    found = index.append(docs)
+    index.close()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
