@@ -83,6 +83,12 @@ class Templates:
                 self.prefix.setdefault(token, []).append((t, at))
         self.prefix_words = {w for w, i in self.rank.items() if i in self.prefix}
 
+    def covered(self, block: list[bytes], found: dict[int, float]) -> set[int]:
+        """Templates of which a better one holds all the words that the block has of them."""
+        have = {self.rank[w] for w in block if w in self.rank}
+        held = {t: have.intersection(self.sets[t]) for t in found}
+        return {t for t in found if any(found[o] > found[t] and held[t] <= held[o] for o in found)}
+
     def matches(self, block: list[bytes]) -> dict[int, float]:
         """Templates that the block contains, and how much of each."""
         own = sorted({self.rank[w] for w in block if w in self.rank})
@@ -117,7 +123,7 @@ def phrase_places(found: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
 
 
 def block_matches(text: bytes, index: Templates):
-    """(first word, words, matches, best containment) of every block that matches.
+    """(first word, words, matches, those of them that a better one covers) of every block that matches.
 
     A sentence holds what its lines hold. Templates that a line holds are given with that line, the others
     with the whole sentence."""
@@ -131,20 +137,20 @@ def block_matches(text: bytes, index: Templates):
             for own in lines if len(lines) > 1 else ():
                 alone = index.matches(own)
                 if alone:
-                    yield at, len(own), alone, max(alone.values())
+                    yield at, len(own), alone, index.covered(own, alone)
                     for t in alone:
                         rest.pop(t, None)
                 at += len(own)
             if rest:
-                yield before, len(inside), rest, max(found.values())
+                yield before, len(inside), rest, index.covered(inside, found)
         before += len(inside)
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None,
                   threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without the text unless ``keep_text``), then n_words, places (first word and label
-    of each phrase) and blocks (first word, words, label and containment of each block that matches, and whether no
-    other template matches it better).
+    of each phrase) and blocks (first word, words, label and containment of each template that a block matches; ``best``
+    unless another template, matched better, holds all the words that the block has of this one).
 
     Null and empty texts have no words and nothing found; repeated rows are scanned one by one; ties
     of containment give all labels; own columns with the new names are replaced."""
@@ -175,9 +181,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 places.append([{"word": w, "label": label} for w, label in sorted(hits)])
                 own = []
                 if not index.prefix_words.isdisjoint(have):
-                    for word, size, found_here, most in block_matches(text, index):
+                    for word, size, found_here, covered in block_matches(text, index):
                         for t, part in found_here.items():
-                            own.append({"word": word, "words": size, "label": index.labels[t], "containment": part, "best": part == most})
+                            own.append({"word": word, "words": size, "label": index.labels[t], "containment": part, "best": t not in covered})
                 blocks.append(own)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(plain)], pa.array(n, pa.int64()),
