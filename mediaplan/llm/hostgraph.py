@@ -1,7 +1,8 @@
 """URL filters by propagation over the link graph of hosts.
 
 Rules decide the urls they fit. For the rest, trust flows from hosts whose pages the rules allow along links
-(personalised PageRank), and distrust from hosts whose pages the rules block against them: who
+(personalised PageRank), and distrust from hosts whose pages the rules block against them, each host being a
+seed to the share of its pages that are decided so: who
 links to a blocked host is suspect. A host with more distrust than trust, beyond a threshold, is
 blocked. All of it is DataFrame work: pages are reduced to hosts and host pairs by partial sums
 before they move, and a host with a large part of all pages is met in salted joins."""
@@ -28,7 +29,7 @@ FLOWS = 20
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: str | Column) -> Column:
@@ -42,8 +43,9 @@ def path_of(url: str | Column) -> Column:
 
 
 def link_hosts(html: str = "html") -> Column:
-    """Hosts of the absolute links of a page."""
-    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_LINK), 1), lambda u: host_of(u))
+    """Hosts of the absolute links of a page, with or without a scheme."""
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_LINK), 1),
+                       lambda u: host_of(F.when(F.startswith(u, F.lit("//")), F.concat(F.lit(":"), u)).otherwise(u)))
 
 
 def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -121,8 +123,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, rounds: int | N
                  .filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "host-links")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     named = counts.filter("host <> ''")
-    # a host is a seed when the rules decide most of its pages alike
-    good, bad = (named.filter(f"2 * {c} > n").select("host", F.lit(1.0).alias("weight")) for c in ("good", "bad"))
+    # a host is a seed to the share of its pages that the rules decide so
+    good, bad = (named.filter(f"{c} > 0").select("host", (F.col(c) / F.col("n")).alias("weight")) for c in ("good", "bad"))
     share = least / max(1, graph_size(edges, good.union(bad)))
     trust, distrust = (spread_scores(e, s, rounds, tolerance=PRECISION * share) for e, s in ((edges, good), (back, bad)))
     scores = keep(trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"), "host-scores")
