@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import clamp, or_default, rnd
-from ..functions.ranges import range_join
 from ..functions.sequences import number_rows
 from ..functions.skew import join_hot
-from .signals import motion_check, motion_pairs
+from ..functions.windows import rounded, slide
+from .signals import motion_pairs, smoothness
 
 CATALOGUE_ORDER = ["video_id", "start_s", "scene_id"]
 
@@ -146,40 +150,37 @@ def center_fragment(scenes: DataFrame, length) -> DataFrame:
             .drop("_at"))
 
 
-def best_window(frags: DataFrame, samples: DataFrame, step: float = 0.5,
-                bin_s: float = 30.0) -> DataFrame:
+def best_window(frags: DataFrame, samples: DataFrame, step: float = 0.5, key: Sequence[str] = ("frag_id",)) -> DataFrame:
     """The smoothest place of a fragment inside its scene.
 
-    ``frags``: frag_id, video_id, start_s, end_s, best_moment, frag_len, allow_fast.
-    Output per fragment: src_start, src_end; null where every place is jerky. A scene is
-    at most a few hundred samples, so its samples travel as one array."""
-    pairs = motion_pairs(samples)
-    spans = frags.select("frag_id", "video_id", "start_s", "end_s")
-    inside = range_join(spans, pairs, ["video_id"], ("start_s", "end_s"), ("t", "t"), bin_s, closed=True)
-    arrays = inside.groupBy("frag_id").agg(
-        F.sort_array(F.collect_list(F.struct("t", "pt", "speed", "acc", "flip"))).alias("_s"))
-    n = F.col("frag_len")
+    ``frags``: ``key``, video_id, start_s, end_s, best_moment, frag_len, allow_fast.
+    Output per fragment: ``key``, src_start, src_end; null where every place is jerky. All places of a fragment slide in
+    one task over samples that its scene shares with others (``slide``)."""
+    n, at = F.col("frag_len"), F.col("start_s")
     last = F.col("end_s") - n
-    count = F.ceil((last - F.col("start_s") + 0.01) / step).cast("int")
-    grid = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-                       lambda i: F.col("start_s") + i * F.lit(step))
-    full = F.when(F.element_at("_grid", -1) < last - 0.05, F.concat("_grid", F.array(last))).otherwise(F.col("_grid"))
-    df = (frags.join(arrays, "frag_id", "left")
-          .withColumn("_grid", F.when(duration() <= n + 0.2, F.array("start_s")).otherwise(grid)))
-    df = df.withColumn("_grid", F.when(duration() <= n + 0.2, F.col("_grid")).otherwise(full))
-    df = df.withColumn("_centre", F.when(duration() <= n, F.col("start_s")).otherwise(rnd(_centred_start(n), 3)))
-    check = motion_check("_s", "st", "st + frag_len", "allow_fast")
-    df = df.withColumn("_tried", F.expr(
-        f"transform(_grid, st -> named_struct('st', st, 'm', {check}))"))
-    df = df.withColumn("_best", F.expr(
-        "array_min(transform(filter(_tried, x -> x.m.ok), x -> named_struct("
-        "'bad', round(x.m.badness + 0.05D * abs(x.st - _centre) + 1e-9D, 6), 'st', x.st)))"))
-    st = F.when(F.col("_s").isNotNull(), F.col("_best.st"))
-    alone = center_fragment(df, "frag_len")
-    return alone.select(
-        "frag_id",
-        F.when(F.col("_s").isNull(), F.col("src_start")).otherwise(rnd(st, 3)).alias("src_start"),
-        F.when(F.col("_s").isNull(), F.col("src_end")).otherwise(rnd(st + n, 3)).alias("src_end"))
+    count = F.ceil((last - at + 0.01) / step).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: at + i * F.lit(step))
+    full = F.when(F.element_at(grid, -1) < last - 0.05, F.concat(grid, F.array(last))).otherwise(grid)
+    starts = F.when(duration() <= n + 0.2, F.array("start_s")).otherwise(full)
+    centre = F.when(duration() <= n, F.col("start_s")).otherwise(rnd(_centred_start(n), 3))
+    rows = frags.select(*key, "video_id", "allow_fast", centre.alias("_centre"), starts.alias("starts"), n.alias("length"),
+                        F.col("end_s").alias("stop")).withColumn("last_end", F.element_at("starts", -1) + F.col("length"))
+
+    def judge(own, w):
+        ok, rough = smoothness(w, own.column("allow_fast").to_numpy()[w.row])
+        cost = np.where(ok, rounded(rough + 0.05 * np.abs(w.start - own.column("_centre").to_numpy()[w.row]), 6), np.inf)
+        best = np.full(len(own), np.nan)
+        order = np.lexsort([w.start, cost, w.row])
+        order = order[np.append(True, w.row[order][1:] != w.row[order][:-1])]
+        order = order[np.isfinite(cost[order])]
+        best[w.row[order]] = w.start[order]
+        return pa.table([*(own.column(k) for k in key), pa.array(w.seen), pa.array(best, from_pandas=True)], [*key, "_seen", "_st"])
+
+    kinds = ", ".join(f"`{k}` {frags.schema[k].dataType.simpleString()}" for k in key)
+    best = slide(rows, motion_pairs(samples), [*key, "allow_fast", "_centre"], judge, f"{kinds}, _seen boolean, _st double")
+    alone = center_fragment(frags, "frag_len").join(best, [*key])
+    return alone.select(*key, F.when(F.col("_seen"), rnd("_st", 3)).otherwise(F.col("src_start")).alias("src_start"),
+                        F.when(F.col("_seen"), rnd(F.col("_st") + n, 3)).otherwise(F.col("src_end")).alias("src_end"))
 
 
 def interest(scenes: DataFrame, detected: DataFrame | None = None) -> DataFrame:

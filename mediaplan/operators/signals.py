@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import clamp, rnd
-from ..functions.ranges import range_join
 from ..functions.sequences import core_rows, halo_window, runs, with_halo
+from ..functions.windows import Windows, rounded, slide
 
 
 def sample_times(scenes: DataFrame, n: int = 4) -> DataFrame:
@@ -156,39 +157,24 @@ def motion_pairs(samples: DataFrame) -> DataFrame:
         F.coalesce((dot < 0) & (F.col("speed") * F.col("_p.speed") > 9.0), F.lit(False)).alias("flip"))
 
 
-def _p95(v: str) -> str:
-    at = f"(0.95D * (size({v}) - 1))"
-    lo, hi = f"{v}[cast(floor{at} as int)]", f"{v}[cast(ceil{at} as int)]"
-    return f"({lo} + ({hi} - {lo}) * ({at} - floor{at}))"
-
-
-def motion_check(arr: str, a: str, b: str, fast: str) -> str:
-    """SQL expression over an array of ``motion_pairs`` rows sorted by time: is the
-    closed window [a, b] smooth (``ok``) and how rough is it (``badness``). A pair
-    counts when both its samples lie inside. Fewer than four samples pass."""
-    inside = f"filter({arr}, x -> x.t >= {a} AND x.t <= {b})"
-    parts = (f"named_struct('sp', array_sort(transform(s, x -> x.speed)),"
-             f" 'ac', array_sort(transform(filter(s, x -> x.pt >= {a}), x -> x.acc)),"
-             f" 'fl', size(filter(s, x -> x.pt >= {a} AND x.flip)))")
-    verdict = (f"named_struct('ok', m.sp95 <= if({fast}, 22D, 10D) AND m.ac95 <= if({fast}, 12D, 6D)"
-               f" AND m.fl <= if({fast}, 3, 1),"
-               f" 'badness', round(m.ac95 + 0.4D * m.sp95 + 2D * m.fl + 1e-9D, 3))")
-    levels = (f"named_struct('sp95', {_p95('v.sp')}, 'ac95', {_p95('v.ac')}, 'fl', v.fl)")
-    return (f"transform(array({inside}), s -> if(size(s) < 4,"
-            f" named_struct('ok', true, 'badness', 0D),"
-            f" transform(transform(array({parts}), v -> {levels}), m -> {verdict})[0]))[0]")
-
-
-def window_motion(windows: DataFrame, samples: DataFrame, bin_s: float = 30.0) -> DataFrame:
-    """Smoothness of windows (window_id, video_id, a, b, allow_fast) of a few seconds."""
-    inside = range_join(windows.select("window_id", "video_id", "a", "b"), motion_pairs(samples),
-                        ["video_id"], ("a", "b"), ("t", "t"), bin_s, closed=True)
-    arrays = inside.groupBy("window_id").agg(
-        F.sort_array(F.collect_list(F.struct("t", "pt", "speed", "acc", "flip"))).alias("_s"))
-    df = windows.join(arrays, "window_id", "left").withColumn("_s", F.coalesce(
-        "_s", F.array().cast("array<struct<t:double,pt:double,speed:double,acc:double,flip:boolean>>")))
-    return df.withColumn("_m", F.expr(motion_check("_s", "a", "b", "allow_fast"))).select(
-        "window_id", "_m.ok", "_m.badness")
+def smoothness(w: Windows, fast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Is each window smooth (``fast``: is fast motion allowed), and how rough is it. Windows of fewer than four samples pass."""
+    few = w.n < 4
+    ok = (w.sp95 <= np.where(fast, 22.0, 10.0)) & (w.ac95 <= np.where(fast, 12.0, 6.0)) & (w.flips <= np.where(fast, 3, 1))
+    return few | ok, np.where(few, 0.0, rounded(w.ac95 + 0.4 * w.sp95 + 2.0 * w.flips, 3))
+
+
+def window_motion(windows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Smoothness of windows (window_id, video_id, a, b, allow_fast)."""
+    rows = windows.select("window_id", "allow_fast", "video_id", F.array("a").alias("starts"), (F.col("b") - F.col("a")).alias("length"),
+                          F.col("b").alias("last_end"), F.col("b").alias("stop"))
+
+    def judge(own, w):
+        ok, rough = smoothness(w, own.column("allow_fast").to_numpy())
+        return pa.table([own.column("window_id"), pa.array(ok), pa.array(rough, from_pandas=True)], ["window_id", "ok", "badness"])
+
+    kind = windows.schema["window_id"].dataType.simpleString()
+    return slide(rows, motion_pairs(samples), ["window_id", "allow_fast"], judge, f"window_id {kind}, ok boolean, badness double")
 
 
 def smooth_same(samples: DataFrame, value: str, k: int = 4, name: str = "smooth") -> DataFrame:

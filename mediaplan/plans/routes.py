@@ -5,16 +5,19 @@ the plan stays short, nothing is computed twice, and a lost executor costs one s
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import clamp, half_even, overlap, rnd
 from ..functions.ranges import range_join
 from ..functions.sequences import chunk_of, number_rows, previous_row, running
 from ..functions.skew import join_hot
+from ..functions.windows import slide
 from ..operators import presets
 from ..operators.intervals import (frozen_scene_spans, merge_spans, net_length, overlap_len, scene_at,
                                    split_by_spans, subject_spans, subtract_spans, weighted_overlap)
-from ..operators.signals import motion_check, motion_pairs
+from ..operators.signals import motion_pairs, smoothness
 from ..operators.spans import group_neighbours
 from ..sources.tables import keep
 
@@ -264,8 +267,7 @@ def zone_windows(zones: DataFrame, samples: DataFrame, scenes: DataFrame, frozen
     """Where in each zone (zone_key, video_id, z_start, z_end, window_s) the window shown
     lies: smooth, interesting and not standing still; the earliest of equals.
 
-    Starts are tried in blocks of a zone, each with the samples it needs, so a long zone
-    spreads over many tasks and a sample is copied little more than once."""
+    Starts slide in blocks of a zone (``slide``), so a long zone spreads over many tasks."""
     z = zones.withColumn("_w", F.least(F.col("window_s"), _seconds("z_start", "z_end")))
     tight = _seconds("z_start", "z_end") <= F.col("_w") + 0.2
     middle = F.least(F.greatest(F.col("z_start") + _seconds("z_start", "z_end") / 2 - F.col("_w") / 2, F.col("z_start")),
@@ -274,24 +276,22 @@ def zone_windows(zones: DataFrame, samples: DataFrame, scenes: DataFrame, frozen
 
     per = int(block_s / step)
     count = F.ceil((F.col("z_end") - F.col("_w") + 0.01 - F.col("z_start")) / step).cast("int")
-    blocks = z.filter(~tight).withColumn("_n", count).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / per).cast("int"))))
+    blocks = z.filter(~tight).withColumn("_n", count).withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / per).cast("int"))))
     first = F.col("_b") * per
-    blocks = blocks.withColumn("_grid", F.transform(
+    blocks = blocks.withColumn("starts", F.transform(
         F.sequence(first, F.least(first + per, F.col("_n")) - 1), lambda i: F.col("z_start") + i * F.lit(step)))
-    blocks = blocks.select("zone_key", "video_id", "_b", "_w", "_grid", F.get("_grid", F.lit(0)).alias("_lo"),
-                           (F.element_at("_grid", -1) + F.col("_w")).alias("_hi"))
-    hit = range_join(blocks.drop("_grid"), motion_pairs(samples), ["video_id"], ("_lo", "_hi"), ("t", "t"), block_s, closed=True)
-    arrays = hit.groupBy("zone_key", "_b").agg(
-        F.sort_array(F.collect_list(F.struct("t", "pt", "speed", "acc", "flip"))).alias("_s"))
-    tried = blocks.join(arrays, ["zone_key", "_b"], "left").withColumn("_s", F.coalesce(
-        "_s", F.array().cast("array<struct<t:double,pt:double,speed:double,acc:double,flip:boolean>>")))
-    check = motion_check("_s", "st", "st + _w", "false")
-    tried = tried.select("zone_key", "video_id", "_w", F.explode(F.expr(
-        f"transform(_grid, st -> named_struct('st', st, 'm', {check}))")).alias("t"))
-    wins = tried.select(F.struct("zone_key", F.col("t.st").alias("st")).alias("window_id"), "zone_key", "video_id", "_w",
-                        F.col("t.st").alias("a"), (F.col("t.st") + F.col("_w")).alias("b"),
-                        F.when(F.col("t.m.ok"), F.col("t.m.badness")).otherwise(F.col("t.m.badness") + 50).alias("_bad"))
+    rows = blocks.select("zone_key", F.col("video_id").alias("_v"), "video_id", F.col("_w").alias("length"), "_w", "starts",
+                         (F.element_at("starts", -1) + F.col("_w")).alias("last_end")).withColumn("stop", F.col("last_end"))
+
+    def judge(own, w):
+        ok, rough = smoothness(w, np.zeros(len(w.row), bool))
+        of = pa.array(w.row)
+        return pa.table([*(own.column(c).take(of) for c in ("zone_key", "_v", "_w")), pa.array(w.start), pa.array(w.end),
+                         pa.array(np.where(ok, rough, rough + 50), from_pandas=True)], ["zone_key", "video_id", "_w", "a", "b", "_bad"])
+
+    kinds = ", ".join(f"`{c}` {zones.schema[c].dataType.simpleString()}" for c in ("zone_key", "video_id"))
+    wins = slide(rows, motion_pairs(samples), ["zone_key", "_v", "_w"], judge, f"{kinds}, _w double, a double, b double, _bad double")
+    wins = wins.select(F.struct("zone_key", F.col("a").alias("st")).alias("window_id"), *wins.columns)
     wins = keep(wins, "windows")
     interest = weighted_overlap(wins, scenes, "interest").withColumnRenamed("mean", "_int")
     still = overlap_len(wins, frozen.select("video_id", F.col("f_start").alias("lo"), F.col("f_end").alias("hi")))
