@@ -57,22 +57,39 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     names = [f"n{i}" for i in range(2 * FOLDS)]
 
     def count(batches):
-        total = np.zeros((2 * FOLDS, CELLS), np.int64)
+        total: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold"))):
+                own = total.setdefault(label * FOLDS + fold, np.zeros(0, np.int32))
                 for code in ngrams(text):
+                    if not len(own):
+                        own = total[label * FOLDS + fold] = np.zeros(CELLS, np.int32)
                     if len(code) * 64 < CELLS:
-                        np.add.at(total[label * FOLDS + fold], code, 1)
+                        np.add.at(own, code, 1)
                     else:
-                        total[label * FOLDS + fold] += np.bincount(code, minlength=CELLS)
-        seen = np.flatnonzero(total.any(axis=0))
-        for i in range(0, len(seen), 1 << 16):
-            part = seen[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in total)], ["code", *names])
-
-    counted = rows.select(F.col("text").cast("binary").alias("text"), "label", "fold").mapInArrow(
+                        own += np.bincount(code, minlength=CELLS).astype(np.int32)
+                    held += len(code)
+                    if held > 1 << 30:  # before a count can pass 32 bits
+                        yield from counted(total)
+                        total, held, own = {}, 0, np.zeros(0, np.int32)
+        yield from counted(total)
+
+    def counted(total):
+        total = {k: own for k, own in total.items() if len(own)}
+        seen = np.zeros(CELLS, bool)
+        for own in total.values():
+            seen |= own > 0
+        seen = np.flatnonzero(seen)
+        for i in range(0, len(seen), 1 << 15):
+            part = seen[i:i + (1 << 15)]
+            none = np.zeros(len(part), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(total[k][part].astype(np.int64) if k in total else none) for k in range(2 * FOLDS))],
+                                             ["code", *names])
+
+    parts = rows.select(F.col("text").cast("binary").alias("text"), "label", "fold").mapInArrow(
         count, ", ".join(f"{c} long" for c in ["code", *names]))
-    return counted.groupBy("code").agg(*[F.sum(c).alias(c) for c in names])
+    return parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def discount(counts: np.ndarray) -> float:
