@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from mediaplan.plans import drafts as P
 from mediaplan.sources.tables import keep
-from .ranking import chosen
+from .ranking import GATE_SQL, GROUNDS_SQL, REASON_SQL, SCORE_SQL, chosen, clock20, tagged
 from .registry import query
+from .spans import A_SQL, CORR_SQL, HIST_SQL, hists
 
 CUTS_SQL = """oc AS (SELECT DISTINCT plan_id, overlap, track_id FROM (SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 3 = 0 THEN 0e0 ELSE 4e-1 END AS overlap, CAST(floor(o_custkey / 1e1) AS BIGINT) AS track_id FROM orders) q),
  cl AS (SELECT track_id, list_sort(list(DISTINCT cut_t)) AS cuts FROM fx_cuts GROUP BY 1),
@@ -100,22 +101,100 @@ def transition(fx):
     return P.preset_transition(chosen(fx))
 
 
+# Drafts in SQL: one step of the recursion looks at one candidate of every project. A slot is a list of its candidates in
+# order; who looks alike and what is filmed in a scene are lists prepared before.
+ALIKE_SQL = f"""{HIST_SQL}, tok AS (SELECT u.scene_id, any_value(u.project_id) AS project_id, any_value(u.scene_type) AS scene_type, list(t.token) AS tokens
+  FROM usable u JOIN fx_tokens t ON t.scene_id = u.scene_id WHERE u.scene_type <> '' GROUP BY 1),
+ pairs AS (SELECT a.scene_id AS scene_a, b.scene_id AS scene_b FROM tok a JOIN tok b ON a.project_id = b.project_id AND a.scene_type = b.scene_type AND a.scene_id <> b.scene_id
+  WHERE len(list_intersect(a.tokens, b.tokens)) / CAST(len(list_distinct(list_concat(a.tokens, b.tokens))) AS DOUBLE) >= 65e-2),
+ hp AS (SELECT scene_a, scene_b, a.h AS ha, b.h AS hb FROM pairs JOIN hist a ON scene_a = a.scene_id JOIN hist b ON scene_b = b.scene_id),
+ corr AS ({CORR_SQL}),
+ like_ AS (SELECT p.scene_a, p.scene_b FROM pairs p LEFT JOIN corr c ON c.scene_a = p.scene_a AND c.scene_b = p.scene_b WHERE c.corr IS NULL OR c.corr > 88e-2
+  UNION SELECT a.scene_id, b.scene_id FROM usable a JOIN usable b ON a.video_id = b.video_id AND a.scene_id <> b.scene_id AND abs(a.start_s - b.start_s) < 20),
+ alike AS (SELECT scene_a AS scene_id, list(scene_b) AS l FROM like_ GROUP BY 1)"""
+
+FILMED_SQL = """prev AS (SELECT video_id, n, t20 AS t, dx / 3 AS dx, dy / 3 AS dy, sqrt(dx / 3 * (dx / 3) + dy / 3 * (dy / 3)) AS speed FROM fx_samples),
+ sample AS (SELECT *, lag(t) OVER w AS pt, abs(speed - lag(speed) OVER w) AS acc,
+   coalesce(dx * lag(dx) OVER w + dy * lag(dy) OVER w < 0 AND speed * lag(speed) OVER w > 9e0, false) AS flip
+  FROM prev WINDOW w AS (PARTITION BY video_id ORDER BY n)),
+ filmed AS (SELECT u.scene_id, list(struct_pack(t := p.t, pt := p.pt, speed := p.speed, acc := p.acc, flip := p.flip) ORDER BY p.t, p.n) AS l
+  FROM usable u JOIN sample p ON p.video_id = u.video_id AND p.t >= u.start_s AND p.t <= u.end_s GROUP BY 1)"""
+
+P95 = "list_transform([list_sort({0})], lambda v: v[1 + CAST(floor(95e-2 * (len(v) - 1)) AS INT)] + (v[1 + CAST(ceil(95e-2 * (len(v) - 1)) AS INT)] - v[1 + CAST(floor(95e-2 * (len(v) - 1)) AS INT)]) * (95e-2 * (len(v) - 1) - floor(95e-2 * (len(v) - 1))))[1]"
+WINDOW_SQL = f"""list_sort(list_filter(list_transform(grid, lambda st: list_transform([list_filter(film, lambda x: x.t >= st AND x.t <= st + need)], lambda w:
+   list_transform([struct_pack(n := len(w), sp := {P95.format('list_transform(w, lambda x: x.speed)')}, ac := {P95.format('list_transform(list_filter(w, lambda x: x.pt >= st), lambda x: x.acc)')},
+     fl := len(list_filter(w, lambda x: x.pt >= st AND x.flip)))], lambda m: struct_pack(
+    bad := round(CASE WHEN m.n < 4 THEN 0e0 ELSE round(m.ac + 4e-1 * m.sp + 2e0 * m.fl + 1e-9, 3) END + 5e-2 * abs(st - round(centre + 1e-9, 3)) + 1e-9, 6), st := st,
+    ok := m.n < 4 OR (m.sp <= CASE WHEN fast THEN 22e0 ELSE 10e0 END AND m.ac <= CASE WHEN fast THEN 12e0 ELSE 6e0 END AND m.fl <= CASE WHEN fast THEN 3 ELSE 1 END)))[1])[1]),
+  lambda x: x.ok))[1].st"""
+
+
+def draft_sql(variant: int) -> str:
+    head = f"""list_transform(list_sort(list_transform(list_filter(range(1, len(cands) + 1), lambda i: NOT list_contains(used, cands[i].scene_id))[1:6],
+     lambda i: struct_pack(p := cands[i].flag <> 'pinned', d := md5('{variant}:' || slot || ':' || CAST(cands[i].scene_id AS VARCHAR)), i := i))), lambda x: x.i)""" if variant else "CAST([] AS BIGINT[])"
+    return f"""WITH RECURSIVE {GATE_SQL},
+ usable AS (SELECT * FROM c WHERE keep OR (ok >= 3 AND steady) OR (ok < 3 AND r < greatest(n // 2, 3))),
+ chosen AS (SELECT project_id, target_duration, CASE WHEN preset_id IN (SELECT preset_id FROM fx_presets) THEN preset_id ELSE 'generic' END AS used_preset FROM fx_projects),
+ scored AS ({SCORE_SQL}), {ALIKE_SQL}, {FILMED_SQL},
+ told AS (SELECT *, {GROUNDS_SQL} AS l FROM scored),
+ slots AS (SELECT g.project_id, g.slot_no, g.slot, g.min_fragment, g.max_fragment, any_value(h.target_duration * p.share) AS slot_s, any_value(list_contains(string_split(g.motions, ','), 'fast')) AS fast,
+   ROW_NUMBER() OVER (PARTITION BY g.project_id ORDER BY g.slot_no) AS si,
+   list(struct_pack(scene_id := g.scene_id, video_id := g.video_id, flag := user_flag, start_s := start_s, end_s := end_s, best_moment := best_moment,
+    full_s := least(round(end_s - start_s + 1e-9, 3), g.max_fragment), reason := {REASON_SQL.replace("(l)", "(g.l)").replace("l[", "g.l[")}, score := score, alike := coalesce(a.l, [])) ORDER BY score DESC, g.video_id, start_s, g.scene_id) AS cands
+  FROM told g JOIN chosen h ON h.project_id = g.project_id JOIN fx_presets p ON p.preset_id = g.preset_id AND p.slot_no = g.slot_no LEFT JOIN alike a ON a.scene_id = g.scene_id
+  WHERE round(end_s - start_s + 1e-9, 3) >= g.min_fragment GROUP BY 1, 2, 3, 4, 5),
+ walk AS (SELECT DISTINCT project_id, CAST(1 AS BIGINT) AS si, CAST(NULL AS BIGINT[]) AS ord, CAST(1 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(-1 AS BIGINT) AS run, 0e0 AS remaining,
+   CAST([] AS BIGINT[]) AS alts, CAST([] AS STRUCT(scene_id BIGINT, slot VARCHAR, a DOUBLE, b DOUBLE, max_len DOUBLE, reason VARCHAR, score DOUBLE)[]) AS segs,
+   CAST([] AS STRUCT(slot VARCHAR, l BIGINT[])[]) AS spare FROM slots
+  UNION ALL
+  SELECT project_id, CASE WHEN closes THEN si + 1 ELSE si END, CASE WHEN opens THEN list_concat({head}, list_filter(range(1, len(cands) + 1), lambda i: NOT list_contains({head}, i))) WHEN NOT closes THEN ord END,
+   CASE WHEN opens OR closes THEN 1 ELSE k + 1 END, CASE WHEN picked IS NULL THEN used ELSE list_append(used, c.scene_id) END, CASE WHEN picked IS NULL THEN run ELSE c.video_id END,
+   CASE WHEN opens THEN slot_s WHEN picked IS NULL THEN remaining ELSE remaining - need END, CASE WHEN opens OR closes THEN CAST([] AS BIGINT[]) ELSE alts2 END,
+   CASE WHEN picked IS NULL THEN segs ELSE list_append(segs, struct_pack(scene_id := c.scene_id, slot := slot, a := picked.a, b := picked.b, max_len := max_fragment, reason := c.reason, score := c.score)) END,
+   CASE WHEN closes THEN list_append(spare, struct_pack(slot := slot, l := alts2[1:4])) ELSE spare END
+  FROM (SELECT *, CASE WHEN stops OR opens THEN alts WHEN NOT gone AND (ends OR skips) THEN list_append(alts, c.scene_id) ELSE alts END AS alts2, stops OR (NOT opens AND k = len(ord)) AS closes
+   FROM (SELECT *, CASE WHEN tried AND film IS NULL THEN CASE WHEN whole <= need THEN struct_pack(a := c.start_s, b := c.end_s) ELSE struct_pack(a := round(centre + 1e-9, 3), b := round(centre + need + 1e-9, 3)) END
+      WHEN tried AND st IS NOT NULL THEN struct_pack(a := round(st + 1e-9, 3), b := round(st + need + 1e-9, 3)) END AS picked
+    FROM (SELECT *, CASE WHEN tried AND film IS NOT NULL THEN {WINDOW_SQL} END AS st
+     FROM (SELECT *, CASE WHEN tried AND film IS NOT NULL THEN CASE WHEN whole <= need + 2e-1 THEN [c.start_s] ELSE CASE WHEN grid0[-1] < c.end_s - need - 5e-2 THEN list_append(grid0, c.end_s - need) ELSE grid0 END END END AS grid
+      FROM (SELECT *, CASE WHEN whole <= need THEN c.start_s ELSE least(greatest(CASE WHEN c.best_moment > c.start_s AND c.best_moment < c.end_s THEN c.best_moment ELSE c.start_s + whole / 2 END - need / 2, c.start_s), c.end_s - need) END AS centre,
+         CASE WHEN tried AND whole > need + 2e-1 THEN list_transform(range(CAST(ceil((c.end_s - need - c.start_s + 1e-2) / 5e-1) AS BIGINT)), lambda i: c.start_s + i * 5e-1) END AS grid0
+       FROM (SELECT *, NOT opens AND NOT stops AND NOT gone AND NOT ends AND NOT skips AND need >= min_fragment AS tried
+        FROM (SELECT *, CASE WHEN opens OR gone OR ends THEN false WHEN same THEN true ELSE c.flag <> 'pinned' AND list_has_any(c.alike, used)
+           AND len(list_filter(cands, lambda x: NOT list_contains(used, x.scene_id) AND NOT list_has_any(x.alike, used))) > 0 END AS skips
+         FROM (SELECT *, CASE WHEN opens OR gone OR ends OR c.video_id <> run THEN false ELSE len(list_filter(cands, lambda x: x.video_id <> run AND NOT list_contains(used, x.scene_id))) > 0 END AS same
+          FROM (SELECT *, ord IS NULL AS opens, ord IS NOT NULL AND remaining < min_fragment AS ends, ord IS NOT NULL AND remaining < min_fragment AND len(alts) >= 4 AS stops,
+             coalesce(list_contains(used, c.scene_id), false) AS gone, least(c.full_s, remaining) AS need, round(c.end_s - c.start_s + 1e-9, 3) AS whole
+           FROM (SELECT q.*, f.l AS film FROM (SELECT w.*, s.slot, s.slot_s, s.fast, s.min_fragment, s.max_fragment, s.cands, s.cands[w.ord[w.k]] AS c
+             FROM walk w JOIN slots s ON s.project_id = w.project_id AND s.si = w.si) q LEFT JOIN filmed f ON f.scene_id = q.c.scene_id) q0) q1) q2) q3) q4) q5) q6) q7) q8) q9),
+ done AS (SELECT * FROM walk w WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE s.project_id = w.project_id AND s.si = w.si))"""
+
+
+CUT_SQL = """, flat AS (SELECT project_id, unnest(range(len(segs))) AS seg_no, unnest(segs) AS g FROM done),
+ own AS (SELECT f.project_id, f.seg_no, f.g.scene_id AS scene_id, f.g.slot AS slot, f.g.a AS src_start, f.g.b AS src_end, f.g.max_len AS max_len, f.g.reason AS reason, f.g.score AS score,
+   s.video_id, s.start_s, s.end_s FROM flat f JOIN fx_scenes s ON s.scene_id = f.g.scene_id),
+ said AS (SELECT o.scene_id, list(struct_pack(a := p.p_start, b := p.p_end) ORDER BY p.p_start, p.p_end) AS ph
+  FROM (SELECT DISTINCT scene_id, video_id, start_s, end_s FROM own) o JOIN fx_phrases p ON o.video_id = p.video_id AND p.p_end > start_s AND p.p_start < end_s GROUP BY 1),
+ safe AS (SELECT own.*, list_reduce(said.ph, lambda acc, p: struct_pack(a := {a}, b := CASE WHEN p.a < acc.b AND acc.b < p.b THEN
+    CASE WHEN p.b - ({a}) <= max_len AND p.b <= end_s THEN p.b ELSE greatest(p.a, {a}) END ELSE acc.b END), struct_pack(a := src_start, b := src_end)) AS z FROM own LEFT JOIN said ON said.scene_id = own.scene_id)
+ SELECT project_id, seg_no, scene_id, slot, CASE WHEN z IS NULL OR z.b - z.a < 1 THEN src_start ELSE round(z.a + 1e-9, 3) END AS src_start,
+  CASE WHEN z IS NULL OR z.b - z.a < 1 THEN src_end ELSE round(z.b + 1e-9, 3) END AS src_end, reason, score FROM safe""".format(a=A_SQL)
+
+
 def draft(fx, variant=0, page=48):
     from mediaplan.operators.spans import scene_views
     from mediaplan.plans import greedy
-    from .ranking import clock20, tagged
-    from .spans import hists
     fx.settle("scenes", "samples")
     views = scene_views(tagged(fx), fx.tokens, hists(fx))
     return greedy.build_drafts(chosen(fx), views, clock20(fx), fx.phrases, variant, page)
 
 
-@query("P1_build_drafts")
+@query("P1_build_drafts", draft_sql(0) + CUT_SQL)
 def build_drafts(fx):
     return draft(fx)[0]
 
 
-@query("P1_build_drafts_variant")
+@query("P1_build_drafts_variant", draft_sql(2) + CUT_SQL)
 def build_variant(fx):
     return draft(fx, variant=2)[0]
 
@@ -132,6 +211,7 @@ def film(fx):
     return films.set_to_music(keep(segments, "drafts"), projects, music, curve(fx), tracks, fx.beats, fx.cuts)[0]
 
 
-@query("P2_alternatives")
+@query("P2_alternatives", draft_sql(0) + """, lists AS (SELECT project_id, unnest(spare) AS a FROM done)
+ SELECT project_id, a.slot AS slot, unnest(range(len(a.l))) AS pos, unnest(a.l) AS scene_id FROM lists""")
 def alternatives(fx):
     return draft(fx)[1]

@@ -71,15 +71,19 @@ def slot_scores(fx):
     return scored(fx).select("scene_id", "project_id", "preset_id", "slot", "score")
 
 
-@query("R4_slot_reasons", f"""WITH {POOL_SQL}, g AS (SELECT scene_id, slot, quality_score, list_filter([
+GROUNDS_SQL = """list_filter([
   CASE WHEN coalesce(list_position(string_split(types, ','), scene_type), 0) > 0 THEN 'тип «' || scene_type || '» подходит слоту'
    WHEN recommended_slot = slot THEN 'LLM рекомендовала это место в ролике' END,
   CASE WHEN motions <> '' AND list_contains(string_split(motions, ','), motion) THEN 'движение «' || motion || '» соответствует динамике' END,
   CASE WHEN aesthetic_score >= 7e-1 THEN 'высокая эстетика кадра' END,
   CASE WHEN scenario_match_score >= 7e-1 THEN 'высокое соответствие сценарию' END,
-  CASE WHEN user_flag = 'pinned' THEN 'закреплена пользователем' END], lambda x: x IS NOT NULL) AS l FROM scored)
- SELECT scene_id, slot, CASE WHEN len(l) = 0 THEN 'лучший доступный кандидат (q=' || printf('%.2f', round(quality_score + 1e-9, 2)) || ')'
-  ELSE array_to_string(l[1:3], '; ') END AS reason FROM g""")
+  CASE WHEN user_flag = 'pinned' THEN 'закреплена пользователем' END], lambda x: x IS NOT NULL)"""
+REASON_SQL = """CASE WHEN len(l) = 0 THEN 'лучший доступный кандидат (q=' || printf('%.2f', round(quality_score + 1e-9, 2)) || ')'
+  ELSE array_to_string(l[1:3], '; ') END"""
+
+
+@query("R4_slot_reasons", f"""WITH {POOL_SQL}, g AS (SELECT scene_id, slot, quality_score, {GROUNDS_SQL} AS l FROM scored)
+ SELECT scene_id, slot, {REASON_SQL} AS reason FROM g""")
 def slot_reasons(fx):
     return R.slot_reasons(scored(fx)).select("scene_id", "slot", "reason")
 
