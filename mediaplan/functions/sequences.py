@@ -1,12 +1,13 @@
 """Ordered work on long series without putting a whole series into one task.
 
 A video, a track or a project can hold a large part of all rows, so no window
-here is partitioned by that key alone over detail rows. Two forms cover every
+here is partitioned by that key alone over detail rows. These forms cover every
 ordered rule:
 
 * ``with_halo``: for rules that look a fixed number of rows back or ahead. Rows
   carry a dense index; blocks of the index are the partitions, and the few rows a
   neighbouring block needs are copied into it.
+* ``number_ranged``: for the place of a row among all of its key, when many rows of a key may tie.
 * ``running``: for rules that depend on everything before. Each chunk runs on its
   own; one summary row per chunk is carried forward and joined back.
 """
@@ -15,6 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import keep
@@ -92,6 +96,53 @@ def number_rows(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequenc
     return out.withColumn(name, F.col(name).cast("long"))
 
 
+def number_ranged(df: DataFrame, key: Sequence[str], order: Sequence, name: str = "n") -> DataFrame:
+    """Zero-based dense row index per key in a total ``order``, however the rows of a key are spread over it.
+
+    Rows go to tasks by sampled ranges of (key, order): a key, or one value of the order, that holds a large part
+    of all rows takes as many tasks as it needs. A task counts within its range; what a key had in the ranges before
+    is one number a range, which only the first key of a range needs."""
+    # the place in a range is counted while it is written, so no later step can see other ranges
+    ranged = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumns(
+        {"_range": F.spark_partition_id().cast("long"), "_local": F.lit(0).cast("long")})
+    at = ranged.columns.index("_local")
+
+    def count(batches):
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k) for k in key]
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                same = pa.compute.equal(k[1:], k[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                none = np.asarray(k.is_null())
+                new[1:] |= ~(same | (none[1:] & none[:-1]))
+            new[0] = last is None or [k[0].as_py() for k in keys] != last
+            place = np.arange(batch.num_rows)
+            since = np.maximum.accumulate(np.where(new, place, -1))
+            local = np.where(since < 0, place + seen, place - since)
+            last, seen = [k[-1].as_py() for k in keys], int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(local), *batch.columns[at + 1:]], batch.schema.names)
+
+    stored = keep(ranged.mapInArrow(count, ranged.schema), "numbered")
+    own = F.struct(*key)
+    ends = stored.groupBy("_range").agg(F.min_by(own, F.struct(*key, "_local")).alias("first"), F.max_by(
+        F.struct(own.alias("key"), F.col("_local").alias("at")), F.struct(*key, "_local")).alias("last")).collect()  # a row a range
+    carried, rows, before = 0, [], None
+    for e in sorted(ends, key=lambda e: e["_range"]):
+        carried = carried if before is not None and before == e["first"] else 0
+        if carried:
+            rows.append((e["_range"], *e["first"], carried))
+        carried = e["last"]["at"] + 1 + (carried if e["first"] == e["last"]["key"] else 0)
+        before = e["last"]["key"]
+    kinds = ", ".join(f"`{k}` {stored.schema[k].dataType.simpleString()}" for k in key)
+    ahead = df.sparkSession.createDataFrame(rows, f"_range long, {kinds}, _carried long")
+    same = [stored["_range"] == ahead["_range"], *(stored[k].eqNullSafe(ahead[k]) for k in key)]
+    out = stored.join(F.broadcast(ahead), same, "left").select(stored["*"], ahead["_carried"])
+    return out.withColumn(name, F.col("_local") + F.coalesce("_carried", F.lit(0).cast("long"))).drop("_range", "_local", "_carried")
+
+
 def previous_row(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence,
                  values: dict[str, Column]) -> DataFrame:
     """Values of the row before, for series that have no dense index."""

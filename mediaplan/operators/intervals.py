@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import overlap
 from ..functions.ranges import range_join
-from ..functions.sequences import chunk_of, previous_row, running, runs
+from ..functions.sequences import chunk_of, running, runs
 from ..functions.skew import join_hot
-from ..sources.tables import keep
+from ..functions.sweep import sweep
 
 CHUNK_S = 3600.0
 BIN_S = 60.0
@@ -43,48 +43,18 @@ def frozen_scene_spans(scenes: DataFrame, key: Sequence[str] = ("video_id",), ga
         F.col("f_end") - F.col("f_start") >= min_len)
 
 
-def between_spans(base: DataFrame, spans: DataFrame, key: Sequence[str], base_span: tuple[str, str],
-                  span: tuple[str, str], chunk_s: float = CHUNK_S) -> DataFrame:
-    """What lies between disjoint spans, over the whole extent of ``base`` per key:
-    columns _g_lo, _g_hi."""
-    a, b = base_span
-    lo, hi = span
-    extent = base.groupBy(*key).agg(F.min(a).alias("_lo"), F.max(b).alias("_hi"))
-    before = previous_row(spans.select(*key, lo, hi), key, chunk_of(lo, chunk_s), [lo, hi], {"_ahead": F.col(hi)})
-    before = join_hot(before, extent, key, lo)
-    before = before.select(*key, F.coalesce("_ahead", F.least("_lo", lo)).alias("_g_lo"), F.col(lo).alias("_g_hi"))
-    reach = spans.groupBy(*key).agg(F.max(hi).alias("_reach"))
-    tail = extent.join(reach, [*key], "left").select(
-        *key, F.coalesce("_reach", "_lo").alias("_g_lo"), F.col("_hi").alias("_g_hi"))
-    return before.unionByName(tail).filter("_g_lo < _g_hi")
-
-
-def _clipped(base: DataFrame, spans: DataFrame, key, base_span, span, bin_s) -> DataFrame:
-    a, b = base_span
-    lo, hi = span
-    met = range_join(base, spans.select(*key, lo, hi), key, base_span, span, bin_s)
-    return met.withColumn("p_lo", F.greatest(a, lo)).withColumn("p_hi", F.least(b, hi)).drop(lo, hi)
-
-
 def subtract_spans(base: DataFrame, cut: DataFrame, key: Sequence[str], base_span: tuple[str, str],
-                   span: tuple[str, str], min_len: float = 0.4, bin_s: float = BIN_S) -> DataFrame:
+                   span: tuple[str, str], min_len: float = 0.4) -> DataFrame:
     """Pieces (p_lo, p_hi) of every base interval outside all cut spans, at least
     ``min_len`` long. Base columns are kept."""
-    lo, hi = span
-    solid = keep(merge_spans(cut.filter(F.col(lo) < F.col(hi)), key, lo, hi, 0.0), "cuts")
-    gaps = between_spans(base, solid, key, base_span, span)
-    return _clipped(base, gaps, key, base_span, ("_g_lo", "_g_hi"), bin_s).filter(
-        F.col("p_hi") - F.col("p_lo") >= min_len)
+    return sweep(base, cut, key, base_span, span).filter(F.col("p_hi") - F.col("p_lo") >= min_len).drop("inside")
 
 
 def split_by_spans(base: DataFrame, spans: DataFrame, key: Sequence[str], base_span: tuple[str, str],
-                   span: tuple[str, str], bin_s: float = BIN_S) -> DataFrame:
+                   span: tuple[str, str]) -> DataFrame:
     """Pieces (p_lo, p_hi, inside) that cover every base interval, split at the borders of
     disjoint spans."""
-    inside = _clipped(base, spans, key, base_span, span, bin_s).withColumn("inside", F.lit(True))
-    gaps = between_spans(base, spans, key, base_span, span)
-    outside = _clipped(base, gaps, key, base_span, ("_g_lo", "_g_hi"), bin_s).withColumn("inside", F.lit(False))
-    return inside.unionByName(outside).filter("p_lo < p_hi")
+    return sweep(base, spans, key, base_span, span, inside=True)
 
 
 def net_length(spans: DataFrame, routes: DataFrame, tech: DataFrame, bin_s: float = BIN_S) -> DataFrame:

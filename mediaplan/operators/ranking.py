@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import clamp, or_default, rnd
-from ..functions.sequences import number_rows
+from ..functions.sequences import number_ranged
 from ..functions.skew import join_hot
 from ..functions.windows import rounded, slide
 from .signals import motion_pairs, smoothness
@@ -42,7 +42,7 @@ def stability_gate(scenes: DataFrame, projects: DataFrame, min_stability: float
     least jerky half instead. Projects that stabilise keep everything.
 
     Counts are pre-aggregated per project; ranks are only taken for the projects that
-    need the fallback, in narrow bands of jerkiness."""
+    need the fallback, over ranges that also split scenes of equal jerkiness."""
     steady = ((F.col("user_flag") == "pinned")
               | ((F.col("motion_type") != "shake") & (F.col("stability_score") >= min_stability)))
     marked = scenes.withColumn("_steady", steady)
@@ -52,8 +52,7 @@ def stability_gate(scenes: DataFrame, projects: DataFrame, min_stability: float
     marked = join_hot(marked, counts.join(options, "project_id"), ["project_id"], "scene_id")
     direct = marked.filter(F.col("_keep") | ((F.col("_ok") >= enough) & F.col("_steady")))
     short = marked.filter(~F.col("_keep") & (F.col("_ok") < enough))
-    ranked = number_rows(short, ["project_id"], F.floor(F.col("jerkiness") * 1000),
-                         ["jerkiness", *CATALOGUE_ORDER], "_rank")
+    ranked = number_ranged(short, ["project_id"], ["jerkiness", *CATALOGUE_ORDER], "_rank")
     fallback = ranked.filter(F.col("_rank") < F.greatest(F.floor(F.col("_n") / 2), F.lit(3)))
     own = ["_steady", "_n", "_ok", "_keep"]
     return direct.drop(*own).unionByName(fallback.drop(*own, "_rank"))
@@ -108,16 +107,15 @@ def slot_reasons(pairs: DataFrame) -> DataFrame:
 def rank_for_slot(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Adds ``rank`` (1 is best) per project, preset and slot among scenes long enough.
 
-    With ``k`` a group limit runs before the shuffle. Without, ranks come from bands of
-    the score, so a project of any size spreads over many tasks."""
+    With ``k`` a group limit runs before the shuffle. Without, ranks come from ranges of score and
+    place, so a project of any size spreads over many tasks, even if all its scores are equal."""
     fit = scores.filter(duration() >= F.col("min_fragment"))
     key = ["project_id", "preset_id", "slot"]
     order = [F.col("score").desc(), *CATALOGUE_ORDER]
     if k is not None:
         rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")
         return fit.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return number_rows(fit, key, F.floor(-F.col("score") * 500), order, "rank").withColumn(
-        "rank", F.col("rank") + 1)
+    return number_ranged(fit, key, order, "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def variant_order(ranked: DataFrame, variant: int, head: int = 6) -> DataFrame:

@@ -14,12 +14,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUERIES, ORACLES = workload.queries(), workload.oracles()
 # all of them with TEST_ALL=1; by default some of every group
 SOME = """R3_slot_scores R5_rank_for_slot R8_best_window Q5_flow_stats Q12_window_motion Q14_freeze_spans S6_speech_safe
-S7_similar_looks V4_subtract_spans V8_weighted_overlap L1_parse_reply L2_apply_annotations M6_cut_points M8_music_cue I3_plan_increment
+S7_similar_looks P1_build_drafts_variant P2_alternatives R2_stability_gate_fallback R5_rank_all V4_subtract_spans V5_split_by_spans V8_weighted_overlap L1_parse_reply L2_apply_annotations M6_cut_points M8_music_cue I3_plan_increment
 I9_flatten_probe P3_snap_to_cuts P7_replacement_candidates T1_crop_window T8_render_backlog C9_toggle_flags Z6_solve_timing W1_arrivals
 W3_tumbling_energy""".split()
 NAMES = [n for n in ORACLES if os.environ.get("TEST_ALL") or n in SOME]
 # queries that store steps while they are put together; their plans are cut there
-EAGER = re.compile("^(P1|P2|W|Z|I8|I10|S9|V4|M5|M6|M8|M9|M10|C12)")
+EAGER = re.compile("^(P1|P2|R2|R5_rank_all|R6|W|Z|I8|I10|S9|V4|V5|M5|M6|M8|M9|M10|C12)")
 
 
 def norm(v):
