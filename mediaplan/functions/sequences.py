@@ -22,6 +22,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import keep
+from .blocks import map_blocks
 from .expr import col
 
 BLOCK_ROWS = 8192
@@ -184,43 +185,66 @@ def runs(df: DataFrame, key: Sequence[str], at: str, holds: Column, chunk: Colum
 
 
 def spaced_points(points: DataFrame, key: Sequence[str], at: str, gap: float,
-                  chunk_gaps: int = 64) -> DataFrame:
+                  chunk_gaps: int = 512) -> DataFrame:
     """Keep points greedily in ascending order, each at least ``gap`` after the last kept.
 
     The rule is sequential, but a chunk only needs to know the last point kept before
     it. Whatever that was, the first point kept inside a chunk lies within one ``gap``
     of the chunk's start (or is the first one after that), so each chunk is summarised
-    as "first kept -> last kept" for those few entries; summaries are chained per key
-    and every chunk is then thinned on its own. Points must be distinct."""
+    as "first kept -> last kept" for those few entries. That makes every entry point to one of a later chunk;
+    the entries that the first point leads to are found by doubling pointers, a round for twice the chunks, and every
+    chunk is then thinned on its own. Points must be distinct."""
     width = float(gap) * chunk_gaps
-    blocks = (points.groupBy(*key, chunk_of(at, width).alias("_chunk"))
-              .agg(F.sort_array(F.collect_list(F.col(at).cast("double"))).alias("_pts")))
-    blocks = keep(blocks, "points")  # read twice: for the summaries and for the thinning
-    g = repr(float(gap))
-    edge = f"(_chunk * {width!r} + {g})"
-    entries = blocks.withColumn("_entry", F.expr(
-        f"concat(filter(_pts, p -> p < {edge}),"
-        f" slice(filter(_pts, p -> p >= {edge}), 1, 1))"))
-    entries = entries.withColumn("_exit", F.expr(
-        "transform(_entry, f -> aggregate(_pts, f,"
-        f" (last, p) -> if(p - last >= {g}, p, last)))"))
-    schema = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in key)
-
-    def chain(pdf):
-        pdf = pdf.sort_values("_chunk")
-        last, carried = float("-inf"), []
-        for entry, leave in zip(pdf["_entry"], pdf["_exit"]):
-            carried.append(last)
-            for f, e in zip(entry, leave):
-                if f - last >= gap:
-                    last = e
-                    break
-        return pdf[[*key, "_chunk"]].assign(_last=carried)
-
-    carry = (entries.select(*key, "_chunk", "_entry", "_exit").groupBy(*key)
-             .applyInPandas(chain, f"{schema}, _chunk long, _last double"))
-    kept = blocks.join(carry, [*key, "_chunk"]).withColumn("_kept", F.expr(
-        "filter(aggregate(_pts, array(_last), (acc, p) ->"
-        f" if(p - element_at(acc, -1) >= {g}, concat(acc, array(p)), acc)),"
-        " (p, i) -> i > 0)"))
-    return kept.select(*key, F.explode("_kept").alias(at))
+    kinds = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in key)
+    cells = points.select(*key, F.col(at).cast("double").alias("_at"), chunk_of(at, width).alias("_cell"))
+
+    def summarise(rows, begins):
+        found = []
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)]):
+            p = rows.column("_at")[a:b].to_numpy()
+            first = int(np.searchsorted(p, rows.column("_cell")[a].as_py() * width + gap, "left"))
+            entry = p[:first + 1]
+            last = np.arange(len(p))
+            follow = np.searchsorted(p, p + gap, "left").tolist()
+            for i in range(len(p) - 1, -1, -1):
+                if follow[i] < len(p):
+                    last[i] = last[follow[i]]
+            found.append((a, p, entry, p[last[:len(entry)]]))
+        if found:
+            heads = rows.take(pa.array([f[0] for f in found]))
+            yield pa.table([*(heads.column(c) for c in (*key, "_cell")), *(pa.array([f[i] for f in found], pa.list_(pa.float64())) for i in (1, 2, 3))],
+                           [*key, "_cell", "_pts", "_entry", "_exit"])
+
+    lists = ", ".join(f"{c} array<double>" for c in ("_pts", "_entry", "_exit"))
+    blocks = keep(map_blocks(cells, [*key, "_cell"], ["_at"], summarise, f"{kinds}, _cell long, {lists}"), "points")
+    # what no entry of a chunk can follow passes it by: an entry without a point, before all of the next chunk
+    ahead = previous_row(blocks, key, F.floor(F.col("_cell") / BLOCK_ROWS), ["_cell"], {"_from": F.col("_cell")})
+    ahead = ahead.filter("_from IS NOT NULL").select(*key, F.col("_from").alias("_cell"), F.col("_cell").alias("_to"), F.col("_entry").alias("_next"))
+    nothing = F.array(F.lit(float("inf")))
+    nodes = blocks.select(*key, "_cell", F.explode(F.arrays_zip(F.concat("_entry", nothing).alias("e"), F.concat("_exit", F.array(F.lit(float("-inf")))).alias("x"))).alias("n"))
+    links = nodes.join(ahead, [*key, "_cell"]).select(*key, "_cell", F.col("n.e").alias("_entry"), F.col("_to").alias("_to_cell"), F.coalesce(
+        F.get(F.filter("_next", lambda p: p - F.col("n.x") >= gap), F.lit(0)), F.lit(float("inf"))).alias("_to_entry"))
+    links = keep(links, "links")
+    begin = blocks.groupBy(*key).agg(F.min(F.struct("_cell", F.get("_entry", F.lit(0)).alias("_entry"))).alias("s"))
+    reached = keep(begin.select(*key, "s._cell", "s._entry"), "reached")
+    node = [*key, "_cell", "_entry"]
+    while not links.isEmpty():
+        step = reached.join(links, node).select(*key, F.col("_to_cell").alias("_cell"), F.col("_to_entry").alias("_entry"))
+        reached = keep(reached.unionByName(step), "reached")
+        over = links.select(*key, F.col("_cell").alias("_to_cell"), F.col("_entry").alias("_to_entry"), F.col("_to_cell").alias("_c"), F.col("_to_entry").alias("_e"))
+        links = keep(links.join(over, [*key, "_to_cell", "_to_entry"]).select(*node, F.col("_c").alias("_to_cell"), F.col("_e").alias("_to_entry")), "links")
+
+    def thin(batches):
+        for batch in batches:
+            rows, kept = [], []
+            for i, (p, entry) in enumerate(zip(batch.column("_pts"), batch.column("_entry").to_pylist())):
+                p = p.values.to_numpy()
+                follow = np.searchsorted(p, p + gap, "left").tolist()
+                at_ = int(np.searchsorted(p, entry, "left"))
+                while at_ < len(p):
+                    rows.append(i)
+                    kept.append(p[at_])
+                    at_ = follow[at_]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int64())) for k in key), pa.array(kept, pa.float64())], [*key, at])
+
+    return blocks.drop("_entry", "_exit").join(reached, [*key, "_cell"]).mapInArrow(thin, f"{kinds}, `{at}` double")

@@ -2,54 +2,102 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import rnd
 from ..functions.sequences import number_rows
+from ..functions.skew import SALTS, join_hot
 from ..operators import presets
 from ..operators.timeline import SEGMENT_CHUNK, out_duration
+from ..sources.tables import keep
 
 # --- fixed value: reason of a segment a user has exchanged
 REASON_REPLACED = "заменено пользователем"
 
-_SNAP = """
-aggregate(segs, named_struct('at', 0D, 'out', filter(segs, s -> false)), (acc, s) ->
-  transform(array(acc.at + round(s.src_end - s.src_start + 1e-9D, 3) - if(s.i < size(segs) - 1, overlap / 2, 0D)), e ->
-    transform(array(array_min(transform(cuts, c -> named_struct('d', abs(c - e), 'c', c))).c - e), delta ->
-      transform(array(abs(delta) <= {reach} AND round(s.src_end - s.src_start + 1e-9D, 3) + delta >= {shortest}), hit ->
-        transform(array(if(hit, round(s.src_end + delta + 1e-9D, 3), s.src_end)), q ->
-          named_struct(
-            'at', acc.at + round(q - s.src_start + 1e-9D, 3) - if(s.i < size(segs) - 1, overlap, 0D),
-            'out', concat(acc.out, array(named_struct('i', s.i, 'seg_no', s.seg_no, 'src_start', s.src_start,
-                                                      'src_end', q, 'synced', s.synced OR hit)))))[0])[0])[0])[0]).out
-"""
+#: Seconds of a track whose cut points travel together.
+CUT_BLOCK = 64.0
+
+
+def _folded(segments: DataFrame) -> DataFrame:
+    """(plan_id, segs, _reach): the segments of each plan in order, and how far its film reaches at most."""
+    flag = F.coalesce("beat_synced", F.lit(False)) if "beat_synced" in segments.columns else F.lit(False)
+    seg = F.struct("seg_no", F.col("src_start").cast("double").alias("src_start"), F.col("src_end").cast("double").alias("src_end"), flag.alias("synced"))
+    return segments.groupBy("plan_id").agg(F.sort_array(F.collect_list(seg)).alias("segs"), F.sum(F.col("src_end") - F.col("src_start")).alias("_reach"),
+                                           F.count("*").alias("_n"))
+
+
+def _snapped(segments: DataFrame, plans: DataFrame, overlaps: DataFrame, reach: float, shortest: float) -> DataFrame:
+    """Segments with their ends moved to the nearest cut (``cuts`` of each plan, sorted, in film time), one after the other."""
+    df = plans.join(overlaps.select("plan_id", "overlap"), "plan_id", "left").select(
+        "plan_id", "segs", "cuts", F.coalesce(F.col("overlap").cast("double"), F.lit(0.0)).alias("overlap"))
+    kinds = {k: dict(segments.dtypes)[k] for k in ("plan_id", "seg_no")}
+
+    def fold(batches):
+        for batch in batches:
+            rows, numbers, ends, synced = [], [], [], []
+            for i, (segs, cuts, overlap) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("segs", "cuts", "overlap")))):
+                at = 0.0
+                for k, s in enumerate(segs):
+                    inner = k < len(segs) - 1
+                    length, end, hit = _r3(s["src_end"] - s["src_start"]), s["src_end"], False
+                    if cuts:
+                        want = at + length - (overlap / 2 if inner else 0.0)
+                        place = bisect.bisect_left(cuts, want)
+                        delta = min(cuts[max(place - 1, 0):place + 1], key=lambda c: (abs(c - want), c)) - want
+                        hit = abs(delta) <= reach and length + delta >= shortest
+                        end = _r3(end + delta) if hit else end
+                    at = at + _r3(end - s["src_start"]) - (overlap if inner else 0.0)
+                    rows.append(i)
+                    numbers.append(s["seg_no"])
+                    ends.append(end)
+                    synced.append(s["synced"] or hit)
+            seg_no = batch.column("segs").type.value_type.field("seg_no").type
+            yield pa.RecordBatch.from_arrays([batch.column("plan_id").take(pa.array(rows, pa.int64())), pa.array(numbers, seg_no), pa.array(ends, pa.float64()),
+                                              pa.array(synced, pa.bool_())], ["plan_id", "seg_no", "src_end", "beat_synced"])
+
+    out = df.mapInArrow(fold, f"plan_id {kinds['plan_id']}, seg_no {kinds['seg_no']}, src_end double, beat_synced boolean")
+    rest = [c for c in segments.columns if c not in ("src_end", "beat_synced")]
+    return segments.select(*rest).join(out, ["plan_id", "seg_no"])
+
+
+def _r3(x: float) -> float:
+    return math.floor((x + 1e-9) * 1000 + 0.5) / 1000
 
 
 def snap_to_cuts(segments: DataFrame, cuts: DataFrame, overlaps: DataFrame, reach: float = 0.35,
                  shortest: float = 1.0) -> DataFrame:
     """Moves segment ends to cut points nearby, one after the other along each plan.
 
-    ``cuts``: plan_id, cut_t in film time. ``overlaps``: plan_id, overlap. Where a segment
-    starts depends on every move before it, so a plan is folded as one array; it holds the
-    segments of one film and the cuts of its length, nothing larger."""
-    has_flag = "beat_synced" in segments.columns
-    flag = F.coalesce("beat_synced", F.lit(False)) if has_flag else F.lit(False)
-    seg = F.struct("seg_no", "src_start", "src_end", flag.alias("synced"))
-    plans = segments.groupBy("plan_id").agg(
-        F.sort_array(F.collect_list(seg)).alias("_segs"), F.sum(F.col("src_end") - F.col("src_start") + reach).alias("_reach"))
-    plans = plans.withColumn("segs", F.transform("_segs", lambda s, i: F.struct(
-        i.alias("i"), s["seg_no"].alias("seg_no"), s["src_start"].alias("src_start"), s["src_end"].alias("src_end"),
-        s["synced"].alias("synced")))).drop("_segs")
-    near = (cuts.join(plans.select("plan_id", "_reach"), "plan_id").filter(F.col("cut_t") <= F.col("_reach") + reach)
-            .groupBy("plan_id").agg(F.array_sort(F.collect_set("cut_t")).alias("cuts")))
-    df = plans.join(near, "plan_id", "left").join(overlaps.select("plan_id", "overlap"), "plan_id", "left")
-    df = df.withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    moved = F.when(F.col("cuts").isNull(), F.col("segs")).otherwise(
-        F.expr(_SNAP.format(reach=f"{reach!r}D", shortest=f"{shortest!r}D")))
-    out = df.select("plan_id", F.explode(moved).alias("s")).select(
-        "plan_id", "s.seg_no", F.col("s.src_end").alias("src_end"), F.col("s.synced").alias("beat_synced"))
-    rest = [c for c in segments.columns if c not in ("src_end", "beat_synced")]
-    return segments.select(*rest).join(out, ["plan_id", "seg_no"])
+    ``cuts``: plan_id, cut_t in film time, for plans that have cut points of their own; see ``snap_to_track`` for those of
+    a track. ``overlaps``: plan_id, overlap. Where a segment starts depends on every move before it, so a plan is
+    folded as one row; it holds the segments of one film and the cuts of its length, nothing larger."""
+    plans = _folded(segments)
+    near = (cuts.join(plans.select("plan_id", "_reach", "_n"), "plan_id").filter(F.col("cut_t") <= F.col("_reach") + (F.col("_n") + 1) * reach)
+            .groupBy("plan_id").agg(F.array_sort(F.collect_set(F.col("cut_t").cast("double"))).alias("cuts")))
+    return _snapped(segments, plans.join(near, "plan_id", "left"), overlaps, reach, shortest)
+
+
+def snap_to_track(segments: DataFrame, cues: DataFrame, cuts: DataFrame, overlaps: DataFrame, reach: float = 0.35,
+                  shortest: float = 1.0) -> DataFrame:
+    """``snap_to_cuts`` for films set to a track: ``cues`` are plan_id, track_id, offset; ``cuts`` track_id, cut_t.
+
+    A track's cut points are sorted once in blocks of ``CUT_BLOCK`` seconds. A plan meets the few blocks that its film
+    plays, never single cuts, and finds the nearest by binary search."""
+    plans = _folded(segments)
+    blocks = cuts.groupBy("track_id", F.floor(F.col("cut_t") / CUT_BLOCK).cast("long").alias("_block")).agg(
+        F.array_sort(F.collect_set(F.col("cut_t").cast("double"))).alias("_cuts"))
+    played = cues.select("plan_id", "track_id", F.col("offset").cast("double").alias("offset")).join(plans.select("plan_id", "_reach", "_n"), "plan_id")
+    end = F.col("offset") + F.col("_reach") + (F.col("_n") + 1) * reach
+    played = played.withColumn("_block", F.explode(F.sequence(F.floor(F.col("offset") / CUT_BLOCK).cast("long"), F.floor(end / CUT_BLOCK).cast("long"))))
+    met = join_hot(played.select("plan_id", "track_id", "offset", "_block"), blocks, ["track_id", "_block"], "plan_id", salts=8)
+    lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_cuts"))), lambda b: b["_cuts"]))
+    near = met.groupBy("plan_id", "offset").agg(lists.alias("_all"))
+    film = F.transform(F.filter("_all", lambda c: c >= F.col("offset")), lambda c: rnd(c - F.col("offset"), 3))
+    return _snapped(segments, plans.join(near.select("plan_id", film.alias("cuts")), "plan_id", "left"), overlaps, reach, shortest)
 
 
 def renumber(segments: DataFrame) -> DataFrame:
@@ -97,39 +145,39 @@ def replacement_candidates(requests: DataFrame, segments: DataFrame, alternative
     type; nothing banned or already shown. Alternatives that no longer exist take a place
     and are then left out.
 
-    A plan excludes only its own segments and alternatives, so per project and slot (and
-    per project and type) the first k + that many scenes are enough; they are found with a
-    group limit before anything is joined to requests. What a plan excludes is a short
-    array: a film has tens of segments."""
+    A plan excludes only its own segments and alternatives, so the first k + that many scenes of a project and slot (and
+    of a project and type) are enough for it. Of every group that is asked for, the deepest such head is kept: first in
+    parts of the group, then of what those leave. A request meets a head as one array; heads and what a film shows
+    are tens of scenes."""
+    kind = f"array<{dict(scenes.dtypes)['scene_id']}>"
     own = requests.join(segments.select("plan_id", "seg_no", "slot", F.col("scene_id").alias("_cur")), ["plan_id", "seg_no"])
     own = own.join(plans.select("plan_id", "project_id"), "plan_id")
     own = own.join(scenes.select(F.col("scene_id").alias("_cur"), F.col("scene_type").alias("_type")), "_cur", "left")
     shown = segments.groupBy("plan_id").agg(F.collect_set("scene_id").alias("_shown"))
-    listed = alternatives.groupBy("plan_id", "slot").agg(F.collect_set("scene_id").alias("_alts"))
-    own = own.join(shown, "plan_id").join(listed, ["plan_id", "slot"], "left").withColumn(
-        "_no", F.concat("_shown", F.coalesce("_alts", F.array().cast(f"array<{dict(scenes.dtypes)['scene_id']}>"))))
-    own = own.withColumn("_depth", F.size("_no") + k)
-    most = k + int(own.agg(F.coalesce(F.max(F.size("_no")), F.lit(0))).first()[0])  # one number
+    listed = alternatives.groupBy("plan_id", "slot").agg(F.array_sort(F.collect_list(F.struct("pos", "scene_id"))).alias("_listed"))
+    asked = own.join(shown, "plan_id").join(listed, ["plan_id", "slot"], "left").withColumn(
+        "_alts", F.coalesce(F.transform("_listed", lambda x: x["scene_id"]), F.array().cast(kind)))
+    asked = asked.withColumn("_no", F.array_union("_shown", "_alts")).withColumn("_depth", F.size("_no") + k)
+    asked = keep(asked.select("plan_id", "seg_no", "slot", "project_id", "_type", "_shown", "_alts", "_no", "_depth"), "asked")
     pool = scenes.filter("user_flag <> 'banned'").select("project_id", "scene_id", "video_id", "start_s", "scene_type", "recommended_slot")
-
-    def heads(by: str):
-        w = Window.partitionBy("project_id", by).orderBy("video_id", "start_s", "scene_id")
-        return pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
-    keys = ["plan_id", "seg_no"]
-    allowed = (F.col("_r") <= F.col("_depth")) & ~F.array_contains("_no", F.col("scene_id"))
     place = ["video_id", "start_s", "scene_id"]
-    asked = own.select(*keys, "slot", "project_id", "_type", "_no", "_depth")
-    by_slot = asked.join(heads("recommended_slot").withColumn("slot", F.col("recommended_slot")), ["project_id", "slot"])
-    by_type = asked.filter("_type IS NOT NULL").join(heads("scene_type").withColumn("_type", F.col("scene_type")), ["project_id", "_type"])
-    by_type = by_type.filter(F.col("recommended_slot") != F.col("slot"))
-    extra = by_slot.filter(allowed).select(*keys, *place).union(by_type.filter(allowed).select(*keys, *place))
-    first = asked.join(alternatives.select("plan_id", "slot", "pos", "scene_id"), ["plan_id", "slot"]).join(
-        shown, "plan_id").filter(~F.array_contains("_shown", F.col("scene_id"))).select(
-        *keys, "scene_id", F.lit(0).alias("_g"), "pos")
-    # alternatives by position, then scenes by place; ids of any type keep their own order
-    both = first.unionByName(extra.select(*keys, *place, F.lit(1).alias("_g")), allowMissingColumns=True)
-    w = Window.partitionBy("plan_id", "seg_no").orderBy("_g", "pos", *place)
-    top = both.withColumn("choice", F.row_number().over(w).cast("long")).filter(F.col("choice") <= k)
+
+    def heads(by: str, of: str):
+        depth = asked.groupBy("project_id", F.col(of).alias(by)).agg(F.max("_depth").alias("_d"))
+        part = F.pmod(F.xxhash64("scene_id"), F.lit(SALTS))
+        w = Window.partitionBy("project_id", by, part).orderBy(*place)
+        found = join_hot(pool, depth, ["project_id", by], "scene_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_d"))
+        found = found.groupBy("project_id", by).agg(F.array_sort(F.collect_list(F.struct(*place, "recommended_slot"))).alias(f"_by_{of}"), F.max("_d").alias("_d"))
+        return found.select("project_id", F.col(by).alias(of), F.slice(f"_by_{of}", F.lit(1), F.col("_d")).alias(f"_by_{of}"))
+
+    met = join_hot(asked, heads("recommended_slot", "slot"), ["project_id", "slot"], "plan_id", how="left")
+    met = join_hot(met, heads("scene_type", "_type"), ["project_id", "_type"], "plan_id", how="left")
+    other = F.filter("_by__type", lambda x: x["recommended_slot"] != F.col("slot"))
+    both = F.flatten(F.array_compact(F.array("_by_slot", other)))
+    more = F.transform(F.filter(F.array_sort(both), lambda x: ~F.array_contains("_no", x["scene_id"])), lambda x: x["scene_id"])
+    first = F.filter("_alts", lambda x: ~F.array_contains("_shown", x))
+    top = met.select("plan_id", "seg_no", F.posexplode(F.slice(F.concat(first, more), 1, k)).alias("_at", "scene_id"))
+    top = top.select("plan_id", "seg_no", (F.col("_at") + 1).cast("long").alias("choice"), "scene_id")
     return top.join(scenes.select("scene_id"), "scene_id", "left_semi").select("plan_id", "seg_no", "choice", "scene_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import music as M, presets
 from ..sources.tables import keep
-from .drafts import plan_durations, preset_transition, renumber, snap_to_cuts
+from .drafts import plan_durations, preset_transition, renumber, snap_to_track
 
 
 def set_to_music(segments: DataFrame, projects: DataFrame, music: DataFrame, curve: DataFrame, tracks: DataFrame,
@@ -23,5 +23,5 @@ def set_to_music(segments: DataFrame, projects: DataFrame, music: DataFrame, cur
     lengths = plan_durations(own.withColumn("speed", F.lit(1.0))).withColumnRenamed("total_s", "target_duration")
     cues = keep(M.finish_cue(M.music_cue(wanted.join(lengths, "plan_id"), curve, tracks), M.downbeats(beats), beats), "cues")
     overlaps = preset_transition(projects).select(F.col("project_id").alias("plan_id"), F.col("transition_s").alias("overlap"))
-    moved = keep(snap_to_cuts(own, M.shift_cuts(cues, cuts, beats), overlaps), "aligned")
+    moved = keep(snap_to_track(own, cues, M.cut_moments(cuts, beats), overlaps), "aligned")
     return renumber(moved).withColumnRenamed("plan_id", "project_id"), cues.withColumnRenamed("plan_id", "project_id")

@@ -17,9 +17,9 @@ STEP = """SELECT sg.plan_id, sg.seg_no, sg.src_start, sg.src_end, sg.overlap, sg
     - ({at} + round(sg.src_end - sg.src_start + 1e-9, 3) - CASE WHEN sg.seg_no < sg.last_no THEN sg.overlap / 2 ELSE 0e0 END) END AS delta FROM {src}"""
 
 
-def cuts(fx):
-    plans = fx.table("orders").selectExpr("o_orderkey AS plan_id", "CAST(floor(o_custkey / 1e1) AS BIGINT) AS track_id")
-    return plans.join(fx.cuts.distinct(), "track_id").select("plan_id", "cut_t")
+def played(fx):
+    """Which track the film of a plan plays, from its start."""
+    return fx.table("orders").selectExpr("o_orderkey AS plan_id", "CAST(floor(o_custkey / 1e1) AS BIGINT) AS track_id", "0D AS offset")
 
 
 def overlaps(fx):
@@ -32,7 +32,7 @@ def overlaps(fx):
    {STEP.format(at='(p.at0 + round(p.new_end - p.src_start + 1e-9, 3) - CASE WHEN p.seg_no < p.last_no THEN p.overlap ELSE 0e0 END)', src='snap p JOIN sg ON sg.plan_id = p.plan_id AND sg.seg_no = p.seg_no + 1')}) q2)
  SELECT plan_id, seg_no, new_end AS src_end, coalesce(abs(delta) <= 35e-2 AND dur + delta >= 1, false) AS beat_synced FROM snap""")
 def snap(fx):
-    return P.snap_to_cuts(fx.segments, cuts(fx), overlaps(fx)).select("plan_id", "seg_no", "src_end", "beat_synced")
+    return P.snap_to_track(fx.segments, played(fx), fx.cuts, overlaps(fx)).select("plan_id", "seg_no", "src_end", "beat_synced")
 
 
 @query("P4_renumber", "SELECT plan_id, scene_id, ROW_NUMBER() OVER (PARTITION BY plan_id ORDER BY seg_no) - 1 AS seg_no FROM fx_segments WHERE speed = 1")
