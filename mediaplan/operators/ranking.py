@@ -24,6 +24,7 @@ REASON_AESTHETIC = "высокая эстетика кадра"
 REASON_MATCH = "высокое соответствие сценарию"
 REASON_PINNED = "закреплена пользователем"
 REASON_BEST = "лучший доступный кандидат (q=%.2f)"
+PROBLEM_EMPTY = "Нет пригодных сцен для монтажа"
 
 
 def duration() -> Column:
@@ -58,6 +59,18 @@ def stability_gate(scenes: DataFrame, projects: DataFrame, min_stability: float
     return direct.drop(*own).unionByName(fallback.drop(*own, "_rank"))
 
 
+def pool_report(scenes: DataFrame, projects: DataFrame, min_stability: float = 0.55, enough: int = 3) -> DataFrame:
+    """What each project has to choose from: usable scenes (``scenes`` before ``usable_scenes``), steady ones, whether the
+    stability gate falls back to the least jerky, and the problem of a project without a scene to show."""
+    ok = usable_scenes(scenes).withColumn("_steady", (F.col("user_flag") == "pinned") | (
+        (F.col("motion_type") != "shake") & (F.col("stability_score") >= min_stability)))
+    counts = ok.groupBy("project_id").agg(F.count("*").alias("usable"), F.count(F.when(F.col("_steady"), 1)).alias("steady"))
+    df = projects.select("project_id", "stabilize_shaky").join(counts, "project_id", "left")
+    usable, steady = (F.coalesce(c, F.lit(0).cast("long")) for c in ("usable", "steady"))
+    return df.select("project_id", usable.alias("usable"), steady.alias("steady"),
+                     (~F.col("stabilize_shaky") & (usable > 0) & (steady < enough)).alias("fallback"), F.when(usable == 0, PROBLEM_EMPTY).alias("problem"))
+
+
 def with_slots(scenes: DataFrame, projects: DataFrame, slots: DataFrame) -> DataFrame:
     """Every scene next to the slots of its project's preset. ``projects`` holds
     project_id and used_preset; the 65 slot rows are broadcast."""

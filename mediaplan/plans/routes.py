@@ -14,7 +14,7 @@ from ..functions.ranges import range_join
 from ..functions.sequences import chunk_of, number_rows, previous_row, running
 from ..functions.skew import join_hot
 from ..functions.windows import slide
-from ..operators import presets
+from ..operators import music as M, presets
 from ..operators.intervals import (frozen_scene_spans, merge_spans, net_length, overlap_len, scene_at,
                                    split_by_spans, subject_spans, subtract_spans, weighted_overlap)
 from ..operators.signals import motion_pairs, smoothness
@@ -28,7 +28,12 @@ SUBJECT_MAX = 3.0
 CHUNK_S = 3600.0
 BIN_S = 60.0
 
-# --- fixed values: titles and reasons
+# --- fixed values: titles, reasons, warnings and problems
+WARNING_SHORT = ("Тайминг %dс слишком короткий: %d обязательных зон + маршрут займут минимум ~%dс (кадры с людьми не перематываются быстрее ×%s — "
+                 "танец должен остаться смотрибельным). Варианты: увеличить длительность ролика; снять отметку с части зон; выбрать стиль «динамичный» "
+                 "(сильнее ускоряет); согласиться с %dс.")
+PROBLEM_NO_ZONES = "Зоны не найдены — сначала выполните детекцию зон"
+PROBLEM_TECHNICAL = "Все зоны помечены техническими"
 TITLE_MOMENT = "момент %d"
 LABEL_MOVE, LABEL_END = "переезд", "финал"
 REASON_FROZEN = "статичная пауза %dс — сжата до %sс"
@@ -377,7 +382,7 @@ def build_route_plans(zones: DataFrame, scenes: DataFrame, samples: DataFrame, s
                       settings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The film of every route: its zones at their speed and what lies between, in source
     order. Returns segments (video_id, seg_no, ...) and plans (video_id, transition,
-    transition_s, fits, least_s, total_s)."""
+    transition_s, fits, least_s, total_s, warnings). See ``route_problems`` for videos that have none."""
     inputs = route_inputs(zones, scenes, still, settings)
     routes, timing = inputs["routes"], keep(timing_of(inputs), "timing")
     scenes = keep(scenes, "scenes")
@@ -398,11 +403,37 @@ def build_route_plans(zones: DataFrame, scenes: DataFrame, samples: DataFrame, s
                            ["src_start", "src_end"], "seg_no")
     out = rnd((F.col("src_end") - F.col("src_start")) / F.greatest("speed", F.lit(0.01)), 3)
     total = segments.groupBy("video_id").agg(rnd(F.sum(out), 3).alias("total_s"))
-    plans = (routes.select("video_id", F.lit("crossfade").alias("transition"), F.col("fade").alias("transition_s"))
-             .join(timing.select("video_id", "fits", "least_s"), "video_id").join(total, "video_id"))
+    count = inputs["required"].groupBy("video_id").agg(F.count("*").alias("_zones"))
+    plans = (routes.select("video_id", F.lit("crossfade").alias("transition"), F.col("fade").alias("transition_s"), "target_duration")
+             .join(timing.select("video_id", "fits", "least_s"), "video_id").join(total, "video_id").join(count, "video_id"))
+    whole = lambda c: half_even(c).cast("long")
+    short = F.format_string(WARNING_SHORT, whole("target_duration"), "_zones", whole("least_s"), F.lit(f"{SUBJECT_MAX:g}"), whole("least_s"))
+    plans = plans.withColumn("warnings", F.when(F.col("fits"), F.array().cast("array<string>")).otherwise(F.array(short))).drop("_zones", "target_duration")
     return segments, plans
 
 
+def route_problems(videos: DataFrame, zones: DataFrame) -> DataFrame:
+    """Videos (video_id) that can have no route film, and why: (video_id, problem)."""
+    seen = zones.groupBy("video_id").agg(F.max((~F.col("technical")).cast("int")).alias("_plain"))
+    marked = videos.select("video_id").join(seen, "video_id", "left")
+    return marked.filter("_plain IS NULL OR _plain = 0").select(
+        "video_id", F.when(F.col("_plain").isNull(), PROBLEM_NO_ZONES).otherwise(PROBLEM_TECHNICAL).alias("problem"))
+
+
+def build_route_films(zones: DataFrame, scenes: DataFrame, samples: DataFrame, still: DataFrame, settings: DataFrame,
+                      tracks_of: DataFrame, curve: DataFrame, tracks: DataFrame, beats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Route films as their users get them: the segments of ``build_route_plans``, and its plans with the part of a track
+    that fits (music_offset, music_fade_in, music_fade_out; null for videos without a track).
+
+    ``tracks_of``: video_id, track_id. Segments keep their speeds: a route film is not cut to the beat."""
+    segments, plans = build_route_plans(zones, scenes, samples, still, settings)
+    plans = keep(plans, "plans")
+    cues = M.finish_cue(M.music_cue(route_cues(plans, tracks_of), curve, tracks), M.downbeats(beats), beats)
+    cues = cues.select(F.col("plan_id").alias("video_id"), F.col("offset").alias("music_offset"), F.col("fade_in").alias("music_fade_in"),
+                       F.col("fade_out").alias("music_fade_out"))
+    return segments, plans.join(cues, "video_id", "left")
+
+
 def route_cues(plans: DataFrame, tracks_of: DataFrame) -> DataFrame:
     """Cue requests for route films (see ``music_cue``); ``tracks_of``: video_id, track_id."""
     return plans.join(tracks_of, "video_id").select(

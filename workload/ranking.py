@@ -66,6 +66,17 @@ def gate_fallback(fx):
     return R.stability_gate(pool, fx.projects, min_stability=0.995).select("scene_id", "project_id")
 
 
+@query("R2_pool_report", """WITH p AS (SELECT project_id, stabilize_shaky FROM fx_projects UNION ALL SELECT -1, false),
+ u AS (SELECT project_id, COUNT(*) AS usable, COUNT(CASE WHEN user_flag = 'pinned' OR (motion_type <> 'shake' AND stability_score >= 9e-1) THEN 1 END) AS steady
+  FROM fx_scenes WHERE user_flag <> 'banned' AND tag <> 'not-usable' GROUP BY 1)
+ SELECT p.project_id, coalesce(usable, 0) AS usable, coalesce(steady, 0) AS steady, NOT stabilize_shaky AND coalesce(usable, 0) > 0 AND coalesce(steady, 0) < 3 AS fallback,
+  CASE WHEN coalesce(usable, 0) = 0 THEN 'Нет пригодных сцен для монтажа' END AS problem FROM p LEFT JOIN u ON u.project_id = p.project_id""")
+def pool_report(fx):
+    """The given projects, and one that has no scenes."""
+    projects = fx.projects.select("project_id", "stabilize_shaky").union(fx.spark.sql("SELECT -1L, false"))
+    return R.pool_report(tagged(fx), projects, min_stability=0.9)
+
+
 @query("R3_slot_scores", f"WITH {POOL_SQL} SELECT scene_id, project_id, preset_id, slot, score FROM scored")
 def slot_scores(fx):
     return scored(fx).select("scene_id", "project_id", "preset_id", "slot", "score")

@@ -1,5 +1,7 @@
 """Queries for route zones and timing (group Z)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from mediaplan.functions.expr import rnd
@@ -7,6 +9,7 @@ from mediaplan.operators import catalogue as C, intervals as V, signals as Q, sp
 from mediaplan.plans import routes as Z
 from .annotate import range_replies
 from .intervals import SUBJECT_SQL, merge_sql, people
+from .music import FINISH_SQL, curve
 from .ranking import CHECK_SQL, INTEREST_SQL
 from .registry import query
 from .spans import views
@@ -331,6 +334,34 @@ def route_totals(fx):
     return built(fx)[1].select("video_id", "total_s", "fits", "least_s", "transition_s")
 
 
+# the film of a route asks for music as a film of its length does; names that both parts use are told apart
+MUSIC_SQL = re.sub(r"\b(req|pairs|r)\b", r"m_\1", FINISH_SQL.replace("range(0, 200) r(sec)", "range(0, 5000) r(sec)"))
+MUSIC_SQL = re.sub(r"SELECT c.plan_id, c.track_id, c.target_duration, CASE .*? AS preset_id", "SELECT c.plan_id, c.track_id, c.target_duration, 'drone_cinematic' AS preset_id", MUSIC_SQL, flags=re.S)
+MUSIC_SQL = MUSIC_SQL.replace("FROM fx_cues c", "FROM (SELECT video_id AS plan_id, video_id AS track_id, total_s AS target_duration FROM tot) c")
+
+
+@query("Z11_route_film", f"""WITH {PLAN_SQL}, tot AS (SELECT m.video_id, round(SUM(round((src_end - src_start) / speed + 1e-9, 3)) + 1e-9, 3) AS total_s, any_value(t.fits) AS fits, any_value(t.least_s) AS least_s,
+   any_value(v.target_duration) AS target FROM seg m JOIN timing t ON t.route_id = m.video_id JOIN vset v ON v.video_id = m.video_id GROUP BY 1),
+ nz AS (SELECT video_id, COUNT(*) AS zones FROM req GROUP BY 1), {MUSIC_SQL}
+ SELECT tot.video_id, total_s, fits, CASE WHEN fits THEN '' ELSE 'Тайминг ' || CAST(CAST(round_even(target, 0) AS BIGINT) AS VARCHAR) || 'с слишком короткий: ' || CAST(zones AS VARCHAR) || ' обязательных зон + маршрут займут минимум ~'
+   || CAST(CAST(round_even(least_s, 0) AS BIGINT) AS VARCHAR) || 'с (кадры с людьми не перематываются быстрее ×3 — танец должен остаться смотрибельным). Варианты: увеличить длительность ролика; снять отметку с части зон; выбрать стиль «динамичный» (сильнее ускоряет); согласиться с '
+   || CAST(CAST(round_even(least_s, 0) AS BIGINT) AS VARCHAR) || 'с.' END AS warnings, "offset" AS music_offset, fade_in AS music_fade_in, fade_out AS music_fade_out
+ FROM tot JOIN nz ON nz.video_id = tot.video_id LEFT JOIN fin ON fin.plan_id = tot.video_id""")
+def route_film(fx):
+    """Route films with their warnings, set to the track that has the number of the video."""
+    fx.settle("scenes", "samples")
+    tracks_of = fx.tracks.select(F.col("track_id").alias("video_id"), "track_id")
+    films = Z.build_route_films(route_zones(fx), people(fx), clock4(fx), still(fx), settings(fx), tracks_of, curve(fx), fx.tracks, fx.beats)[1]
+    return films.select("video_id", "total_s", "fits", F.array_join("warnings", "; ").alias("warnings"), "music_offset", "music_fade_in", "music_fade_out")
+
+
+@query("Z11_route_problems", """WITH z AS (SELECT video_id, bool_and(technical OR video_id % 3 = 0) AS off FROM fx_zones GROUP BY 1)
+ SELECT v.video_id, CASE WHEN z.off IS NULL THEN 'Зоны не найдены — сначала выполните детекцию зон' ELSE 'Все зоны помечены техническими' END AS problem
+ FROM fx_videos v LEFT JOIN z ON z.video_id = v.video_id WHERE coalesce(z.off, true)""")
+def route_problems(fx):
+    return Z.route_problems(fx.videos, fx.zones.selectExpr("video_id", "technical OR video_id % 3 = 0 AS technical"))
+
+
 EDIT = "video_id, zone_no, CASE WHEN zone_no = 1 THEN 'hall' ELSE title END AS new_title, zone_no <> 2 AS new_required, technical AS new_technical, z_start + CASE WHEN video_id % 3 = 0 THEN 5e-3 ELSE 1e0 END AS new_start, z_end - video_id % 4 * 9e0 AS new_end"
 
 
