@@ -23,7 +23,7 @@ WINDOW = 13
 #: Words of one index; about 60 bytes each in a task.
 SHARD_WORDS = 1_000_000
 #: Characters of benchmark text that are searched in one pass; a larger set takes more passes.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 SAMPLE = 32
 
 
