@@ -19,7 +19,7 @@ I9_flatten_probe P3_snap_to_cuts P7_replacement_candidates T1_crop_window T8_ren
 W3_tumbling_energy""".split()
 NAMES = [n for n in ORACLES if os.environ.get("TEST_ALL") or n in SOME]
 # queries that store steps while they are put together; their plans are cut there
-EAGER = re.compile("^(P1|P2|P7|R2|R5_rank_all|R6|W|Z|I8|I10|S9|V4|V5|M5|M6|M8|M9|M10|C12)")
+EAGER = re.compile("^(P1|P2|P7|S7|R2|R5_rank_all|R6|W|Z|I8|I10|S9|V4|V5|M5|M6|M8|M9|M10|C12)")
 
 
 def norm(v):

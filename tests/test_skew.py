@@ -1,5 +1,6 @@
 """Ordered work split into small chunks must equal the plain rule over a whole hot key."""
 
+import collections
 import random
 
 from pyspark.sql import functions as F
@@ -119,7 +120,13 @@ def test_similar_looks_equals_all_pairs(spark):
     data = [(i, rnd.randrange(3), rnd.choice(["x", "y"]), sorted(rnd.sample(words, rnd.randrange(1, 6)))) for i in range(150)]
     scenes = spark.createDataFrame([d[:3] for d in data], "scene_id long, project_id long, scene_type string")
     tokens = spark.createDataFrame([(d[0], t) for d in data for t in d[3]], "scene_id long, token string")
-    got = rows(S.similar_looks(S.scene_looks(scenes, tokens)).select("project_id", "scene_type", "jaccard", "scene_pairs"))
+    looks = S.scene_looks(scenes, tokens)
+    got = rows(S.similar_looks(looks).select("project_id", "scene_type", "jaccard", "scene_pairs"))
+    # a token that many looks share is dealt to parts
+    assert rows(S.similar_looks(looks, hot=2)) == rows(S.similar_looks(looks))
+    pairs = S.similar_looks(looks).collect()
+    ends = collections.Counter(x for p in pairs for x in (p.look_a, p.look_b))
+    assert {r.look_id: r.links for r in S.look_links(looks, hot=2).collect() if r.links} == ends
     looks = {}
     for _, p, ty, tok in data:
         looks[p, ty, tuple(tok)] = looks.get((p, ty, tuple(tok)), 0) + 1

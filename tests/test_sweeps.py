@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mediaplan.functions.sequences import number_ranged
 from mediaplan.functions.sweep import sweep
-from mediaplan.operators import ranking as R, signals as Q
+from mediaplan.operators import music as M, ranking as R, signals as Q
+from mediaplan.plans import drafts as P
 
 
 def plain_pieces(lo, hi, spans, inside):
@@ -145,3 +146,48 @@ def test_best_windows_against_trying_all(spark):
         tried = [(math.floor((bad + 0.05 * abs(s - alone[i][0]) + 1e-9) * 1e6 + 0.5) / 1e6, s) for s in starts for ok, bad in [plain_motion(own, s, s + n, fast)] if ok]
         assert got[i] == ((r3(min(tried)[1]), r3(min(tried)[1] + n)) if tried else (None, None))
     assert (None, None) in got.values()
+
+
+def plain_cue(energy, desired):
+    """Best start of a film over a curve, by trying all."""
+    n, d = len(desired), np.array(desired)
+    best = None
+    for at in range(len(energy) - n + 1):
+        w = np.array(energy[at:at + n])
+        flat = w.std() < 1e-6 or ((d - d.mean()) ** 2).sum() <= 1e-18
+        like = 0.0 if flat else float(((w - w.mean()) * (d - d.mean())).sum() / math.sqrt(((w - w.mean()) ** 2).sum() * ((d - d.mean()) ** 2).sum()))
+        score = math.floor((like - 0.5 * float(np.abs(w - d).mean()) + 1e-9) * 1e8 + 0.5) / 1e8
+        if best is None or score > best[0]:
+            best = (score, at)
+    return best
+
+
+def test_cues_in_small_blocks_against_trying_all(spark):
+    draw = random.Random(4)
+    length = {1: 180, 2: 45, 3: 12}
+    curve = {t: [round(draw.random(), 3) if t != 3 else 0.5 for _ in range(n + 1)] for t, n in length.items()}
+    tracks = spark.createDataFrame([(t, float(n)) for t, n in length.items()], "track_id long, duration double")
+    points = spark.createDataFrame([(t, s, e) for t, own in curve.items() for s, e in enumerate(own)], "track_id long, sec long, energy double")
+    films = [(i, draw.choice([1, 1, 1, 2, 3]), draw.choice(["generic", "drone_cinematic"]), float(draw.choice([5, 9, 20, 33, 60, 170]))) for i in range(40)]
+    requests = spark.createDataFrame(films, "plan_id long, track_id long, preset_id string, target_duration double")
+    profiles = {(r.preset_id, r.n): r.desired for r in M.desired_profile(spark, requests.selectExpr("preset_id", "CAST(target_duration AS INT) AS n").distinct()).collect()}
+    want = {}
+    for i, t, preset, n in films:
+        want[i] = None if length[t] <= n + 2 else plain_cue(curve[t], profiles[preset, int(n)])
+    for size, most in ((512, 4096), (8, 2)):
+        got = {r.plan_id: None if r.short else (r.cue_score, int(r.best_start)) for r in M.music_cue(requests, points, tracks, size, most).collect()}
+        assert {i: v and v[1] for i, v in got.items()} == {i: v and v[1] for i, v in want.items()}
+        assert all(v is None or v[0] == pytest.approx(want[i][0], abs=2e-8) for i, v in got.items())
+
+
+def test_cuts_of_a_track_snap_like_cuts_of_a_plan(spark):
+    draw = random.Random(9)
+    segments = [(p, s, a := round(draw.uniform(0, 50), 2), round(a + draw.uniform(0.8, 9), 2)) for p in range(30) for s in range(draw.randint(1, 9))]
+    frame = spark.createDataFrame(segments, "plan_id long, seg_no long, src_start double, src_end double")
+    cues = spark.createDataFrame([(p, p % 3, round(draw.uniform(0, 200), 3)) for p in range(28)], "plan_id long, track_id long, offset double")
+    cuts = spark.createDataFrame([(t, round(x * draw.uniform(0.4, 0.6), 3)) for t in range(2) for x in range(700)], "track_id long, cut_t double").distinct()
+    beats = cuts.limit(0).withColumnRenamed("cut_t", "beat_t")
+    overlaps = spark.createDataFrame([(p, 0.4) for p in range(0, 30, 2)], "plan_id long, overlap double")
+    order = lambda df: sorted(map(tuple, df.select("plan_id", "seg_no", "src_end", "beat_synced").collect()))
+    got = order(P.snap_to_track(frame, cues, cuts, overlaps))
+    assert got == order(P.snap_to_cuts(frame, M.shift_cuts(cues, cuts, beats), overlaps)) and {g[3] for g in got} == {True, False}
