@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import clamp, rnd
 from ..functions.sequences import core_rows, halo_window, runs, with_halo
+from ..functions.skew import join_hot
 from ..functions.windows import Windows, rounded, slide
 
 
@@ -27,18 +28,19 @@ def change_profile(frames: DataFrame, fps: float = 8.0, start: float = 0.0) -> D
     """Mean absolute change between consecutive frames of a video.
 
     ``frames``: video_id, frame_no (dense), luma array. Videos of fewer than three
-    frames give nothing."""
-    long_enough = frames.groupBy("video_id").agg(F.count("*").alias("_n")).filter("_n >= 3")
-    df = with_halo(frames.join(long_enough.select("video_id"), "video_id", "left_semi"),
-                   "frame_no", before=1)
+    frames give nothing. Frames move once, by block; which videos are long enough is counted without
+    them and asked of the differences."""
+    df = with_halo(frames.select("video_id", "frame_no", "luma"), "frame_no", before=1)
     prev = F.lag("luma").over(halo_window(["video_id"], "frame_no"))
     df = core_rows(df.withColumn("_prev", prev)).filter(F.col("_prev").isNotNull())
     total = F.aggregate(
         F.zip_with("luma", "_prev", lambda a, b: F.abs(a.cast("double") - b.cast("double"))),
         F.lit(0.0), lambda acc, x: acc + x)
     i = F.col("frame_no") - 1
-    return df.select("video_id", i.alias("sample_no"), (F.lit(start) + (i + 0.5) / fps).alias("t"),
-                     (total / F.size("luma")).alias("diff"))
+    out = df.select("video_id", i.alias("sample_no"), (F.lit(start) + (i + 0.5) / fps).alias("t"),
+                    (total / F.size("luma")).alias("diff"))
+    long_enough = frames.groupBy("video_id").agg(F.count("*").alias("_n")).filter("_n >= 3").select("video_id")
+    return join_hot(out, long_enough, ["video_id"], "sample_no")
 
 
 def frame_measures(frames: DataFrame, width: int, height: int) -> DataFrame:

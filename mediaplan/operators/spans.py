@@ -121,6 +121,10 @@ def hist_corr(a: str, b: str) -> Column:
     return F.expr(hist_corr_sql(a, b))
 
 
+#: Looks that share a token and a size and are compared in one task.
+HOT_LOOKS = 4096
+
+
 def scene_looks(scenes: DataFrame, tokens: DataFrame) -> DataFrame:
     """What a scene shows: its type and its set of tokens, for scenes that have both.
     Scenes of a project with the same look share a ``look_id``."""
@@ -143,13 +147,14 @@ def near_scenes(scenes: DataFrame, within: float = 20.0) -> DataFrame:
             .select("video_id", "scene_a", "scene_b"))
 
 
-def similar_looks(looks: DataFrame, min_jaccard: float = 0.65) -> DataFrame:
+def similar_looks(looks: DataFrame, min_jaccard: float = 0.65, hot: int = HOT_LOOKS) -> DataFrame:
     """Pairs of different looks of a project and type whose token sets are alike.
 
     Copies collapse first: scenes of equal look are one row with a count, so a large
     group of copies is one look and never a square of pairs. The join is an exact
     prefix join: two sets that are alike enough must share one of their rarest tokens,
-    so only those are joined on, together with the size of the partner."""
+    so only those are joined on, together with the size of the partner. Where more than ``hot`` looks
+    share such a token they are dealt to parts, which look for partners one by one."""
     t = float(min_jaccard)
     sets = looks.groupBy("project_id", "scene_type", "look_id").agg(
         F.first("tokens").alias("tokens"), F.count("*").alias("scenes"))
@@ -161,8 +166,8 @@ def similar_looks(looks: DataFrame, min_jaccard: float = 0.65) -> DataFrame:
                              lambda x: x["token"]).alias("_by_rarity")))
     need = F.ceil(F.size("tokens") * t - 1e-9).cast("int")
     sets = sets.join(rare, [*group, "look_id"]).withColumn("_n", F.size("tokens")).withColumn(
-        "_prefix", F.expr("slice(_by_rarity, 1, _n)")).withColumn(
         "_prefix", F.slice("_by_rarity", F.lit(1), F.col("_n") - need + 1))
+    sets = keep(sets.select(*group, "look_id", "tokens", "scenes", "_prefix", "_n"), "looks")
     a = sets.select(*group, F.col("look_id").alias("look_a"), F.col("tokens").alias("_ta"),
                     F.col("scenes").alias("scenes_a"), F.col("_prefix").alias("_pa"), F.col("_n").alias("_na"))
     # the smaller set looks for partners of its own size and above
@@ -171,7 +176,11 @@ def similar_looks(looks: DataFrame, min_jaccard: float = 0.65) -> DataFrame:
     b = sets.select(*group, F.col("look_id").alias("look_b"), F.col("tokens").alias("_tb"),
                     F.col("scenes").alias("scenes_b"), F.col("_prefix").alias("_pb"), F.col("_n").alias("_size"))
     b = b.withColumn("token", F.explode("_pb"))
-    pairs = a.join(b, [*group, "_size", "token"])
+    on = [*group, "_size", "token"]
+    parts = b.groupBy(*on).agg(F.ceil(F.count("*") / hot).cast("int").alias("_parts")).filter("_parts > 1")
+    a = a.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    b = b.join(parts, on, "left").withColumn("_part", F.pmod(F.xxhash64("look_b"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    pairs = a.join(b, [*on, "_part"])
     pairs = pairs.filter((F.col("_na") < F.col("_size")) | (F.col("look_a") < F.col("look_b")))
     # several shared rare tokens would give the pair several times: keep the first
     pairs = pairs.filter(F.get(F.array_intersect("_pa", "_pb"), F.lit(0)) == F.col("token"))
@@ -183,6 +192,19 @@ def similar_looks(looks: DataFrame, min_jaccard: float = 0.65) -> DataFrame:
         (F.col("scenes_a") * F.col("scenes_b")).alias("scene_pairs"))
 
 
+def look_links(looks: DataFrame, min_jaccard: float = 0.65, hot: int = HOT_LOOKS) -> DataFrame:
+    """How many other looks and scenes each look (look_id) is like: a row a look, zeros included. Scenes of one
+    look are alike too and not counted."""
+    own = looks.groupBy("project_id", "scene_type", "look_id").agg(F.count("*").alias("scenes"))
+    pairs = similar_looks(looks, min_jaccard, hot).select("look_a", "look_b")
+    both = pairs.unionByName(pairs.select(F.col("look_b").alias("look_a"), F.col("look_a").alias("look_b")))
+    sizes = own.select(F.col("look_id").alias("look_b"), F.col("scenes").alias("_s"))
+    links = both.join(sizes, "look_b").groupBy(F.col("look_a").alias("look_id")).agg(F.count("*").alias("links"), F.sum("_s").alias("linked_scenes"))
+    zero = F.lit(0).cast("long")
+    return own.join(links, "look_id", "left").select("project_id", "scene_type", "look_id", "scenes", F.coalesce("links", zero).alias("links"),
+                                                     F.coalesce("linked_scenes", zero).alias("linked_scenes"))
+
+
 def similar_sql(a: str, b: str, within: float = 20.0, min_jaccard: float = 0.65, min_corr: float = 0.88) -> str:
     common, union = f"size(array_intersect({a}.tokens, {b}.tokens))", f"size(array_union({a}.tokens, {b}.tokens))"
     return (f"coalesce(({a}.video_id = {b}.video_id AND abs({a}.start_s - {b}.start_s) < {within!r}D)"

@@ -145,7 +145,7 @@ def decide_zones(scenes: DataFrame, model_zones: DataFrame, targets: DataFrame)
     model = model.join(split.withColumn("_auto", F.lit(True)), "video_id", "left").filter(
         F.col("_auto").isNull() | F.col("technical")).drop("_auto")
     named = model_zones.select("video_id").union(split).distinct()
-    chains = group_neighbours(scenes.join(named, "video_id", "left_anti")).select(
+    chains = group_neighbours(join_hot(scenes, named, ["video_id"], "scene_id", how="left_anti")).select(
         "video_id", "z_start", "z_end", "title", F.lit(False).alias("technical"), F.lit("chain").alias("origin"))
     return model.unionByName(auto).unionByName(chains)
 

@@ -10,6 +10,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.expr import rnd
+from ..functions.skew import join_hot
 
 VIDEO_EXTENSIONS = ("mp4", "mov", "m4v", "avi", "mkv")
 AUDIO_EXTENSIONS = ("mp3", "wav", "m4a", "aac", "flac")
@@ -80,8 +81,8 @@ def supersede(videos: DataFrame, scenes: DataFrame, zones: DataFrame, paths: Dat
     """Removes the videos of paths (project_id, path) that are analysed again, with their
     scenes and zones."""
     gone = videos.join(paths.select("project_id", "path").distinct(), ["project_id", "path"], "left_semi").select("video_id")
-    return {name: df.join(gone, "video_id", "left_anti")
-            for name, df in (("videos", videos), ("scenes", scenes), ("zones", zones))}
+    return {name: join_hot(df, gone.distinct(), ["video_id"], spread, how="left_anti").select(*df.columns)
+            for name, df, spread in (("videos", videos, "path"), ("scenes", scenes, "scene_id"), ("zones", zones, "zone_no"))}
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
@@ -161,7 +162,8 @@ def flatten_probe(probe: DataFrame) -> DataFrame:
 
 def replace_zones(zones: DataFrame, new: DataFrame, videos: DataFrame) -> DataFrame:
     """The zones of the given videos are exchanged for the new set."""
-    return zones.join(videos.select("video_id").distinct(), "video_id", "left_anti").unionByName(new.select(*zones.columns))
+    rest = join_hot(zones, videos.select("video_id").distinct(), ["video_id"], "zone_no", how="left_anti")
+    return rest.select(*zones.columns).unionByName(new.select(*zones.columns))
 
 
 def delete_zones(zones: DataFrame, keys: DataFrame) -> DataFrame:
