@@ -99,6 +99,9 @@ class PieceTrie:
     def edges(self, codes: np.ndarray):
         """(begin, end, words, pieces) of all pieces found in words of one length."""
         n, length = codes.shape
+        if n * 16 < length:  # a few long words: all places take each step together
+            yield from self._long_edges(codes)
+            return
         for begin in range(length):
             rows, state = np.arange(n), np.ones(n, np.int64)
             for end in range(begin, min(length, begin + self.longest)):
@@ -112,6 +115,26 @@ class PieceTrie:
                 if done.any():
                     yield begin, end + 1, rows[done], piece[done]
 
+    def _long_edges(self, codes: np.ndarray):
+        n, length = codes.shape
+        row, begin = (x.ravel() for x in np.indices((n, length)))
+        state, found = np.ones(n * length, np.int64), []
+        for size in range(1, self.longest + 1):
+            inside = begin + size <= length
+            row, begin, state = row[inside], begin[inside], state[inside]
+            state = self.step(state, codes[row, begin + size - 1])
+            alive = state > 0
+            row, begin, state = row[alive], begin[alive], state[alive]
+            piece = self.ends[state]
+            done = piece > 0
+            found.append((begin[done], begin[done] + size, row[done], piece[done]))
+        begin, end, row, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort([row, end, begin])
+        begin, end, row, piece = begin[order], end[order], row[order], piece[order]
+        turns = np.flatnonzero(np.append(True, (begin[1:] != begin[:-1]) | (end[1:] != end[:-1]))) if len(begin) else []
+        for i, j in zip(turns, [*turns[1:], len(begin)]):
+            yield int(begin[i]), int(end[i]), row[i:j], piece[i:j]
+
 
 def forward(trie: PieceTrie, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """alpha[k], and the logarithm to add to its own: probability of the first k characters, a row a
@@ -143,6 +166,12 @@ def expected_counts(trie: PieceTrie, codes: np.ndarray, table: np.ndarray, count
     """Expected uses of each piece in each language, words (``sizes`` long, if they are filled up) weighted by ``counts``."""
     alpha, ahead = forward(trie, codes, table)
     n, length = codes.shape
+    if n * 16 < length:
+        total = np.zeros_like(table)
+        for i in range(n):
+            size = length if sizes is None else int(sizes[i])
+            _count_long(trie, codes[i:i + 1, :size], table, counts[i], alpha[:, i], ahead[:, i], total)
+        return total
     last = np.full(n, length) if sizes is None else sizes, np.arange(n)
     by_begin: dict[int, list] = {}
     for edge in trie.edges(codes):
@@ -159,8 +188,11 @@ def expected_counts(trie: PieceTrie, codes: np.ndarray, table: np.ndarray, count
             through = table[piece] * beta[end, rows] * np.exp(behind[end, rows] - behind[begin, rows])[:, None]
             beta[begin, rows] += through
             share = alpha[begin, rows] * through * weight[rows] * np.exp(ahead[begin, rows] + behind[begin, rows] - whole[rows])[:, None]
-            for lang in range(table.shape[1]):
-                total[:, lang] += np.bincount(piece, share[:, lang], len(total))
+            if len(piece) < len(total) // 16:  # few words, as long ones are
+                np.add.at(total, piece, share)
+            else:
+                for lang in range(table.shape[1]):
+                    total[:, lang] += np.bincount(piece, share[:, lang], len(total))
         small = (beta[begin].max(axis=1) < TINY) & (begin <= last[0])
         if small.any():
             beta[begin, small] /= TINY
@@ -168,6 +200,29 @@ def expected_counts(trie: PieceTrie, codes: np.ndarray, table: np.ndarray, count
     return total
 
 
+def _count_long(trie: PieceTrie, codes: np.ndarray, table: np.ndarray, count: np.ndarray, alpha: np.ndarray, ahead: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses of one long word: the pieces of a place are summed together, and all shares at the end."""
+    size = codes.shape[1]
+    edges = [(b, e, p[0]) for b, e, _, p in trie.edges(codes)]
+    begin, end, piece = (np.array(x, np.int64) for x in zip(*edges)) if edges else [np.zeros(0, np.int64)] * 3
+    first = np.searchsorted(begin, np.arange(size + 1)).tolist()
+    chance = table[piece]
+    beta, behind = np.zeros((size + 1, table.shape[1])), np.zeros(size + 1)
+    beta[size] = 1.0
+    for b in range(size - 1, -1, -1):
+        i, j = first[b], first[b + 1]
+        value, scale = beta[b + 1] * FLOOR, behind[b + 1]
+        if j > i:
+            to = end[i:j]
+            value = value + (chance[i:j] * beta[to] * np.exp(behind[to] - scale)[:, None]).sum(axis=0)
+        if value.max() < TINY:
+            value, scale = value / TINY, scale + np.log(TINY)
+        beta[b], behind[b] = value, scale
+    weight = count / np.maximum(alpha[size], 1e-300)
+    share = alpha[begin] * chance * beta[end] * np.exp(ahead[begin] + behind[end] - ahead[size])[:, None] * weight
+    np.add.at(total, piece, share)
+
+
 def _by_length(words: list[str]) -> dict[int, list[int]]:
     """Places of words that are scored together: those of one length, from 40 on of lengths up to a quarter apart."""
     groups: dict[int, list[int]] = {}
