@@ -89,7 +89,7 @@ def rank_backlog(fx):
 
 @query("L6_batch_rows", f"WITH {KEY_SQL} SELECT scene_id, project_id, (ROW_NUMBER() OVER (PARTITION BY project_id ORDER BY video_id, start_s, scene_id) - 1) // 25 AS batch_no FROM todo")
 def batches(fx):
-    return L.batch_rows(todo(fx), ["project_id"], F.col("video_id"), ["video_id", "start_s", "scene_id"]).select("scene_id", "project_id", "batch_no")
+    return L.batch_rows(todo(fx), ["project_id"], F.struct("video_id", F.floor(F.col("start_s") / 3600)), ["video_id", "start_s", "scene_id"]).select("scene_id", "project_id", "batch_no")
 
 
 @query("L7_apply_match", """WITH l AS (SELECT l_orderkey AS scene_id, arg_max(l_extendedprice / 5e4, struct_pack(a := l_shipdate, b := l_partkey, c := l_suppkey, d := l_linenumber, e := l_extendedprice)) AS m FROM lineitem GROUP BY 1)

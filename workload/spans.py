@@ -86,6 +86,13 @@ def looks(fx):
     return S.similar_looks(S.scene_looks(fx.scenes, fx.tokens))
 
 
+@query("S7_look_links", f"""WITH {LOOK_SQL}, p AS (SELECT a.look_id AS x, b.look_id AS y, b.c FROM l a JOIN l b ON a.project_id = b.project_id AND a.scene_type = b.scene_type AND a.look_id <> b.look_id
+  WHERE len(list_intersect(a.tokens, b.tokens)) / CAST(len(list_distinct(list_concat(a.tokens, b.tokens))) AS DOUBLE) >= 65e-2)
+ SELECT l.project_id, l.scene_type, l.look_id, any_value(l.c) AS scenes, COUNT(p.y) AS links, CAST(coalesce(SUM(p.c), 0) AS BIGINT) AS linked_scenes FROM l LEFT JOIN p ON p.x = l.look_id GROUP BY 1, 2, 3""")
+def links(fx):
+    return S.look_links(S.scene_looks(fx.scenes, fx.tokens))
+
+
 HIST_SQL = "hist AS (SELECT vec_id * 3 AS scene_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS h FROM embeddings)"
 
 
